@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, minhash, mixing, quality, sharding
+from lodestone.llm import ann, bpe, chat, html, minhash, mixing, quality, sharding
 from lodestone.llm import text as X
 
 PASS_SCORE = 0.7
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     X.small_batches(spark)
     docs = X.documents(spark, sf_dir, "doc_id", "text")
@@ -32,10 +36,22 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(X.documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    X.small_batches(spark)
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest(chat.format_chats(rows.unionByName(more)))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     X.small_batches(spark)
     return bpe.digest(X.documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_feistel_sharding, op6_dart_minhash, op7_pareto_mixing, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op4_feistel_sharding, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE}
