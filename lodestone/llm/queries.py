@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, chat, html, minhash, mixing, quality, sharding
+from lodestone.llm import ann, bpe, chat, html, media, minhash, mixing, quality, sharding
 from lodestone.llm import text as X
 
 PASS_SCORE = 0.7
@@ -28,6 +28,11 @@ def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(X.documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    X.small_batches(spark, 256)
+    return media.features(media.store(X.documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(X.documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "class_id")
 
@@ -53,5 +58,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(X.documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op4_feistel_sharding, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op4_feistel_sharding, op5_progressive_jpeg, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE}
