@@ -1,5 +1,8 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from lodestone.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "rrf_diverse"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
