@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, chat, html, media, minhash, mixing, quality, sharding
+from lodestone.llm import ann, bpe, chat, html, lm, media, minhash, mixing, quality, sharding
 from lodestone.llm import text as X
 
 PASS_SCORE = 0.7
@@ -24,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (X.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= PASS_SCORE).cast("int").alias("predicted"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(X.documents(spark, sf_dir, "doc_id", "text"), X.remainder("doc_id", 7) != 2)
+
+
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(X.documents(spark, sf_dir, "doc_id", "text"))
 
@@ -58,5 +62,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(X.documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op4_feistel_sharding, op5_progressive_jpeg, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op3_katz_backoff, op4_feistel_sharding, op5_progressive_jpeg, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE}

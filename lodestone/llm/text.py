@@ -161,3 +161,11 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps whose frames are no longer held."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
