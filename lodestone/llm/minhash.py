@@ -15,7 +15,8 @@ cut into bands; texts that share a band go to a bucket.  In a bucket the text th
 others in all its buckets leads, and every other is compared with it.  Texts that prove unlike
 their leader stay for the next round, in which they elect another; a bucket whose rest is already
 one component by links found elsewhere is done.  So a bucket is used up without emitting its pairs;
-after ``ROUNDS`` rounds the few that are left are compared across components, pair by pair.  Pairs
+after ``ROUNDS`` rounds the signatures of those that are left are compared across components in tiles
+of ``TILE`` rows, which give out only the pairs that look alike, each in the first band they share.  Pairs
 whose signatures agree very well or very badly are settled by them; all others are settled by exact
 weighted Jaccard on the whole texts.  Classes are the connected components of the links, found by
 spreading least ids with pointer jumping.
@@ -38,9 +39,11 @@ from lodestone.llm import text as X
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
-ROUNDS = 3
+ROUNDS = 2
+#: rows of one side of a tile, where what the rounds leave is compared
+TILE = 1024
 #: agreements (of BANDS * ROWS) from which on a pair is alike, and under which it is not; between, texts are compared
-SURE, UNLIKE = 117, 78
+SURE, UNLIKE = 117, 80
 #: text keys (32 bytes each) that may be sent to every task; more of them are joined by a shuffle
 MOST_SENT = 200_000
 _TO_UNIT = 2.0**-53
@@ -178,11 +181,33 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(like, pa.bool_())], ["a", "b", "like"])
 
 
-def _judged(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, like) of the distinct pairs (a, b) of text keys."""
+def _tile(table: pa.Table) -> pa.Table:
+    """The pairs of a tile that look alike, lie in different components and share no earlier band."""
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(table), BANDS, ROWS)
+    band = table.column("band")[0].as_py()
+    u, block = np.array(table.column("u").to_pylist(), dtype=object), np.array(table.column("mine").to_pylist())
+    _, c = np.unique(np.array([x.hex() for x in table.column("c").to_pylist()]), return_inverse=True)
+    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    out: list[tuple[bytes, bytes, int]] = []
+    for x in range(len(table)):
+        near = np.flatnonzero((c != c[x]) & (np.arange(len(c)) > x) & (one | (block != block[x])))
+        equal = sig[near] == sig[x]
+        same = equal.sum((1, 2))
+        new = (same >= UNLIKE) & ~equal[:, :band].all(2).any(1)
+        out += [(*sorted((u[x], u[y])), int(n)) for y, n in zip(near[new], same[new], strict=True)]
+    a, b, same = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "same": pa.array(same, pa.int32())})
+
+
+def _agreed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, same): on how many coordinates the pairs' signatures agree."""
     s = sketches.select("u", "sig")
     sides = pairs.join(s.select(F.col("u").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("u").alias("b"), F.col("sig").alias("sb")), "b")
-    counted = X.settled(sides.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a binary, b binary, same int"), "pairs")
+    return X.settled(sides.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a binary, b binary, same int"), "pairs")
+
+
+def _judged(counted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, like) of distinct pairs (a, b, same) of text keys."""
     sure = counted.where(f"same >= {SURE} or same < {UNLIKE}").select("a", "b", (F.col("same") >= SURE).alias("like"))
     open_ = counted.where(f"same >= {UNLIKE} and same < {SURE}").select("a", "b")
     asked = X.settled(open_.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "asked")
@@ -208,38 +233,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links between distinct texts; sketches: (u, sig, bands), one row each; texts: (u, t), any number of rows each."""
-    spread = sketches.select("u", F.explode("bands").alias("h"))
+    spread = sketches.select("u", F.posexplode("bands").alias("band", "h"))
     # one text alone in its bucket has no partner
     shared = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     spread = X.settled(spread.join(shared, "h"), "buckets")
     # the text that meets the most others leads: a template rather than one of its many variants
     central = spread.groupBy("u").agg((-F.sum("n")).alias("met"))
-    left = X.settled(spread.join(central, "u").select("h", "u", F.struct("met", F.xxhash64("u").alias("x")).alias("o"), F.col("u").alias("c")), "left")
+    left = X.settled(spread.join(central, "u").select("h", "band", "u", F.struct("met", F.xxhash64("u").alias("x")).alias("o"), F.col("u").alias("c")), "left")
     found: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            lead = left.groupBy("h").agg(F.min(F.struct("o", "u", "c")).alias("l")).select("h", F.col("l.u").alias("l"), F.col("l.c").alias("lc"))
-            tied = left.join(lead, "h").where("u <> l")
-        else:
-            tied = left.join(left.select("h", F.col("u").alias("l"), F.col("c").alias("lc")), "h").where("u < l and c <> lc")
-        tied = X.settled(tied.select("h", "u", "o", "l", (F.col("c") != F.col("lc")).alias("apart"), F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")), "tied")
+    for _ in range(ROUNDS):
+        lead = left.groupBy("h").agg(F.min(F.struct("o", "u", "c")).alias("l")).select("h", F.col("l.u").alias("l"), F.col("l.c").alias("lc"))
+        tied = left.join(lead, "h").where("u <> l")
+        tied = X.settled(tied.select("h", "band", "u", "o", (F.col("c") != F.col("lc")).alias("apart"), F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")), "tied")
         pairs = tied.where("apart").select("a", "b").distinct()
         if found is not None:
             pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
         pairs = X.settled(pairs, "candidates")
         if not pairs.isEmpty():
-            judged = _judged(pairs, sketches, texts)
+            judged = _judged(_agreed(pairs, sketches), texts)
             found = judged if found is None else X.settled(found.unionByName(judged), "found")
-        if found is None or turn == ROUNDS:
+        if found is None:
             break
         # what is like its leader leaves the bucket; buckets whose rest is one component already are done
-        rest = tied.select("h", "u", "o", "a", "b").join(found.where("like").select("a", "b"), ["a", "b"], "left_anti").select("h", "u", "o")
+        rest = tied.select("h", "band", "u", "o", "a", "b").join(found.where("like").select("a", "b"), ["a", "b"], "left_anti").select("h", "band", "u", "o")
         roots = components(found.where("like").select("a", "b"))
-        rest = X.settled(rest.join(roots.withColumnRenamed("node", "u"), "u", "left").select("h", "u", "o", F.coalesce("root", "u").alias("c")), "rest")
-        mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+        rest = X.settled(rest.join(roots.withColumnRenamed("node", "u"), "u", "left").select("h", "band", "u", "o", F.coalesce("root", "u").alias("c")), "rest")
+        mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("h", "n")
         left = X.settled(rest.join(mixed, "h"), "left")
         if left.isEmpty():
             break
+        sizes, left = left.select("h", "band", "u", "c", "n"), left.drop("n")
+    else:
+        blocks = F.ceil(F.col("n") / TILE).cast("int")
+        mine = F.pmod(F.xxhash64("u", F.lit(9)), blocks).cast("int")
+        tiles = sizes.join(sketches.select("u", "sig"), "u").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        tiles = tiles.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "u", "c", "sig")
+        alike = tiles.groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary, same int")
+        if found is not None:
+            alike = alike.join(found.select("a", "b"), ["a", "b"], "left_anti")
+        judged = _judged(X.settled(alike, "alike"), texts)
+        found = judged if found is None else X.settled(found.unionByName(judged), "found")
     if found is None:
         return texts.sparkSession.createDataFrame([], "a binary, b binary")
     return found.where("like").select("a", "b")
