@@ -134,8 +134,8 @@ def mix(rows: DataFrame, size: str, u: str, source: str = "source") -> DataFrame
     plan = spark.createDataFrame(table, "s string, c string, source_size long, target double, whole int, p double").coalesce(1)
 
     def rank(u: Column, p: Column) -> Column:
-        q = (u / (1 - u)) / (p / (1 - p))
-        return q / (1 + q)
+        """q / (1 + q) of the ratio q of the odds of u to those of p: the same order, between 0 and 1."""
+        return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
 
     drawn = slim.join(F.broadcast(plan), ["s", "c"]).where("p > 0 and size > 0").select("s", "c", "size", rank(F.col("u"), F.col("p")).alias("x"))
     long_cuts = _cuts(drawn.where("c = 'long'").drop("c"), first)
@@ -164,7 +164,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    with X.unused_names(docs, "size", "u") as (size, u):
-        mixed = mix(measured(docs, (size, u), key, text, seed).drop(*[c for c in ("source_size", "target", "taken", "copies") if c not in docs.columns]), size, u, source)
-        with X.unused_names(mixed, "turn") as (turn,):
-            return mixed.where("copies > 0").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # the rows go along as one value, so that none of their columns meets the mix's own
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    mixed = mix(measured(rows, ("size", "u"), "key", "text", seed).select("row", "source", "size", "u"), "size", "u")
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
