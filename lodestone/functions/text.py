@@ -46,7 +46,8 @@ def json_strings(text: Column) -> Column:
 
 def json_object(text: Column, schema: str) -> Column:
     """The JSON object in a text, from its first { to its last }."""
-    return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(F.json_object_keys(found).isNotNull(), F.from_json(found, schema))
 
 
 def client_key(forwarded: Column, host: Column) -> Column:

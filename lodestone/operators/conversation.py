@@ -75,7 +75,8 @@ def sse(kind: Column, payload: Column) -> Column:
 def read_sse(stream: DataFrame, column: str, schema: str) -> DataFrame:
     """Events of a text column of frames; frames without a readable data line are dropped."""
     frames = stream.select(F.posexplode(F.split(column, "\n\n")).alias("seq", "frame"))
-    return frames.select("seq", F.from_json(F.regexp_extract("frame", r"(?m)^data: (.*)$", 1), schema).alias("event")).where("event is not null")
+    lines = frames.select("seq", F.regexp_extract("frame", r"(?m)^data: (.*)$", 1).alias("line"))
+    return lines.where(F.json_object_keys("line").isNotNull()).select("seq", F.from_json("line", schema).alias("event"))
 
 
 def events(chunks: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,14 @@ def worklist(rows: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return todo.where(F.col("id").isin(*ids)) if ids else todo
 
 
-def decoded(raw: Column, charset: str = "GB18030") -> Column:
-    """Text of page bytes; what is no text in the charset is read as UTF-8."""
-    return F.coalesce(F.try_to_binary(raw, F.lit("utf-8")).cast("string"), F.decode(raw, charset)) if charset.lower() == "utf-8" else F.decode(raw, charset)
+def decoded(raw: Column, charset: str = "gb18030") -> Column:
+    """Text of page bytes; what the charset cannot read becomes replacement characters.  (Spark's own decode knows no GB18030.)"""
+
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+
+    return text(raw)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
