@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 #: Fixed value: what ends a sentence, and the closers that belong to it.
 SENTENCE = r"[^。！？.!?]*[。！？.!?][”’」』）)〕\]】]*|[^。！？.!?]+\z"
+_WORDS, _ESCAPED = regex.compile(TOKEN), regex.compile(r"\\(\[|\]|\*)")
 WHITE = r"^\s+|\s+$"
 
 
@@ -20,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(unescape_markdown(text), F.lit(TOKEN), F.lit(0))
 
 
+def segments(text: str) -> list[str]:
+    """The same tokens of one Python string; another segmenter may stand in for it."""
+    return _WORDS.findall(_ESCAPED.sub(r"\1", text))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, WHITE, "")
 

@@ -6,8 +6,12 @@ Texts and vectors are not carried through ranking; join them back on the few row
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,24 +53,36 @@ def filters(volumes: list | None = None, years: tuple[int, int] | None = None, c
     return out
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(token, id, tf, dl)."""
-    lists = docs.select(F.col(key).alias("id"), fx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    flat = lists.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
-    return flat.groupBy("id", "token").agg(F.count("*").cast("double").alias("tf"), F.first("dl").cast("double").alias("dl"))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", segment: Callable[[str], list[str]] = fx.segments) -> DataFrame:
+    """(token, id, tf, dl), counted inside each document's row, so nothing is shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(segment(t)) if t else Counter() for t in batch.column("t").to_pylist()]
+            sizes = np.array([len(c) for c in found], dtype=np.int64)
+            totals = np.array([c.total() for c in found], dtype=np.float64)
+            token = pa.array([w for c in found for w in c], pa.string())
+            tf = np.fromiter((n for c in found for n in c.values()), np.float64, int(sizes.sum()))
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+            yield pa.RecordBatch.from_arrays([token, ids, pa.array(tf), pa.array(np.repeat(totals, sizes))], ["token", "id", "tf", "dl"])
+
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"token string, id {kind}, tf double, dl double")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 8, params: Bm25 = Bm25(), key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
     """queries: (query_id, query) -> (query_id, rank, id, score), scores above 0, ties to the smaller id."""
     post = postings(docs, key, text)
-    sizes = docs.select(F.size(fx.tokens(F.coalesce(F.col(text), F.lit("")))).cast("double").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("token").agg(F.count("*").cast("double").alias("df"))
+    df = post.groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("ctf"))
+    sizes = df.agg(F.sum("ctf").alias("words")).crossJoin(docs.agg(F.count("*").cast("double").alias("n"))).select("n", F.try_divide("words", "n").alias("avgdl"))
     raw = df.crossJoin(F.broadcast(sizes)).select("token", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     asked = queries.select("query_id", F.explode(fx.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").cast("double").alias("qtf"))
-    idf = raw.join(small(asked.select("token").distinct()), "token").crossJoin(F.broadcast(mean))
+    # a token weighs at most once for a query, so the size of asked bounds both of these sides
+    sent = F.broadcast if asked.limit(SMALL + 1).count() <= SMALL else (lambda side: side)
+    idf = raw.join(sent(asked.select("token").distinct()), "token").crossJoin(F.broadcast(mean))
     idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.lit(params.epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    weighed = small(asked.join(idf, "token"))
+    weighed = sent(asked.join(idf, "token"))
     length = F.lit(1.0 - params.b) + F.lit(params.b) * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(params.k1 + 1.0) / (F.col("tf") + F.lit(params.k1) * length)
     scored = post.join(weighed, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
