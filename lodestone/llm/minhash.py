@@ -13,10 +13,12 @@ probability equal to their weighted Jaccard similarity.
 Links.  Equal texts are one class from the start and go on as one representative.  Signatures are
 cut into bands; texts that share a band go to a bucket.  In a bucket the text that meets the most
 others in all its buckets leads, and every other is compared with it.  Texts that prove unlike
-their leader stay for the next round, in which they elect another; a bucket whose rest is already
-one component by links found elsewhere is done.  So a bucket is used up without emitting its pairs;
-after ``ROUNDS`` rounds the signatures of those that are left are compared across components in tiles
-of ``TILE`` rows, which give out only the pairs that look alike, each in the first band they share.  Pairs
+their leader stay for the next round, in which they elect another.  ``ROUNDS`` rounds unite most of
+what is alike without emitting a bucket's pairs.  Then, in every bucket that still holds several
+components, all texts outside its largest component are compared with all the others by signature,
+in tiles of ``TILE`` rows a side, which give out only pairs that look alike and lie in different
+components, each in the first band they share.  The likeliest pair of a text and a component is
+judged first, and then every pair that still lies apart, so no link between components is lost.  Pairs
 whose signatures agree very well or very badly are settled by them; all others are settled by exact
 weighted Jaccard on the whole texts.  Classes are the connected components of the links, found by
 spreading least ids with pointer jumping.
@@ -182,21 +184,49 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tile(table: pa.Table) -> pa.Table:
-    """The pairs of a tile that look alike, lie in different components and share no earlier band."""
+    """The pairs of a row of the small components and any other that look alike, lie apart and share no earlier band."""
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(table), BANDS, ROWS)
     band = table.column("band")[0].as_py()
-    u, block = np.array(table.column("u").to_pylist(), dtype=object), np.array(table.column("mine").to_pylist())
-    _, c = np.unique(np.array([x.hex() for x in table.column("c").to_pylist()]), return_inverse=True)
-    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    out: list[tuple[bytes, bytes, int]] = []
-    for x in range(len(table)):
-        near = np.flatnonzero((c != c[x]) & (np.arange(len(c)) > x) & (one | (block != block[x])))
+    u, c = table.column("u").to_pylist(), table.column("c").to_pylist()
+    _, place = np.unique(np.array([x.hex() for x in u]), return_inverse=True)
+    _, part = np.unique(np.array([x.hex() for x in c]), return_inverse=True)
+    few, main = (np.array(table.column(x).to_pylist(), dtype=bool) for x in ("few", "main"))
+    others = np.flatnonzero(~few)
+    out: list[tuple[bytes, bytes, int, bytes, bytes]] = []
+    for x in np.flatnonzero(few):
+        # two rows of small components meet twice; the lesser one speaks for them
+        near = others[(part[others] != part[x]) & (main[others] | (place[others] > place[x]))]
         equal = sig[near] == sig[x]
-        same = equal.sum((1, 2))
-        new = (same >= UNLIKE) & ~equal[:, :band].all(2).any(1)
-        out += [(*sorted((u[x], u[y])), int(n)) for y, n in zip(near[new], same[new], strict=True)]
-    a, b, same = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "same": pa.array(same, pa.int32())})
+        same = np.count_nonzero(equal.reshape(len(near), -1), axis=1)
+        new = np.flatnonzero(same >= UNLIKE)
+        new = new[~equal[new, :band].all(2).any(1)]
+        for y, n in zip(near[new], same[new], strict=True):
+            low, high = (x, y) if u[x] < u[y] else (y, x)
+            out.append((u[low], u[high], int(n), c[low], c[high]))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["a", "b", "same", "ca", "cb"])
+
+
+def _apart(spread: DataFrame, first: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, same, ca, cb): every pair of a bucket that looks alike although its texts lie in different components.
+
+    A bucket's first leader has met all of it.  Of the others, those outside the largest component
+    are compared with everyone, in tiles of at most about TILE by TILE rows.
+    """
+    rest = spread.join(first, ["h", "u"], "left_anti").join(roots.withColumnRenamed("node", "u"), "u", "left")
+    rest = X.settled(rest.select("h", "band", "u", F.coalesce("root", "u").alias("c")), "met")
+    parts = rest.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+    parts = parts.where("parts > 1").select("h", F.col("top.c").alias("top"), F.ceil(F.col("n") / TILE).cast("int").alias("js"), F.ceil((F.col("n") - F.col("top.n")) / TILE).cast("int").alias("is"))
+    rows = rest.join(parts, "h").join(sketches.select("u", "sig"), "u")
+    own = lambda blocks: F.pmod(F.xxhash64("u", F.lit(9)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = ["h", "i", "j", "few", "main", "band", "u", "c", "sig"]
+    main = (F.col("c") == F.col("top")).alias("main")
+    small = rows.where("c <> top").select("*", F.lit(True).alias("few"), main, own("is").alias("i")).withColumn("j", every("js"))
+    whole = rows.select("*", F.lit(False).alias("few"), main, own("js").alias("j")).withColumn("i", every("is"))
+    tiles = small.select(*columns).unionByName(whole.select(*columns))
+    return X.settled(tiles.groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary, same int, ca binary, cb binary"), "apart")
 
 
 def _agreed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -241,8 +271,10 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     central = spread.groupBy("u").agg((-F.sum("n")).alias("met"))
     left = X.settled(spread.join(central, "u").select("h", "band", "u", F.struct("met", F.xxhash64("u").alias("x")).alias("o"), F.col("u").alias("c")), "left")
     found: DataFrame | None = None
+    first: DataFrame | None = None
     for _ in range(ROUNDS):
         lead = left.groupBy("h").agg(F.min(F.struct("o", "u", "c")).alias("l")).select("h", F.col("l.u").alias("l"), F.col("l.c").alias("lc"))
+        first = lead.select("h", F.col("l").alias("u")) if first is None else first
         tied = left.join(lead, "h").where("u <> l")
         tied = X.settled(tied.select("h", "band", "u", "o", (F.col("c") != F.col("lc")).alias("apart"), F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")), "tied")
         pairs = tied.where("apart").select("a", "b").distinct()
@@ -258,21 +290,23 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
         rest = tied.select("h", "band", "u", "o", "a", "b").join(found.where("like").select("a", "b"), ["a", "b"], "left_anti").select("h", "band", "u", "o")
         roots = components(found.where("like").select("a", "b"))
         rest = X.settled(rest.join(roots.withColumnRenamed("node", "u"), "u", "left").select("h", "band", "u", "o", F.coalesce("root", "u").alias("c")), "rest")
-        mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("h", "n")
+        mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
         left = X.settled(rest.join(mixed, "h"), "left")
         if left.isEmpty():
             break
-        sizes, left = left.select("h", "band", "u", "c", "n"), left.drop("n")
-    else:
-        blocks = F.ceil(F.col("n") / TILE).cast("int")
-        mine = F.pmod(F.xxhash64("u", F.lit(9)), blocks).cast("int")
-        tiles = sizes.join(sketches.select("u", "sig"), "u").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        tiles = tiles.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "u", "c", "sig")
-        alike = tiles.groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary, same int")
-        if found is not None:
-            alike = alike.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        judged = _judged(X.settled(alike, "alike"), texts)
-        found = judged if found is None else X.settled(found.unionByName(judged), "found")
+    if found is not None:
+        # a text like its leader may be the only one that a text unlike the leader is like
+        apart = _apart(spread, first, roots, sketches).join(found.select("a", "b"), ["a", "b"], "left_anti")
+        # one link joins two components: the likeliest of each text and component first, then what still lies apart
+        sides = apart.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("cb").alias("c")), F.struct(F.col("b").alias("x"), F.col("ca").alias("c")))).alias("side"), "same", "a", "b")
+        best = sides.groupBy("side").agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b", "m.same").distinct()
+        found = X.settled(found.unionByName(_judged(X.settled(best, "best"), texts)), "found")
+        roots = components(found.where("like").select("a", "b"))
+        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+        open_ = apart.select("a", "b", "same").join(found.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        open_ = X.settled(open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same"), "open")
+        if not open_.isEmpty():
+            found = X.settled(found.unionByName(_judged(open_, texts)), "found")
     if found is None:
         return texts.sparkSession.createDataFrame([], "a binary, b binary")
     return found.where("like").select("a", "b")
