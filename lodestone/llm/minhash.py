@@ -15,12 +15,12 @@ cut into bands; texts that share a band go to a bucket.  In a bucket the text th
 others in all its buckets leads, and every other is compared with it.  Texts that prove unlike
 their leader stay for the next round, in which they elect another.  ``ROUNDS`` rounds unite most of
 what is alike without emitting a bucket's pairs.  Then, in every bucket that still holds several
-components, all texts outside its largest component are compared with all the others by signature,
-in tiles of ``TILE`` rows a side, which give out only pairs that look alike and lie in different
-components, each in the first band they share.  The likeliest pair of a text and a component is
-judged first, and then every pair that still lies apart, so no link between components is lost.  Pairs
-whose signatures agree very well or very badly are settled by them; all others are settled by exact
-weighted Jaccard on the whole texts.  Classes are the connected components of the links, found by
+components, all texts outside its largest component are compared with all the others, in tiles
+bounded in rows and bytes: signatures first, then, from the likeliest on, the whole texts.  A tile
+gives out one link of a text to each component that it is like, so no pairs are emitted and
+no link between components that share a bucket is lost.  Pairs whose signatures agree very well or
+very badly are settled by them; all others are settled by exact weighted Jaccard on the whole texts.
+Classes are the connected components of the links, found by
 spreading least ids with pointer jumping.
 
 Defined results: null counts as empty; all empty texts are one class; rows of equal texts share a
@@ -44,6 +44,8 @@ BANDS, ROWS = 24, 5
 ROUNDS = 2
 #: rows of one side of a tile, where what the rounds leave is compared
 TILE = 1024
+#: and of text of one side
+TILE_BYTES = 16 << 20
 #: agreements (of BANDS * ROWS) from which on a pair is alike, and under which it is not; between, texts are compared
 SURE, UNLIKE = 117, 80
 #: text keys (32 bytes each) that may be sent to every task; more of them are joined by a shuffle
@@ -170,29 +172,41 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        raw, offsets = X.flat(column)
-        row, shingle, weight = weighted_shingles(raw, offsets)
-        first = np.searchsorted(row, np.arange(len(column) + 1))
-        return [(shingle[i:j], weight[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
-
     for batch in batches:
         for part in X.slices(batch, "tb"):
             for one in X.slices(part, "ta"):
-                like = [weighted_jaccard(x, y) >= SIMILAR for x, y in zip(bags(one.column("ta")), bags(one.column("tb")), strict=True)]
+                like = [weighted_jaccard(x, y) >= SIMILAR for x, y in zip(_bags(one.column("ta")), _bags(one.column("tb")), strict=True)]
                 yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(like, pa.bool_())], ["a", "b", "like"])
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """Text keys, marked for broadcast if they are few."""
+    keys = X.settled(keys, "asked")
+    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+
+
+def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    raw, offsets = X.flat(column)
+    row, shingle, weight = weighted_shingles(raw, offsets)
+    first = np.searchsorted(row, np.arange(len(column) + 1))
+    return [(shingle[i:j], weight[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+
+
 def _tile(table: pa.Table) -> pa.Table:
-    """The pairs of a row of the small components and any other that look alike, lie apart and share no earlier band."""
+    """(a, b): for each row of the small components one link to each other component that it is like.
+
+    Candidates are tried from the likeliest on until one is like; pairs of an earlier common band are left to it.
+    """
+    table = table.combine_chunks()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(table), BANDS, ROWS)
     band = table.column("band")[0].as_py()
-    u, c = table.column("u").to_pylist(), table.column("c").to_pylist()
+    u = table.column("u").to_pylist()
     _, place = np.unique(np.array([x.hex() for x in u]), return_inverse=True)
-    _, part = np.unique(np.array([x.hex() for x in c]), return_inverse=True)
+    _, part = np.unique(np.array([x.hex() for x in table.column("c").to_pylist()]), return_inverse=True)
     few, main = (np.array(table.column(x).to_pylist(), dtype=bool) for x in ("few", "main"))
     others = np.flatnonzero(~few)
-    out: list[tuple[bytes, bytes, int, bytes, bytes]] = []
+    bags = None
+    out: list[tuple[bytes, bytes]] = []
     for x in np.flatnonzero(few):
         # two rows of small components meet twice; the lesser one speaks for them
         near = others[(part[others] != part[x]) & (main[others] | (place[others] > place[x]))]
@@ -200,33 +214,46 @@ def _tile(table: pa.Table) -> pa.Table:
         same = np.count_nonzero(equal.reshape(len(near), -1), axis=1)
         new = np.flatnonzero(same >= UNLIKE)
         new = new[~equal[new, :band].all(2).any(1)]
-        for y, n in zip(near[new], same[new], strict=True):
-            low, high = (x, y) if u[x] < u[y] else (y, x)
-            out.append((u[low], u[high], int(n), c[low], c[high]))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["a", "b", "same", "ca", "cb"])
-
-
-def _apart(spread: DataFrame, first: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, same, ca, cb): every pair of a bucket that looks alike although its texts lie in different components.
+        if not len(new):
+            continue
+        if bags is None:
+            bags = _bags(table.column("t").chunk(0))
+        met: set[int] = set()
+        for i in new[np.argsort(-same[new], kind="stable")]:
+            y = near[i]
+            if part[y] not in met and (same[i] >= SURE or weighted_jaccard(bags[x], bags[y]) >= SIMILAR):
+                met.add(part[y])
+                out.append((min(u[x], u[y]), max(u[x], u[y])))
+    left, right = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+
+def _across(spread: DataFrame, first: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the components that meet in a bucket.
 
     A bucket's first leader has met all of it.  Of the others, those outside the largest component
-    are compared with everyone, in tiles of at most about TILE by TILE rows.
+    are compared with everyone, in tiles of about TILE rows and TILE_BYTES of text a side.
     """
     rest = spread.join(first, ["h", "u"], "left_anti").join(roots.withColumnRenamed("node", "u"), "u", "left")
     rest = X.settled(rest.select("h", "band", "u", F.coalesce("root", "u").alias("c")), "met")
-    parts = rest.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
-    parts = parts.where("parts > 1").select("h", F.col("top.c").alias("top"), F.ceil(F.col("n") / TILE).cast("int").alias("js"), F.ceil((F.col("n") - F.col("top.n")) / TILE).cast("int").alias("is"))
-    rows = rest.join(parts, "h").join(sketches.select("u", "sig"), "u")
-    own = lambda blocks: F.pmod(F.xxhash64("u", F.lit(9)), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    columns = ["h", "i", "j", "few", "main", "band", "u", "c", "sig"]
+    mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    rest = X.settled(rest.join(mixed, "h"), "mixed")
+    asked = rest.select("u").distinct()
+    one = texts.join(small(asked), "u").groupBy("u").agg(F.first("t").alias("t"))
+    known = X.settled(one.join(sketches.select("u", "sig"), "u").withColumn("size", F.octet_length("t").cast("long")), "compared")
+    sized = rest.join(known.select("u", "size"), "u")
+    parts = sized.groupBy("h", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("h").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "c")).alias("top"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("int")
+    parts = parts.select("h", F.col("top.c").alias("top"), blocks(F.col("n"), F.col("size")).alias("js"), F.greatest(blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")), F.lit(1)).alias("is"))
+    rows = rest.join(parts, "h").join(known, "u")
+    own = lambda count: F.pmod(F.xxhash64("u", F.lit(9)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    columns = ["h", "i", "j", "few", "main", "band", "u", "c", "sig", "t"]
     main = (F.col("c") == F.col("top")).alias("main")
-    small = rows.where("c <> top").select("*", F.lit(True).alias("few"), main, own("is").alias("i")).withColumn("j", every("js"))
+    minor = rows.where("c <> top").select("*", F.lit(True).alias("few"), main, own("is").alias("i")).withColumn("j", every("js"))
     whole = rows.select("*", F.lit(False).alias("few"), main, own("js").alias("j")).withColumn("i", every("is"))
-    tiles = small.select(*columns).unionByName(whole.select(*columns))
-    return X.settled(tiles.groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary, same int, ca binary, cb binary"), "apart")
+    tiles = minor.select(*columns).unionByName(whole.select(*columns))
+    return tiles.groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary")
 
 
 def _agreed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -240,9 +267,8 @@ def _judged(counted: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, like) of distinct pairs (a, b, same) of text keys."""
     sure = counted.where(f"same >= {SURE} or same < {UNLIKE}").select("a", "b", (F.col("same") >= SURE).alias("like"))
     open_ = counted.where(f"same >= {UNLIKE} and same < {SURE}").select("a", "b")
-    asked = X.settled(open_.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "asked")
-    few = asked.count() <= MOST_SENT
-    t = texts.join(F.broadcast(asked) if few else asked, "u").groupBy("u").agg(F.first("t").alias("t"))
+    asked = open_.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    t = texts.join(small(asked), "u").groupBy("u").agg(F.first("t").alias("t"))
     both = open_.join(t.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b")
     return X.settled(sure.unionByName(both.select("a", "b", "ta", "tb").mapInArrow(_exact, "a binary, b binary, like boolean")), "judged")
 
@@ -294,22 +320,11 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
         left = X.settled(rest.join(mixed, "h"), "left")
         if left.isEmpty():
             break
-    if found is not None:
-        # a text like its leader may be the only one that a text unlike the leader is like
-        apart = _apart(spread, first, roots, sketches).join(found.select("a", "b"), ["a", "b"], "left_anti")
-        # one link joins two components: the likeliest of each text and component first, then what still lies apart
-        sides = apart.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("cb").alias("c")), F.struct(F.col("b").alias("x"), F.col("ca").alias("c")))).alias("side"), "same", "a", "b")
-        best = sides.groupBy("side").agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b", "m.same").distinct()
-        found = X.settled(found.unionByName(_judged(X.settled(best, "best"), texts)), "found")
-        roots = components(found.where("like").select("a", "b"))
-        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
-        open_ = apart.select("a", "b", "same").join(found.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        open_ = X.settled(open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same"), "open")
-        if not open_.isEmpty():
-            found = X.settled(found.unionByName(_judged(open_, texts)), "found")
     if found is None:
         return texts.sparkSession.createDataFrame([], "a binary, b binary")
-    return found.where("like").select("a", "b")
+    # a text like its leader may be the only one that a text unlike the leader is like
+    across = X.settled(_across(spread, first, roots, sketches, texts), "across")
+    return found.where("like").select("a", "b").unionByName(across)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
