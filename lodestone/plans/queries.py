@@ -371,3 +371,18 @@ def filtered_preview(spark, sf_dir):
 @query()
 def embed_documents(spark, sf_dir):
     return embedding.embed(table(spark, sf_dir, "documents"), key="doc_id")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> '' THEN event_type ELSE 'unknown' END AS client FROM events")
+def client_keys(spark, sf_dir):
+    hops = F.concat(F.lit(" "), "event_type", F.lit(" , 10.0.0.1"))
+    return table(spark, sf_dir, "events").select("event_id", fx.client_key(hops, F.lit(None).cast("string")).alias("client"))
+
+
+@query("SELECT doc_id, source AS id, 1 AS rank, 100 AS score FROM documents WHERE source IS NOT NULL")
+def model_dispatch(spark, sf_dir):
+    """A model answers with an unknown entry and the document's source; the unknown one is dropped."""
+    docs = table(spark, sf_dir, "documents")
+    answers = docs.select(F.col("doc_id").alias("input_id"), F.array(F.lit("nowhere"), "source").alias("ids"))
+    found = keyword.dispatch(answers, docs.select(F.col("source").alias("entry_id")).distinct())
+    return found.select(F.col("input_id").alias("doc_id"), F.col("entry_id").alias("id"), "rank", "score")
