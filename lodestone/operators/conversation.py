@@ -72,11 +72,11 @@ def sse(kind: Column, payload: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(F.struct(kind.alias("type"), payload.alias("payload"))), F.lit("\n\n"))
 
 
-def read_sse(stream: DataFrame, column: str, schema: str) -> DataFrame:
-    """Events of a text column of frames; frames without a readable data line are dropped."""
-    frames = stream.select(F.posexplode(F.split(column, "\n\n")).alias("seq", "frame"))
-    lines = frames.select("seq", F.regexp_extract("frame", r"(?m)^data: (.*)$", 1).alias("line"))
-    return lines.where(F.json_object_keys("line").isNotNull()).select("seq", F.from_json("line", schema).alias("event"))
+def read_sse(stream: DataFrame, column: str, schema: str, *keep: str) -> DataFrame:
+    """(keep, seq, event) of a text column of frames; frames without a readable data line are dropped."""
+    frames = stream.select(*keep, F.posexplode(F.split(column, "\n\n")).alias("seq", "frame"))
+    lines = frames.select(*keep, "seq", F.regexp_extract("frame", r"(?m)^data: (.*)$", 1).alias("line"))
+    return lines.where(F.json_object_keys("line").isNotNull()).select(*keep, "seq", F.from_json("line", schema).alias("event"))
 
 
 def events(chunks: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -45,3 +45,13 @@ def dispatch(answers: DataFrame, entries: DataFrame, score: int = 100) -> DataFr
 def personalised(fields: list[str], own: str = "own_", fixed: str = "") -> list:
     """For each field the personal value if it is not empty, else the entry's."""
     return [F.coalesce(F.nullif(F.col(own + f), F.lit("")), F.col(fixed + f)).alias(f) for f in fields]
+
+
+def cards(entries: DataFrame, most: int = 5) -> DataFrame:
+    """Entries as a browser lists them: their first tags only."""
+    return entries.withColumn("tags", F.slice("tags", 1, most))
+
+
+def tool_lines(entries: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """(key, tool): what a model is shown of each entry, as one JSON line."""
+    return entries.select(key, F.to_json(F.struct(*fields)).alias("tool"))

@@ -24,7 +24,7 @@ def articles(manifest: DataFrame) -> DataFrame:
 
 
 def nested(flat: DataFrame) -> DataFrame:
-    """The manifest of flat articles again."""
+    """The manifest of flat articles again: one row, as the file is one document; a large corpus keeps its articles flat."""
     fields = [c for c in flat.columns if c != "volume"]
     return flat.groupBy("volume").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("articles")).agg(F.sort_array(F.collect_list(F.struct("volume", "articles"))).alias("volumes"))
 
@@ -94,6 +94,14 @@ def listing(rows: DataFrame) -> DataFrame:
     return rows.select("id", "volume", "title", "year", "month", "category", "url_primary", "provider", F.coalesce("status", F.lit("pending")).alias("status"))
 
 
+def lookup(asked: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
+    """asked (id) -> (id, outcome, fields): found, unknown or not downloaded; only what is found shows its fields."""
+    known = rows.select("id", "status", *fields).withColumn("there", F.lit(True))
+    found = F.coalesce(F.col("status") == "downloaded", F.lit(False))
+    outcome = F.when(F.col("there").isNull(), "unknown").when(~found, "not downloaded").otherwise("found")
+    return asked.join(known, "id", "left").select("id", outcome.alias("outcome"), *[F.when(found, F.col(f)).alias(f) for f in fields])
+
+
 def health(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: articles, downloaded articles, chunks."""
     a = rows.agg(F.count("*").alias("articles"), F.count_if(F.col("status") == "downloaded").alias("downloaded"))
