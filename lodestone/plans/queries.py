@@ -144,9 +144,16 @@ def rewrite_expand(spark, sf_dir):
     return retrieval.expand(_bench(spark, sf_dir), cache)
 
 
-@query()
+REWRITTEN = f"SELECT item_id * 10 + pos AS query_id, rewrite AS query FROM (SELECT item_id, pos, rewrite FROM benchmark JOIN ({CACHE}) ON text = query UNION ALL SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END, text FROM benchmark)"
+
+
+@query(f"""WITH {_bm25_sql(REWRITTEN, 30)},
+summed AS (SELECT query_id // 10 AS query_id, id, round(sum(1e0 / (60 + rank)), 12) AS rrf, min((query_id % 10, rank)) AS first FROM bm25 GROUP BY query_id // 10, id),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, id) AS rank FROM summed) WHERE rank <= 24),
+capped AS (SELECT * FROM (SELECT f.*, source AS grp, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS place FROM fused f JOIN documents ON id = doc_id) WHERE place <= 2)
+SELECT query_id, CAST(n AS INTEGER) AS rank, id, grp, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM capped) WHERE n <= 8""")
 def rewrite_retrieval(spark, sf_dir):
-    """The default chain: rewrites, both searches for each, fusion and the cap."""
+    """The default chain without vectors: rewrites, a search for each, fusion and the cap."""
     docs = table(spark, sf_dir, "documents")
     rewrites = rewrite_expand(spark, sf_dir).withColumn("q", F.col("query_id") * 10 + F.col("pos"))
     found = retrieval.bm25(rewrites.select(F.col("q").alias("query_id"), F.col("rewrite").alias("query")), docs, k=30)
@@ -219,12 +226,28 @@ def sentence_stats(spark, sf_dir):
     return chunking.histogram(table(spark, sf_dir, "documents").select(F.explode(fx.sentences(F.col("text"))).alias("s")).select(F.length("s").alias("char_count")))
 
 
-@query()
+#: sentences walked one by one: out holds what each step emits, held what the next pack begins with
+PACKED = r"""WITH RECURSIVE pieces AS (SELECT doc_id, generate_subscripts(ps, 1) AS p, unnest(ps) AS raw FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '^\n+|\n+$', '', 'g'), '[^。！？.!?]*[。！？.!?][”’」』）)〕\]】]*|[^。！？.!?]+\z') AS ps FROM documents)),
+placed AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS a, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM pieces),
+seq AS (SELECT doc_id, {'t': t, 'l': CAST(length(t) AS BIGINT), 'a': CAST(a AS BIGINT)} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM placed WHERE t <> ''),
+walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, any_value(total) AS total, any_value([s])[1:0] AS held, any_value([[s]])[1:0] AS out FROM seq GROUP BY doc_id
+  UNION ALL SELECT doc_id, n, total,
+    CASE WHEN alone THEN held WHEN list_sum(list_transform(list_append(held, s), lambda x: x.l)) >= 450 THEN list_filter(list_append(held, s), lambda x, i: coalesce(list_sum(list_transform(list_append(held, s)[i + 1:], lambda y: y.l)), 0) < 80) ELSE list_append(held, s) END,
+    list_concat(early, CASE WHEN alone THEN [[s]] WHEN list_sum(list_transform(list_append(held, s), lambda x: x.l)) >= 450 THEN [list_append(held, s)] ELSE [[s]][1:0] END)
+  FROM (SELECT doc_id, n, total, s, s.l > 900 AND len(held) = 0 AS alone, CASE WHEN full_ THEN [held] ELSE [held][1:0] END AS early,
+      CASE WHEN full_ THEN list_filter(held, lambda x, i: coalesce(list_sum(list_transform(held[i + 1:], lambda y: y.l)), 0) < 80) ELSE held END AS held
+    FROM (SELECT w.doc_id, q.n, w.total, w.held, q.s, len(w.held) > 0 AND size + q.s.l > 900 AND size >= 300 AS full_
+      FROM (SELECT *, coalesce(list_sum(list_transform(held, lambda x: x.l)), 0) AS size FROM walk) w JOIN seq q ON q.doc_id = w.doc_id AND q.n = w.n + 1))),
+packs AS (SELECT doc_id, n, generate_subscripts(out, 1) AS o, unnest(out) AS pack FROM walk UNION ALL SELECT doc_id, n + 1, 1, held FROM walk WHERE n = total AND len(held) > 0),
+chunks AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, o) AS INTEGER) AS seq, array_to_string(list_transform(pack, lambda x: x.t), '') AS text, pack[1].a AS a, pack[-1].a + pack[-1].l AS b FROM packs)"""
+
+
+@query(PACKED + " SELECT article_id, seq, format('{}-{:04d}', article_id, seq) AS chunk_id, CAST(NULL AS VARCHAR) AS section_title, CAST(NULL AS VARCHAR) AS footnote_ref, false AS is_footnote, text, CAST(length(text) AS INTEGER) AS char_count, CAST(a AS INTEGER) AS char_offset_start, CAST(b AS INTEGER) AS char_offset_end FROM chunks")
 def chunk_pack(spark, sf_dir):
     return chunking.chunk_articles(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(PACKED + " SELECT CAST(sum(n) AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS footnotes, count(*) AS articles, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT article_id, count(*) AS n FROM chunks GROUP BY article_id)")
 def chunk_stats(spark, sf_dir):
     return chunking.stats(chunk_pack(spark, sf_dir))
 
