@@ -98,12 +98,13 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def trim_leading(text: Column, markers: tuple[str, ...] = LEADING, within: int = 500) -> Column:
-    """Cuts after the line of the first marker, in the order given, that the beginning holds."""
+    """Cuts after the line of the first marker, in the order given, that the beginning holds and whose line ends."""
     out = text
     for marker in reversed(markers):
         at = F.locate(marker, F.substring(text, 1, within))
         end = F.call_function("locate", F.lit("\n"), text, at)
-        out = F.when(at > 0, F.when(end > 1, F.substring(text, end + 1, F.length(text))).otherwise(text)).otherwise(out)
+        rest = F.regexp_replace(F.substring(text, end + 1, F.length(text)), r"^\s+", "")
+        out = F.when((at > 0) & (end > 1), rest).otherwise(out)
     return out
 
 
@@ -128,8 +129,10 @@ def trim_trailing(text: Column, markers: tuple[str, ...] = TRAILING, least: int
     return F.when(cut.isNull(), text).otherwise(F.regexp_replace(F.substring(text, F.lit(1), cut), r"\s+\z", ""))
 
 
-def trim_audit(pages: DataFrame, key: str, text: str, markers: tuple[str, ...] = TRAILING, tail: int = 500, around: int = 30) -> DataFrame:
-    """One row for each occurrence of a trailing marker: where, the decision, and what stands around it."""
+def trim_audit(pages: DataFrame, key: str, text: str, markers: tuple[str, ...] = TRAILING, least: int = 2000, tail: int = 500, around: int = 30) -> DataFrame:
+    """One row for each occurrence of a trailing marker in texts long enough to be trimmed: where, the
+    decision, and what stands around it, line breaks shown as arrows."""
+    pages = pages.where(F.length(text) > least)
     parts = []
     for marker in markers:
         pieces = F.split(F.col(text), re.escape(marker), -1)
@@ -143,7 +146,8 @@ def trim_audit(pages: DataFrame, key: str, text: str, markers: tuple[str, ...] =
     opens = F.substring("t", F.lit(1), F.col("at")).rlike(r"(^|\n)[ \t]*\z")
     decision = F.when(near & opens, "TRIM").when(opens, "SKIP_NOT_NEAR_TAIL").when(near, "SKIP_INLINE_CONTEXT").otherwise("SKIP_BOTH")
     start = F.greatest(F.col("at") - around, F.lit(0))
-    return rows.select(key, "marker", "at", decision.alias("decision"), F.substring("t", start + 1, F.col("at") - start + F.length("marker") + around).alias("context"))
+    context = F.translate(F.substring("t", start + 1, F.col("at") - start + F.length("marker") + around), "\n", "↵")
+    return rows.select(key, "marker", "at", F.length("t").alias("body_length"), decision.alias("decision"), context.alias("context"))
 
 
 def frontmatter(**fields: Column) -> Column:

@@ -272,7 +272,7 @@ def page_markdown(spark, sf_dir):
     return cleaning.markdown(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) + 19 > 2000 THEN regexp_replace(text, '\\s+\\z', '') ELSE text || chr(10) || '返回主页 x' END AS body FROM documents")
+@query("SELECT doc_id, regexp_replace(CASE WHEN length(text) + 19 > 2000 THEN regexp_replace(text, '\\s+\\z', '') ELSE text || chr(10) || '返回主页 x' END, '^\\s+', '') AS body FROM documents")
 def boilerplate_trim(spark, sf_dir):
     """A header line and a footer line are put around every text, and trimmed again."""
     page = F.concat(F.lit("Top\n毛泽东文献 m\n"), "text", F.lit("\n返回主页 x"))
@@ -280,7 +280,8 @@ def boilerplate_trim(spark, sf_dir):
     return rows.select("doc_id", cleaning.trim_leading(cleaning.trim_trailing(F.col("page"))).alias("body"))
 
 
-@query()
+@query("""SELECT doc_id, marker, CAST(length(text) + 1 + p AS INTEGER) AS at, CAST(length(page) AS INTEGER) AS body_length, decision, replace(page[greatest(length(text) + 1 + p - 30, 0) + 1:length(text) + 1 + p + length(marker) + 30], chr(10), '↵') AS context
+FROM (SELECT *, text || chr(10) || '返回主页 x 上一篇' AS page FROM documents), (VALUES ('返回主页', 0, 'TRIM'), ('上一篇', 7, 'SKIP_INLINE_CONTEXT')) v(marker, p, decision) WHERE length(page) > 2000""")
 def boilerplate_audit(spark, sf_dir):
     page = F.concat("text", F.lit("\n返回主页 x 上一篇"))
     return cleaning.trim_audit(table(spark, sf_dir, "documents").select("doc_id", page.alias("page")), "doc_id", "page")

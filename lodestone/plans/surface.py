@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.operators import chunking, cleaning, conversation, evaluation, keyword, retrieval
+from lodestone.operators import chunking, cleaning, conversation, evaluation, keyword, rendering, retrieval
 from lodestone.plans.queries import BENCH, EVAL, SHORT, _articles, _bench, _bm25_sql, _cases, _results, query, table
 from lodestone.sources import store
 
@@ -77,6 +77,12 @@ def model_answer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fx.json_object(said, "best string, n int").alias("a")).select("doc_id", "a.best", "a.n")
 
 
+@query("SELECT doc_id, concat_ws(chr(10), '<h2>' || lang || '</h2>', '<p>By <strong>' || source || '</strong> &amp; <span class=\"cite\" data-title=\"' || lang || '\">《' || lang || '》</span> [7]</p>', '<blockquote>', '<p>' || n_chars || '</p>', '</blockquote>', '<ul>', '<li>a</li>', '<li>b</li>', '</ul>', '<hr>') AS html FROM documents")
+def answer_html(spark, sf_dir):
+    text = F.concat(F.lit("# "), "lang", F.lit("\n\nBy **"), "source", F.lit("** &\n《"), "lang", F.lit("》 \\[7]\n> "), "n_chars", F.lit("\n- a\n* b\n\n---"))
+    return table(spark, sf_dir, "documents").select("doc_id", rendering.rendered(text).alias("html"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND lang <> '' THEN lang ELSE source END AS title FROM documents")
 def result_cards(spark, sf_dir):
     """Even documents have a personal title, every third an empty one."""

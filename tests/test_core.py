@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.operators import chunking, cleaning, conversation, embedding, evaluation, keyword, retrieval
+from lodestone.operators import chunking, cleaning, conversation, embedding, evaluation, keyword, rendering, retrieval
 from lodestone.sources import store
 from lodestone.streaming import ratelimit
 
@@ -77,12 +77,28 @@ def test_trims(spark):
     assert one(spark, cleaning.trim_trailing(F.col("t")), t=inline) == inline
     far = "z" * 1600 + "\n返回主页" + "w" * 496
     assert len(far) > 2000 and one(spark, cleaning.trim_trailing(F.col("t")), t=far) == far
-    audit = cleaning.trim_audit(spark.createDataFrame([(1, text), (2, inline), (3, far), (4, "q 返回主页" + "w" * 600)], "id int, t string"), "id", "t")
+    audit = cleaning.trim_audit(spark.createDataFrame([(1, text), (2, inline), (3, far), (4, "q 返回主页" + "w" * 2600), (5, "short\n返回主页")], "id int, t string"), "id", "t")
     assert {(r.id, r.decision) for r in audit.collect()} == {(1, "TRIM"), (2, "SKIP_INLINE_CONTEXT"), (3, "SKIP_NOT_NEAR_TAIL"), (4, "SKIP_BOTH")}
     assert one(spark, cleaning.collapse_blanks(F.col("t")), t="\n a \n\n\n\nb  \n") == "a\n\nb"
     assert one(spark, cleaning.frontmatter(id=F.lit("1"), month=F.lit(None).cast("int"))) == "---\nid: 1\n---\n"
 
 
+def test_leading_marker_without_line_end_gives_way(spark):
+    text = "毛泽东文献\n  y 中文马克思主义文库"
+    assert one(spark, cleaning.trim_leading(F.col("t")), t=text) == "y 中文马克思主义文库"
+
+
+def test_rendering(spark):
+    assert rendering.to_html("") == ""
+    assert rendering.to_html("#### A\n##### B\n1. x\n- y") == "<h4>A</h4>\n<p>##### B</p>\n<ol>\n<li>x</li>\n<li>y</li>\n</ol>"
+    assert rendering.to_html("> q\n>\n> r\n|a|b|\n|-|-|\n| 1 | **2** |\nend") == (
+        "<blockquote>\n<p>q</p>\n<p>r</p>\n<table><thead><tr>\n<th>a</th>\n<th>b</th>\n</tr></thead><tbody>\n<tr>\n<td>1</td>\n<td><strong>2</strong></td>\n</tr>\n</tbody></table>\n</blockquote>\n<p>end</p>"
+    )
+    assert rendering.to_html("|lone|") == ""
+    assert rendering.to_html("it's [t](http://u) <b>") == '<p>it&#39;s <a href="http://u" target="_blank" rel="noopener">t</a> &lt;b&gt;</p>'
+    assert one(spark, rendering.rendered(F.col("t")), t="a\r\nb") == "<p>a b</p>"
+
+
 def test_json(spark):
     assert one(spark, fx.json_strings(F.col("t")), t='```json\n["a", " ", "b "]\n```') == ["a", "b"]
     assert one(spark, fx.json_strings(F.col("t")), t="none") is None
