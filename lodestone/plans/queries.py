@@ -272,12 +272,12 @@ def page_markdown(spark, sf_dir):
     return cleaning.markdown(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT doc_id, regexp_replace(CASE WHEN length(text) + 19 > 2000 THEN regexp_replace(text, '\\s+\\z', '') ELSE text || chr(10) || '返回主页 x' END, '^\\s+', '') AS body FROM documents")
+@query("SELECT doc_id, CASE WHEN length(y) > 2000 THEN regexp_replace(substr(y, 1, length(y) - 6), '\\s+\\z', '') ELSE y END AS body FROM (SELECT doc_id, regexp_replace(text || chr(10) || '返回主页 x', '^\\s+', '') AS y FROM documents)")
 def boilerplate_trim(spark, sf_dir):
     """A header line and a footer line are put around every text, and trimmed again."""
     page = F.concat(F.lit("Top\n毛泽东文献 m\n"), "text", F.lit("\n返回主页 x"))
     rows = table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
-    return rows.select("doc_id", cleaning.trim_leading(cleaning.trim_trailing(F.col("page"))).alias("body"))
+    return rows.select("doc_id", cleaning.trim_trailing(cleaning.trim_leading(F.col("page"))).alias("body"))
 
 
 @query("""SELECT doc_id, marker, CAST(length(text) + 1 + p AS INTEGER) AS at, CAST(length(page) AS INTEGER) AS body_length, decision, replace(page[greatest(length(text) + 1 + p - 30, 0) + 1:length(text) + 1 + p + length(marker) + 30], chr(10), '↵') AS context
