@@ -19,7 +19,7 @@ from lodestone.operators import chunking, cleaning, embedding
 def cleaned(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> (article_id, url, markdown with its head, warnings, ratio_ok)."""
     raw = pages.join(cleaning.markdown(pages), "page_id").withColumn("raw", cleaning.collapse_blanks(F.col("md")))
-    body = raw.withColumn("body", cleaning.trim_trailing(cleaning.trim_leading(F.col("raw"))))
+    body = raw.withColumn("led", cleaning.trim_leading(F.col("raw"))).withColumn("body", cleaning.trim_trailing(F.col("led")))
     head = cleaning.frontmatter(id=F.col("page_id"), source=F.col("url"))
     return body.select(
         F.col("page_id").cast("string").alias("article_id"),

@@ -277,7 +277,7 @@ def boilerplate_trim(spark, sf_dir):
     """A header line and a footer line are put around every text, and trimmed again."""
     page = F.concat(F.lit("Top\n毛泽东文献 m\n"), "text", F.lit("\n返回主页 x"))
     rows = table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
-    return rows.select("doc_id", cleaning.trim_trailing(cleaning.trim_leading(F.col("page"))).alias("body"))
+    return rows.withColumn("led", cleaning.trim_leading(F.col("page"))).select("doc_id", cleaning.trim_trailing(F.col("led")).alias("body"))
 
 
 @query("""SELECT doc_id, marker, CAST(length(text) + 1 + p AS INTEGER) AS at, CAST(length(page) AS INTEGER) AS body_length, decision, replace(page[greatest(length(text) + 1 + p - 30, 0) + 1:length(text) + 1 + p + length(marker) + 30], chr(10), '↵') AS context
