@@ -73,7 +73,8 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", segment:
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 8, params: Bm25 = Bm25(), key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
     """queries: (query_id, query) -> (query_id, rank, id, score), scores above 0, ties to the smaller id."""
     post = postings(docs, key, text)
-    df = post.groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("ctf"))
+    # every use below asks for the same columns and conditions, so that they share one shuffle of the counts
+    df = post.where("token is not null").groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("ctf")).where("df > 0 and ctf > 0")
     sizes = df.agg(F.sum("ctf").alias("words")).crossJoin(docs.agg(F.count("*").cast("double").alias("n"))).select("n", F.try_divide("words", "n").alias("avgdl"))
     raw = df.crossJoin(F.broadcast(sizes)).select("token", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
