@@ -212,6 +212,15 @@ def test_sources(spark, tmp_path):
     assert one(spark, store.decoded(F.col("b")), b=bytearray("毛泽东".encode("gb18030"))) == "毛泽东"
 
 
+def test_spot_check_and_lookup(spark):
+    rows = spark.createDataFrame([(str(i), "downloaded" if i % 2 else None, f"t{i}") for i in range(50)], "id string, status string, title string")
+    picked = [r.id for r in store.spot_check(rows, 10, seed=1).collect()]
+    assert len(set(picked)) == 10 and picked == [r.id for r in store.spot_check(rows.repartition(7), 10, seed=1).collect()]
+    assert set(picked) != {r.id for r in store.spot_check(rows, 10, seed=2).collect()} and store.spot_check(rows.limit(3), 10).count() == 3
+    asked = spark.createDataFrame([("1",), ("2",), ("x",), (None,)], "id string")
+    assert {tuple(r) for r in store.lookup(asked, rows, "title").collect()} == {("1", "found", "t1"), ("2", "not downloaded", None), ("x", "unknown", None), (None, "unknown", None)}
+
+
 def test_rate_limit_counts_accepted_only(spark):
     rows = [(1, float(t), i) for i, t in enumerate([0, 1, 2, 11, 11.5, 12])]
     df = spark.createDataFrame(rows, "k int, t double, o int").withColumn("ts", F.timestamp_seconds("t"))
