@@ -2,11 +2,13 @@
 
 Markup is stripped into lines, one for each block element's run of text.  What is no content by its
 element, class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) becomes a stretch of empty lines, as do lines outside an article that consist of
-links.  The text lengths of ``WINDOW`` neighbouring lines are summed; text surges where the sum rises
-from zero and dives where it falls back to zero, and every stretch between is a candidate.  If the
-page marks an article or main part, the candidates' lines inside it are kept; else the candidate
-with the most text is.
+styles, comments) becomes a gap.  If the page marks an article or main part, the lines inside it are
+kept.  Else gaps and runs of link lines cut the page into stretches, and the text lengths of
+``WINDOW`` neighbouring lines are summed in each.  Text surges where a sum reaches ``SURGE``
+characters, or a quarter of the page's largest sum where that is less.  Kept is all from the first surge
+to the last dive; what stands in the same container as the stretch with the most text; and what only
+an insert (advert, aside, notice, form) parts from it.  Link lines are text where the ``WINDOW`` lines
+on each side outweigh them, else they are dropped and cut.
 
 Defined results: null and empty pages give the empty text; white space inside a block becomes one
 space, blocks are joined by one newline in page order; unclosed or cut markup is read as far as it
@@ -18,13 +20,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-WINDOW = 3
+WINDOW, SURGE = 3, 200
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>])*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
@@ -45,6 +48,11 @@ _WORDS = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
+#: what parts page and article; all else that is no content may be an insert in the article's middle
+_PARTS = frozenset("head nav header footer menu menubar sidebar sidebars navbar navigation breadcrumb breadcrumbs masthead comment comments disqus related recommended toolbar pagination pager banner contentinfo search".split())
+#: elements that may hold an article's blocks
+_BOXES = frozenset("div section article main td center details".split())
+
 
 #: what an article may follow while it is still open: lost end tags; an article in comments or teasers is no main text
 _BEFORE_MAIN = frozenset("nav header menu button head ad ads advert banner".split())
@@ -65,12 +73,16 @@ def _no_content(tag: str, attributes: str) -> str:
     return ""
 
 
-def lines(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, of links) line by line; stripped stretches leave WINDOW empty lines."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(html: str) -> tuple[list[tuple[str, bool, bool, int]], list[int], list[int]]:
+    """(text, in an article, of links, container) line by line, and each container's parent and the last one opened in it.
+
+    Containers are numbered as they open, the page is 0.  A gap is an empty line, of links if it parts page and article.
+    """
+    out: list[tuple[str, bool, bool, int]] = []
+    parent, last, boxes = [0], [0], [("", 0)]
+    opened: dict[str, int] = {}
     run: list[str] = []
     linked = total = 0
-    gap = ("", False, False)
     skipped, depth, reason = "", 0, ""
     article = anchor = 0
     seen = False
@@ -80,7 +92,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
         text = " ".join(unescape("".join(run)).split())
         run.clear()
         if text:
-            out.append((text, article > 0, linked > 0.7 * total))
+            out.append((text, article > 0, linked > 0.7 * total, boxes[-1][1]))
         linked = total = 0
 
     def say(text: str) -> None:
@@ -110,7 +122,7 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
                 continue
         if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and (why := _no_content(tag, m[4])):
             close()
-            out.extend([gap] * WINDOW)
+            out.append(("", False, why in _PARTS, boxes[-1][1]))
             skipped, depth, reason = tag, 1, why
             anchor = 0
             continue
@@ -125,27 +137,67 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
             anchor = 0 if closing else 1
         elif tag in ("br", "td", "th"):
             say(" ")
+        if tag not in _BOXES:
+            continue
+        if not closing:
+            boxes.append((tag, len(parent)))
+            opened[tag] = opened.get(tag, 0) + 1
+            parent.append(boxes[-2][1])
+            last.append(0)
+        while closing and opened.get(tag):
+            name, box = boxes.pop()
+            opened[name] -= 1
+            last[box] = len(parent) - 1
+            closing = name != tag
     say(html[at:])
     close()
-    return out
+    for _, box in boxes:
+        last[box] = len(parent) - 1
+    return out, parent, last
 
 
 def main_text(html: str | None) -> str:
     """The page's main text, its blocks joined by newlines."""
-    found = lines(html or "")
-    if not found:
-        return ""
-    marked = any(inside for _, inside, _ in found)
-    size = np.array([0 if of_links and not inside else len(t) for t, inside, of_links in found])
-    # sums over a window that starts at each line; a stretch runs from a surge to the next dive
-    reach = np.concatenate([np.zeros(WINDOW - 1), size, np.zeros(WINDOW - 1)])
-    sums = np.convolve(reach, np.ones(WINDOW), "valid")
-    high = np.concatenate([[False], sums > 0, [False]])
-    surges, dives = np.flatnonzero(~high[:-1] & high[1:]), np.flatnonzero(high[:-1] & ~high[1:])
-    stretches = [range(max(0, a - WINDOW + 1), min(b, len(found))) for a, b in zip(surges, dives, strict=True)]
-    if not marked:
-        stretches = sorted(stretches, key=lambda r: -sum(size[i] for i in r))[:1]
-    return "\n".join(found[i][0] for r in stretches for i in r if size[i] and (found[i][1] or not marked))
+    found, parent, last = lines(html or "")
+    if any(inside for _, inside, _, _ in found):
+        return "\n".join(t for t, inside, _, _ in found if inside)
+    return "\n".join(found[i][0] for i in _surging(found, parent, last))
+
+
+def _surging(found: list[tuple[str, bool, bool, int]], parent: list[int], last: list[int]) -> list[int]:
+    """The lines of the main text of a page that marks no article."""
+    runs = [(kind, list(run)) for kind, run in groupby(range(len(found)), lambda i: (found[i][0] > "", found[i][2]))]
+    size = [len(text) for text, *_ in found]
+    stretches: list[list[int]] = [[]]
+    parted = [True]  # whether more than an insert stands before the stretch
+    for at, ((text, apart), run) in enumerate(runs):
+        if text and apart:
+            sides = [side for (words, links), side in (runs[max(0, at - 1)], runs[min(at + 1, len(runs) - 1)]) if words and not links]
+            apart = len(sides) < 2 or min(sum(size[i] for i in sides[0][-WINDOW:]), sum(size[i] for i in sides[1][:WINDOW])) <= sum(size[i] for i in run)
+        if text and not apart:
+            stretches[-1].extend(run)
+        elif stretches[-1]:
+            stretches.append([])
+            parted.append(apart)
+        else:
+            parted[-1] |= apart
+    if not stretches[-1]:
+        stretches.pop()
+    if not stretches:
+        return []
+    sums = [max(np.convolve([0 if found[i][2] else size[i] for i in s], np.ones(WINDOW))) for s in stretches]
+    dense = [at for at, most in enumerate(sums) if most >= min(SURGE, max(sums) / 4)]
+    main = [found[i][3] for i in max(stretches, key=lambda s: sum(size[i] for i in s))]
+    home = main[0]
+    while home and not home <= min(main) <= max(main) <= last[home]:
+        home = parent[home]
+    same = [at for at, s in enumerate(stretches) if any(home <= found[i][3] <= (home and last[home]) for i in s)]
+    a, b = min(dense + same), max(dense + same)
+    while a and not parted[a]:
+        a -= 1
+    while b + 1 < len(stretches) and not parted[b + 1]:
+        b += 1
+    return [i for s in stretches[a : b + 1] for i in s]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -138,3 +138,18 @@ def test_html(spark):
     assert html.main_text("<article><p>x < y &am") == "x < y &am"
     got = html.extract(spark.createDataFrame([(1, "u", None), (1, "u", page)], "page_id long, url string, html string")).collect()
     assert [r.n_chars for r in got] == [0, len("A & B\nOne two three.\nFour")]
+
+
+def test_html_unmarked_article_is_whole():
+    halves = [f"{w} paragraph of an article in plain markup, long enough to be read." for w in ("First", "Second", "Third", "Fourth")]
+    a, b, c, d = (f"<p>{h}</p>" for h in halves)
+    inserts = ["<div class=ad>Buy</div>", "<aside>By the way</aside>", "<div class=notice>Note</div>", "<form>f</form>", "<nav>On this page</nav>", "<aside>x</aside><div class=ad>y</div>"]
+    page = "<body><div>Site</div><nav>menu</nav>%s<footer>foot</footer><div>Imprint</div>"
+    for x in inserts:
+        for text in (f"<div>{a}{x}{b}{c}{d}</div>", f"<div>{a}{b}{c}{x}{d}</div>", f"<section>{a}</section>{x}<section>{b}{c}{d}</section>", f"<div>{a}{x}{b}{x}{c}{d}</div>", f"<div><div>{a}{b}</div>{x}{c}{d}</div>"):
+            assert html.main_text(page % text) == "\n".join(halves), text
+    links = "".join(f"<li><a href={n}>link {n}</a>" for n in range(4))
+    assert html.main_text(page % f"<div>{a}{b}<ul>{links}</ul>{c}{d}</div>") == "\n".join([*halves[:2], *(f"link {n}" for n in range(4)), *halves[2:]])
+    assert html.main_text(f"<body><div>Site</div><ul>{links}</ul><div>{a}{b}{c}{d}</div>") == "\n".join(halves)
+    assert html.main_text(f"<body>{a}<nav>toc</nav>{b}") == "\n".join(halves[:2])
+    assert html.main_text("<div>" * 3000 + "deep" + "</section>" * 3000) == "deep"
