@@ -1,4 +1,4 @@
-"""Main text of web pages by the distribution of text over line blocks.
+"""Main text of web pages: the marked article, or else by the distribution of text over line blocks.
 
 Markup is stripped into lines, one for each block element's run of text.  What is no content by its
 element, class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from oracle import SF, same
 
 import corpus_pipeline
-from lodestone.llm import bpe, jpeg, lm, minhash, mixing, queries, sharding
+from lodestone.llm import bpe, html, jpeg, lm, minhash, mixing, queries, sharding
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -189,6 +189,14 @@ def test_op8_articles(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_op8_line_blocks_decide_where_no_article_is_marked(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = re.sub("<(/?)article", r"<\1div", r.html)
+        ends = [m.end() for m in re.finditer("</p>", plain)] or [plain.index("<footer")]
+        at = ends[len(ends) // 2]
+        assert html.main_text(plain) == html.main_text(plain[:at] + "<aside>By the way</aside>" + plain[at:]) == html.main_text(r.html)
+
+
 def test_op9_sql(spark):
     same(queries.op9_chat_format(spark, SF), queries.ORACLE_SQL["op9_chat_format"])
 
