@@ -10,6 +10,12 @@ to the last dive; what stands in the same container as the stretch with the most
 an insert (advert, aside, notice, form) parts from it.  Link lines are text where the ``WINDOW`` lines
 on each side outweigh them, else they are dropped and cut.
 
+A class or id marks no content if it is such a word or is built from one in a known form (site-header,
+ad-slot-2), not if it only holds one (has-sidebar, content-share).  An element that is named like a part
+of a layout stays, on a page with no article elsewhere, if it holds twice the text that is kept without
+it, or more than that text and an article.  Texts of their own kind (adverts, comments, teasers, cookie
+notices) stay dropped however long they are, with any articles in them.
+
 Defined results: null and empty pages give the empty text; white space inside a block becomes one
 space, blocks are joined by one newline in page order; unclosed or cut markup is read as far as it
 goes; rows repeat as they come; extra columns do not matter.
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WINDOW, SURGE = 3, 200
+NESTED = 8
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>])*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
@@ -46,6 +53,12 @@ _KEPT = frozenset("html body main article".split())
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus notice notices cookie cookies consent popup modal newsletter subscribe share sharing social related recommended widget widgets toolbar pagination pager".split()
 )
+#: what may stand before and after such a word in one class or id (site-header, ad-slot-2), and no other word may (has-sidebar, no-banner)
+_BEFORE = frozenset("site page global main top bottom left right primary secondary inner mobile desktop google gpt div js inline mid native sub skip post entry article blog user".split())
+_AFTER = frozenset("left right top bottom primary secondary inner box block area container wrapper wrap list item items link links bar slot unit iframe form signup icon icons toggle button buttons section content media body title label author text message overlay post posts articles stories".split())
+_SIZE = re.compile(r"\d+(?:x\d+)?\Z")
+#: words that layouts bear too: such an element stays if it holds two thirds of the text, or half and an article
+_LAYOUT = frozenset("sidebar sidebars widget widgets banner share sharing social modal popup toolbar subscribe complementary dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 #: what parts page and article; all else that is no content may be an insert in the article's middle
@@ -58,6 +71,17 @@ _BOXES = frozenset("div section article main td center details".split())
 _BEFORE_MAIN = frozenset("nav header menu button head ad ads advert banner".split())
 
 
+def _marking(token: str) -> str:
+    """The word by which a class or id marks no content, or nothing."""
+    if token in _WORDS:
+        return token
+    parts = [p for p in re.split("[_-]+", token) if p and not _SIZE.match(p)]
+    at = [n for n, p in enumerate(parts) if p in _WORDS]
+    if at and _BEFORE.issuperset(parts[: at[0]]) and all(p in _AFTER or p in _WORDS for p in parts[at[0] :]):
+        return parts[at[0]]
+    return ""
+
+
 def _no_content(tag: str, attributes: str) -> str:
     """The word by which an element is no content, or nothing."""
     if tag in _NO_CONTENT:
@@ -68,16 +92,19 @@ def _no_content(tag: str, attributes: str) -> str:
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role" and value.strip() in _ROLES:
             return value.strip()
-        if name.lower() != "role" and (found := _WORDS.intersection(re.split(r"[\s_-]+", value))):
+        if name.lower() != "role" and (found := [w for w in map(_marking, value.split()) if w]):
             return min(found)
     return ""
 
 
-def lines(html: str) -> tuple[list[tuple[str, bool, bool, int]], list[int], list[int]]:
-    """(text, in an article, of links, container) line by line, and each container's parent and the last one opened in it.
+def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[tuple[str, bool, bool, int]], list[int], list[int], list[list[int]]]:
+    """(text, in an article, of links, container) line by line, each container's parent and the last one opened in it, and what layouts it dropped.
 
     Containers are numbered as they open, the page is 0.  A gap is an empty line, of links if it parts page and article.
+    A dropped layout is its place, its characters of text and its articles; what stands at a place in ``spared`` is content (None: every layout).
     """
+    layouts: list[list[int]] = []
+    dropped = [0, 0, 0]
     out: list[tuple[str, bool, bool, int]] = []
     parent, last, boxes = [0], [0], [("", 0)]
     opened: dict[str, int] = {}
@@ -97,7 +124,9 @@ def lines(html: str) -> tuple[list[tuple[str, bool, bool, int]], list[int], list
 
     def say(text: str) -> None:
         nonlocal linked, total
-        if text and not skipped:
+        if skipped:
+            dropped[1] += len(text.strip())
+        elif text:
             run.append(text)
             n = len(text.strip())
             total += n
@@ -115,13 +144,17 @@ def lines(html: str) -> tuple[list[tuple[str, bool, bool, int]], list[int], list
             if tag in ("article", "main") and not closing and not seen and (reason in _BEFORE_MAIN or tag == "main"):
                 skipped = ""
             else:
+                dropped[2] += tag == "article" and not closing
                 if tag == skipped:
                     depth += -1 if closing else 1
                     if not depth:
                         skipped = ""
                 continue
-        if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and (why := _no_content(tag, m[4])):
+        if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and (why := _no_content(tag, m[4])) and not (tag not in _NO_CONTENT and why in _LAYOUT and (spared is None or m.start() in spared)):
             close()
+            dropped = [m.start(), 0, 0]
+            if tag not in _NO_CONTENT and why in _LAYOUT:
+                layouts.append(dropped)
             out.append(("", False, why in _PARTS, boxes[-1][1]))
             skipped, depth, reason = tag, 1, why
             anchor = 0
@@ -153,12 +186,21 @@ def lines(html: str) -> tuple[list[tuple[str, bool, bool, int]], list[int], list
     close()
     for _, box in boxes:
         last[box] = len(parent) - 1
-    return out, parent, last
+    return out, parent, last, layouts
 
 
 def main_text(html: str | None) -> str:
     """The page's main text, its blocks joined by newlines."""
-    found, parent, last = lines(html or "")
+    html, spared = html or "", frozenset()
+    found, parent, last, layouts = lines(html)
+    while layouts and not any(inside for _, inside, _, _ in found):
+        kept = sum(len(text) for text, _, of_links, _ in found if not of_links)
+        place, size, articles = max(layouts, key=lambda x: x[1])
+        if size <= kept * (1 if articles else 2):
+            break
+        # each turn reads the page again: layouts nested deeper than NESTED all stay
+        spared = spared | {place} if len(spared) < NESTED else None
+        found, parent, last, layouts = lines(html, spared)
     if any(inside for _, inside, _, _ in found):
         return "\n".join(t for t, inside, _, _ in found if inside)
     return "\n".join(found[i][0] for i in _surging(found, parent, last))

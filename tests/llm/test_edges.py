@@ -153,3 +153,16 @@ def test_html_unmarked_article_is_whole():
     assert html.main_text(f"<body><div>Site</div><ul>{links}</ul><div>{a}{b}{c}{d}</div>") == "\n".join(halves)
     assert html.main_text(f"<body>{a}<nav>toc</nav>{b}") == "\n".join(halves[:2])
     assert html.main_text("<div>" * 3000 + "deep" + "</section>" * 3000) == "deep"
+
+
+def test_html_layout_wrappers_stay():
+    text = "<p>First paragraph of an article.</p><p>Second paragraph of an article.</p>"
+    want = "First paragraph of an article.\nSecond paragraph of an article."
+    wrappers = ['class="wrapper with-sidebar"', "id=content-share", 'class="post no-banner"', "class=ad-free", 'class="wrapper sidebar"', "class=widget", "class=sidebar-left", 'class="share"', "role=dialog"]
+    for w in wrappers:
+        for body in (text, f"<article>{text}</article>", f"<div class=widget>{text}</div>"):
+            assert html.main_text(f"<body><nav>menu</nav><div>Site</div><nav>x</nav><div {w}>{body}</div><footer>f</footer>") == want, (w, body)
+    for w in ("site-header", "left-sidebar", "sidebar-2", "ad-slot-1", "div-gpt-ad-123", "ad_300x250", "cookie-notice", "comment-list", "related-posts", "main-nav", "share-buttons"):
+        assert html.main_text(f'<div>{text}</div><div class="x {w}">junk</div>') == html.main_text(f"<article>{text}</article><div id={w}>{text * 9}</div>") == want, w
+    assert html.main_text(f"<div>{text}</div><div class=comments>{text * 9}<article>no</article></div><div class=ad>{text * 9}</div>") == want
+    assert html.main_text("<div class=widget>" * 5000 + text) == want
