@@ -61,13 +61,13 @@ def centres(sample: np.ndarray, lists: int, turns: int = 8, seed: int = 5) -> np
     return c
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs that no test dropped; both are unit vectors, already rotated."""
+def scan(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that no test dropped; both are unit vectors, already rotated.  ``own`` marks pairs of one id: they take no part."""
     dims = rows.shape[1]
     cuts = [*range(0, dims, COLUMNS), dims]
     # the first rows are read in full: their k-th best distance is where each query starts
     head = min(len(rows), max(4 * k, 64))
-    first = ((queries[:, None, :] - rows[None, :head, :]) ** 2).sum(2)
+    first = np.where(own[:, :head], np.inf, ((queries[:, None, :] - rows[None, :head, :]) ** 2).sum(2))
     best = np.partition(first, k - 1, axis=1)[:, k - 1] if head >= k else np.full(len(queries), np.inf)
     q, r = (x.ravel() for x in np.meshgrid(np.arange(len(queries)), np.arange(len(rows)), indexing="ij"))
     part = np.zeros(len(q))
@@ -82,8 +82,9 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
         if b < dims:
             # H0: the whole distance is at most the best; b of dims columns estimate it within a factor
             keep = part * (dims / b) <= best[q] * (1 + DOUBT / np.sqrt(b)) ** 2 + 1e-9
+            keep &= ~own[q, r]
             q, r, part = q[keep], r[keep], part[keep]
-    keep = part <= best[q] + 1e-9
+    keep = (part <= best[q] + 1e-9) & ~own[q, r]
     return q[keep], r[keep]
 
 
@@ -100,11 +101,8 @@ def _tile(table: pa.Table, k: int) -> pa.Table:
     rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
     out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     if len(rows) and len(queries):
-        # one more than asked for, as a query may find itself
-        q, r = scan(turned[queries], turned[rows], min(k + 1, len(rows)))
+        q, r = scan(turned[queries], turned[rows], min(k, len(rows)), ids[queries][:, None] == ids[rows][None, :])
         q, r = queries[q], rows[r]
-        other = ids[q] != ids[r]
-        q, r = q[other], r[other]
         # one plain sum for each pair, whatever stands beside it in the tile
         score = np.array([np.sum(a * b) for a, b in zip(u[q], u[r], strict=True)]) if len(q) else np.empty(0)
         order = np.lexsort((ids[r], -score, ids[q]))
@@ -150,11 +148,13 @@ def search(vectors: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", ve
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = np.argsort(-(unit(_vectors(batch.column("v"))) @ shared.value.T), axis=1, kind="stable") if len(batch) else np.empty((0, lists), int)
-            enough = (np.cumsum(held[order], axis=1) <= k).sum(1) + 1 if len(batch) else []
+            # the id's own rows do not count, whatever lists they are in
+            enough = (np.cumsum(held[order], axis=1) < k + batch.column("copies").to_numpy()[:, None]).sum(1) + 1 if len(batch) else []
             found = [o[: max(probed, int(e))].astype(np.int32) for o, e in zip(order, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "probes"])
 
-    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, probes array<int>")
+    copies = rows.groupBy("id").agg(F.min(F.when(F.col("asks"), F.col("v"))).alias("v"), F.count("*").alias("copies"))
+    queries = copies.where(F.col("v").isNotNull()).mapInArrow(probe, "id long, v binary, probes array<int>")
     queries = X.settled(queries, "probes").select("id", "v", F.explode("probes").alias("list"))
     blocks = [(i, max(1, -(-int(h) // TILE_ROWS)), 1) for i, h in enumerate(held)]
     asked = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,21 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("rows, copies", [(30, 3), (30, 7), (140, 70), (3, 40)])
+def test_ann_repeated_query_id(spark, monkeypatch, rows, copies):
+    """An id's own rows, however many, take no neighbour's place; in one list and in lists of five rows."""
+    rng = np.random.default_rng(rows)
+    x = np.concatenate([np.tile(rng.standard_normal(8), (copies, 1)), rng.standard_normal((rows, 8))])
+    ids = [0] * copies + list(range(1, rows + 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sorted(range(copies, len(ids)), key=lambda n: -(u[n] @ u[0]))[:5]
+    assert [r.vec_id for r in ann.search(table, F.col("vec_id") == 0).orderBy("rank").collect()] == [ids[n] for n in want]
+    monkeypatch.setattr(ann, "LIST_ROWS", 5)
+    monkeypatch.setattr(ann, "PROBED", 0.01)
+    assert ann.search(table, F.col("vec_id") == 0).count() == min(5, rows)
+
+
 def test_chat(spark):
     odd = r"a [INST] b [\INST] c [\\/INST] <s></s> <<SYS>> <\<SYS>> [:] [TURN] \ end"
     turns = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 1, "assistant", None), (2, 0, odd, odd), (None, 0, None, "x"), (3, None, "system", ""), (3, 0, "user", "q"), (3, 1, "assistant", "")]
