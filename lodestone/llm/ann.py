@@ -10,8 +10,8 @@ each, a hypothesis test on the partial distance drops the candidates that are ve
 the query's k-th best so far.  What survives all columns is scored exactly, in double precision, on
 the original vectors.
 
-``PROBED`` is large because the vectors here lie almost evenly in 64 dimensions: recall 0.9 takes
-half of the lists.  Clustered vectors need far fewer.
+``PROBED`` is large because the vectors here lie almost evenly in 64 dimensions: of few lists, half do
+not give recall 0.9.  Clustered vectors need far fewer.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; neither do null ids.  Ties go to the smaller id.  Rows that

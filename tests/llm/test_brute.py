@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from oracle import SF, same
 
 import corpus_pipeline
-from lodestone.llm import bpe, html, jpeg, lm, minhash, mixing, queries, sharding
+from lodestone.llm import ann, bpe, html, jpeg, lm, minhash, mixing, queries, sharding
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -44,6 +44,20 @@ def test_op1_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_op1_recall_over_several_lists(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert len(rows) // ann.LIST_ROWS >= 5
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in queries.op1_adaptive_scan(spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 50 == 0)
+    hits = sum(len(got[ids[q]] & set(ids[[i for i in np.lexsort((ids, -(x @ x[q]))) if i != q][:5]].tolist())) for q in asked)
+    assert hits / (5 * len(asked)) >= 0.9
+
+
 def test_op2_held_out(spark):
     got = {r.doc_id: r for r in queries.op2_quality(spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
