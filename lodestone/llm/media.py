@@ -3,7 +3,7 @@
 A text's UTF-8 bytes and zero bytes up to a positive multiple of 64 are its payload.  Every 64 bytes
 are one 8 x 8 block's coefficients in zigzag order, the format's own unit, which its scans keep
 without loss (samples would be rounded by the transform).  The file holds them as a grey image of one
-quantiser, at most ``ACROSS`` blocks wide, in six scans of spectral selection and successive
+quantiser, at most ``ACROSS`` blocks wide (wider if it would be over ``DOWN`` blocks high), in six scans of spectral selection and successive
 approximation; a comment holds the payload's length, as the last row of blocks may be filled up.
 Reading accumulates the scans into coefficients, transforms them to samples and repeats grey (or
 chroma, in other files) to a full RGB tensor, whose shape, mean and checksum are the feature.
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from lodestone.llm import jpeg
 from lodestone.llm import text as X
 
-ACROSS = 64
+#: columns of blocks, and the most rows of blocks that the format's 16 bits of height hold
+ACROSS, DOWN = 64, 65_535 // 8
 #: bytes of text or of files that are coded in step
 STEP_BYTES = 1 << 19
 
@@ -36,7 +37,7 @@ def _files(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """The stored file of every row of a flat column."""
     sizes = np.diff(offsets)
     blocks = np.maximum(1, -(-sizes // 64))
-    columns = np.minimum(blocks, ACROSS)
+    columns = np.maximum(np.minimum(blocks, ACROSS), -(-blocks // DOWN))
     rows = -(-blocks // columns)
     first = np.concatenate([[0], np.cumsum(rows * columns)])
     c = np.zeros(first[-1] * 64, dtype=np.uint8)

@@ -71,6 +71,19 @@ def test_media(spark, docs, none):
     assert media.features(media.store(none)).count() == 0
 
 
+def test_media_wider_when_too_high(monkeypatch):
+    shapes = []
+    with monkeypatch.context() as m:
+        m.setattr(media.jpeg, "encode", lambda parts, s, notes: shapes.extend(s) or [b""])
+        for n in (64 * 8191 * 64, 64 * 8191 * 64 + 1, 3 * 64 * 8191 * 64):
+            media._files(np.zeros(n, np.uint8), np.array([0, n]))
+    assert shapes == [(65_528, 512), (64_520, 520), (65_528, 1536)]
+    monkeypatch.setattr(media, "DOWN", 3)
+    raw = np.random.default_rng(2).integers(0, 256, 64 * 250 + 5).astype(np.uint8)
+    ((payload, rgb),) = media._read(media._files(raw, np.array([0, len(raw)])))
+    assert payload == raw.tobytes() + bytes(59) and rgb.shape == (24, 84 * 8, 3)
+
+
 def test_minhash(spark, docs, none):
     got = {(r.doc_id, r.u): r for r in minhash.classes(docs).collect()}
     of = {i: r.class_id for (i, _), r in got.items()}
