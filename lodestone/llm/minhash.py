@@ -12,16 +12,16 @@ probability equal to their weighted Jaccard similarity.
 
 Links.  Equal texts are one class from the start and go on as one representative.  Signatures are
 cut into bands; texts that share a band go to a bucket.  In a bucket the text that meets the most
-others in all its buckets leads, and every other is compared with it.  Texts that prove unlike
-their leader stay for the next round, in which they elect another.  ``ROUNDS`` rounds unite most of
-what is alike without emitting a bucket's pairs.  Then, in every bucket that still holds several
-components, all texts outside its largest component are compared with all the others, in tiles
-bounded in rows and bytes: signatures first, then, from the likeliest on, the whole texts.  A tile
-gives out one link of a text to each component that it is like, so no pairs are emitted and
-no link between components that share a bucket is lost.  Pairs whose signatures agree very well or
-very badly are settled by them; all others are settled by exact weighted Jaccard on the whole texts.
-Classes are the connected components of the links, found by
-spreading least ids with pointer jumping.
+others in all its buckets leads, and every other is compared with it, once for all the buckets that
+they share: signatures first, then the whole texts.  Following the most central leader that it is like
+gives every text the label of a group.  Then, in every bucket whose other texts bear several labels,
+all texts outside its largest group are compared with all the others, in tiles bounded in rows and
+bytes, from the likeliest on.  A tile gives out one link of each label to each other that it is like, so
+no pairs are emitted and no link between labels that share a bucket is lost.  Pairs whose signatures
+agree very well or very badly are settled by them; all others are settled by exact weighted Jaccard on
+the whole texts.  Classes are the connected components of the links between labels, found by
+spreading least labels with pointer jumping.  A leader, text or label with a large share of all rows
+stands on one side of plain equality joins only, whose other side the engine splits.
 
 Defined results: null counts as empty; all empty texts are one class; rows of equal texts share a
 class; repeated ids give one row each; null ids take part like any other row.  A class id is the
@@ -35,14 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
-ROUNDS = 2
-#: rows of one side of a tile, where what the rounds leave is compared
+#: rows of one side of a tile, where what leaders leave apart is compared
 TILE = 1024
 #: and of text of one side
 TILE_BYTES = 16 << 20
@@ -147,22 +147,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column("k"),
                     part.column("u"),
+                    pa.array(np.diff(X.flat(part.column("t"))[1])),
                     pa.array([s.tobytes() if s.any() else None for s in short], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, BANDS * len(part) + 1, BANDS, dtype=np.int32), band_hashes(signatures).reshape(-1).view(np.int64)),
                 ],
-                ["k", "u", "sig", "bands"],
+                ["k", "u", "size", "sig", "bands"],
             )
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same = np.zeros(len(batch), dtype=np.int32)
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sa", "sb"))
-            same = (a == b).sum(1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same)], ["a", "b", "same"])
-
-
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two (sorted hashes, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -171,12 +163,20 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / union) if union else 1.0
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(o, l) of those texts o that are like their leader l, of (o, l, sa, sb, ta, tb)."""
     for batch in batches:
-        for part in X.slices(batch, "tb"):
-            for one in X.slices(part, "ta"):
-                like = [weighted_jaccard(x, y) >= SIMILAR for x, y in zip(_bags(one.column("ta")), _bags(one.column("tb")), strict=True)]
-                yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(like, pa.bool_())], ["a", "b", "like"])
+        for part in (one for wide in X.slices(batch, "tb") for one in X.slices(wide, "ta")):
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(len(part), -1) for c in ("sa", "sb"))
+            same = np.count_nonzero(a == b, axis=1)
+            like = same >= SURE
+            open_ = np.flatnonzero((same >= UNLIKE) & ~like)
+            texts = part.take(pa.array(open_))
+            # a leader's rows stand together: its text is taken apart once
+            lead, at = np.unique(np.array(texts.column("tb").dictionary_encode().indices), return_inverse=True, return_index=True)[1:] if len(open_) else (open_, open_)
+            leaders = _bags(texts.column("tb").take(pa.array(lead)))
+            like[open_] = [weighted_jaccard(x, leaders[y]) >= SIMILAR for x, y in zip(_bags(texts.column("ta")), at, strict=True)]
+            yield part.select(["o", "l"]).filter(pa.array(like))
 
 
 def small(keys: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _tile(table: pa.Table) -> pa.Table:
-    """(a, b): for each row of the small components one link to each other component that it is like.
+    """(a, b): one link between any two labels of which a row of the small groups and another row are alike.
 
     Candidates are tried from the likeliest on until one is like; pairs of an earlier common band are left to it.
     """
@@ -202,11 +202,12 @@ def _tile(table: pa.Table) -> pa.Table:
     band = table.column("band")[0].as_py()
     u = table.column("u").to_pylist()
     _, place = np.unique(np.array([x.hex() for x in u]), return_inverse=True)
-    _, part = np.unique(np.array([x.hex() for x in table.column("c").to_pylist()]), return_inverse=True)
+    label = table.column("c").to_pylist()
+    _, part = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
     few, main = (np.array(table.column(x).to_pylist(), dtype=bool) for x in ("few", "main"))
     others = np.flatnonzero(~few)
     bags = None
-    out: list[tuple[bytes, bytes]] = []
+    out: set[tuple[bytes, bytes]] = set()
     for x in np.flatnonzero(few):
         # two rows of small components meet twice; the lesser one speaks for them
         near = others[(part[others] != part[x]) & (main[others] | (place[others] > place[x]))]
@@ -223,134 +224,110 @@ def _tile(table: pa.Table) -> pa.Table:
             y = near[i]
             if part[y] not in met and (same[i] >= SURE or weighted_jaccard(bags[x], bags[y]) >= SIMILAR):
                 met.add(part[y])
-                out.append((min(u[x], u[y]), max(u[x], u[y])))
-    left, right = zip(*out, strict=True) if out else ((), ())
+                out.add((min(label[x], label[y]), max(label[x], label[y])))
+    left, right = zip(*sorted(out), strict=True) if out else ((), ())
     return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
 
-def _across(spread: DataFrame, first: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links between the components that meet in a bucket.
+def _across(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links between the labels that meet in a bucket; rest: (h, band, u, size, c) without the buckets' leaders.
 
-    A bucket's first leader has met all of it.  Of the others, those outside the largest component
-    are compared with everyone, in tiles of about TILE rows and TILE_BYTES of text a side.
+    Those outside the bucket's largest group are compared with everyone, in tiles of about TILE rows and TILE_BYTES
+    of text a side.
     """
-    rest = spread.join(first, ["h", "u"], "left_anti").join(roots.withColumnRenamed("node", "u"), "u", "left")
-    rest = X.settled(rest.select("h", "band", "u", F.coalesce("root", "u").alias("c")), "met")
-    mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    rest = X.settled(rest.join(mixed, "h"), "mixed")
-    asked = rest.select("u").distinct()
-    one = texts.join(small(asked), "u").groupBy("u").agg(F.first("t").alias("t"))
-    known = X.settled(one.join(sketches.select("u", "sig"), "u").withColumn("size", F.octet_length("t").cast("long")), "compared")
-    sized = rest.join(known.select("u", "size"), "u")
-    parts = sized.groupBy("h", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("h").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "c")).alias("top"))
+    groups = rest.groupBy("h", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = groups.groupBy("h").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "c")).alias("top")).where("labels > 1")
     blocks = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("int")
     parts = parts.select("h", F.col("top.c").alias("top"), blocks(F.col("n"), F.col("size")).alias("js"), F.greatest(blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")), F.lit(1)).alias("is"))
-    rows = rest.join(parts, "h").join(known, "u")
+    rows = rest.drop("size").join(parts, "h").join(known, "u")
     own = lambda count: F.pmod(F.xxhash64("u", F.lit(9)), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    columns = ["h", "i", "j", "few", "main", "band", "u", "c", "sig", "t"]
-    main = (F.col("c") == F.col("top")).alias("main")
-    minor = rows.where("c <> top").select("*", F.lit(True).alias("few"), main, own("is").alias("i")).withColumn("j", every("js"))
-    whole = rows.select("*", F.lit(False).alias("few"), main, own("js").alias("j")).withColumn("i", every("is"))
-    tiles = minor.select(*columns).unionByName(whole.select(*columns))
-    return tiles.groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary")
-
-
-def _agreed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, same): on how many coordinates the pairs' signatures agree."""
-    s = sketches.select("u", "sig")
-    sides = pairs.join(s.select(F.col("u").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("u").alias("b"), F.col("sig").alias("sb")), "b")
-    return X.settled(sides.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a binary, b binary, same int"), "pairs")
-
-
-def _judged(counted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, like) of distinct pairs (a, b, same) of text keys."""
-    sure = counted.where(f"same >= {SURE} or same < {UNLIKE}").select("a", "b", (F.col("same") >= SURE).alias("like"))
-    open_ = counted.where(f"same >= {UNLIKE} and same < {SURE}").select("a", "b")
-    asked = open_.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    t = texts.join(small(asked), "u").groupBy("u").agg(F.first("t").alias("t"))
-    both = open_.join(t.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b")
-    return X.settled(sure.unionByName(both.select("a", "b", "ta", "tb").mapInArrow(_exact, "a binary, b binary, like boolean")), "judged")
+    main = F.col("c") == F.col("top")
+    # a row stands on the right side once for every i, and one outside the largest group on the left side once for every j
+    side = lambda few, i, j: F.struct(F.lit(few).alias("few"), i.alias("i"), j.alias("j"))
+    right = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: side(False, i, own("js")))
+    left = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: side(True, own("is"), j))
+    tiles = rows.select("h", main.alias("main"), "band", "u", "c", "sig", "t", F.explode(F.when(main, right).otherwise(F.concat(right, left))).alias("side"))
+    return tiles.select("h", "side.*", "main", "band", "u", "c", "sig", "t").groupBy("h", "i", "j").applyInArrow(_tile, "a binary, b binary")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of an edge list: its component's least node."""
-    both = X.settled(edges.select(F.col(a).alias("v"), F.col(b).alias("w")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("w"))).where("v <> w").distinct(), "edges")
+    both = edges.select(F.explode(F.array(F.struct(F.col(a).alias("v"), F.col(b).alias("w")), F.struct(F.col(b).alias("v"), F.col(a).alias("w")))).alias("e")).select("e.*").where("v <> w").distinct()
+    both, found = X.observed(both, "edges", n=F.count("*"))
+    if not found["n"]:
+        return both.select(F.col("v").alias("node"), F.col("w").alias("root"))
     roots = X.settled(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("v").alias("w"), F.col("root").alias("r")), "w").groupBy("v").agg(F.min("r").alias("r"))
         least = roots.join(near, "v").select("v", F.least("root", "r").alias("to"), "root")
         jump = roots.select(F.col("v").alias("to"), F.col("root").alias("far"))
-        moved = X.settled(least.join(jump, "to").select("v", F.least("to", "far").alias("root"), F.col("root").alias("was")), "roots")
-        if moved.where("root <> was").isEmpty():
-            return moved.select(F.col("v").alias("node"), "root")
+        moved = least.join(jump, "to").select("v", F.least("to", "far").alias("root"), F.col("root").alias("was"))
+        moved, found = X.observed(moved, "roots", n=F.count_if(F.col("root") != F.col("was")))
         roots = moved.select("v", "root")
+        if not found["n"]:
+            return roots.withColumnRenamed("v", "node")
+
 
+def groups(sketches: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, c): the labels of texts that bear another's, and (node, root): the roots of labels that are linked.
 
-def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links between distinct texts; sketches: (u, sig, bands), one row each; texts: (u, t), any number of rows each."""
-    spread = sketches.select("u", F.posexplode("bands").alias("band", "h"))
+    sketches: (u, size, sig, bands), one row each; texts: (u, t), any number of rows each.
+    """
+    spread = sketches.select("u", "size", F.posexplode("bands").alias("band", "h"))
     # one text alone in its bucket has no partner
     shared = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    spread = X.settled(spread.join(shared, "h"), "buckets")
     # the text that meets the most others leads: a template rather than one of its many variants
-    central = spread.groupBy("u").agg((-F.sum("n")).alias("met"))
-    left = X.settled(spread.join(central, "u").select("h", "band", "u", F.struct("met", F.xxhash64("u").alias("x")).alias("o"), F.col("u").alias("c")), "left")
-    found: DataFrame | None = None
-    first: DataFrame | None = None
-    for _ in range(ROUNDS):
-        lead = left.groupBy("h").agg(F.min(F.struct("o", "u", "c")).alias("l")).select("h", F.col("l.u").alias("l"), F.col("l.c").alias("lc"))
-        first = lead.select("h", F.col("l").alias("u")) if first is None else first
-        tied = left.join(lead, "h").where("u <> l")
-        tied = X.settled(tied.select("h", "band", "u", "o", (F.col("c") != F.col("lc")).alias("apart"), F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")), "tied")
-        pairs = tied.where("apart").select("a", "b").distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = X.settled(pairs, "candidates")
-        if not pairs.isEmpty():
-            judged = _judged(_agreed(pairs, sketches), texts)
-            found = judged if found is None else X.settled(found.unionByName(judged), "found")
-        if found is None:
-            break
-        # what is like its leader leaves the bucket; buckets whose rest is one component already are done
-        rest = tied.select("h", "band", "u", "o", "a", "b").join(found.where("like").select("a", "b"), ["a", "b"], "left_anti").select("h", "band", "u", "o")
-        roots = components(found.where("like").select("a", "b"))
-        rest = X.settled(rest.join(roots.withColumnRenamed("node", "u"), "u", "left").select("h", "band", "u", "o", F.coalesce("root", "u").alias("c")), "rest")
-        mixed = rest.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-        left = X.settled(rest.join(mixed, "h"), "left")
-        if left.isEmpty():
-            break
-    if found is None:
-        return texts.sparkSession.createDataFrame([], "a binary, b binary")
-    # a text like its leader may be the only one that a text unlike the leader is like
-    across = X.settled(_across(spread, first, roots, sketches, texts), "across")
-    return found.where("like").select("a", "b").unionByName(across)
+    central = F.struct((-F.sum("n").over(W.partitionBy("u"))).alias("met"), F.xxhash64("u").alias("x"), "u")
+    spread = X.settled(spread.join(shared, "h").select("h", "band", "size", central.alias("o")), "buckets")
+    asked = spread.select("o.u").distinct()
+    known = texts.join(small(asked), "u").groupBy("u").agg(F.first("t").alias("t"))
+    known = X.settled(known.join(sketches.select("u", "sig"), "u"), "known")
+    lead = spread.groupBy("h").agg(F.min("o").alias("l"))
+    tied = X.settled(spread.join(lead, "h").where("o.u <> l.u"), "tied")
+    a, b = (known.select(F.col("u").alias(n), F.col("sig").alias(f"s{n}"), F.col("t").alias(f"t{n}")) for n in "ab")
+    pairs = tied.select("o", "l").distinct().select("o", "l", F.col("o.u").alias("a"), F.col("l.u").alias("b"))
+    node = "struct<met: bigint, x: bigint, u: binary>"
+    found = X.settled(pairs.join(a, "a").join(b, "b").select("o", "l", "sa", "sb", "ta", "tb").mapInArrow(_like, f"o {node}, l {node}"), "found")
+    # leaders meet more others than those that follow them, so following them ends; what ends later gets another label and meets in _across
+    first = X.settled(found.groupBy(F.col("o.u").alias("u")).agg(F.min("l").alias("l")).select("u", F.col("l.u").alias("c")), "followed")
+    then = first.select(F.col("u").alias("c"), F.col("c").alias("d"))
+    last = then.select(F.col("c").alias("d"), F.col("d").alias("e"))
+    labels = X.settled(first.join(then, "c", "left").join(last, "d", "left").select("u", F.coalesce("e", "d", "c").alias("c")), "labels")
+    rest = tied.select("h", "band", F.col("o.u").alias("u"), "size").join(labels, "u", "left").withColumn("c", F.coalesce("c", "u"))
+    across = _across(X.settled(rest, "rest"), known)
+    # the links to leaders, as links of labels
+    a, b = (labels.select(F.col("u").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
+    tie = found.select(F.col("o.u").alias("a"), F.col("l.u").alias("b")).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    return labels, components(across.unionByName(tie))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, head, least, u) of every row: head tells whether its text leads its class, least is
     the least id of its text and u the text's key.  A class keeps its head's row with the least id."""
-    spark = docs.sparkSession
-    X.small_batches(spark)
+    X.small_batches(docs.sparkSession)
     # the copies of a text are one text from here on; its key is a 256-bit hash
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("u", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
     k_type = docs.schema[key].dataType.simpleString()
-    keys = X.settled(rows.mapInArrow(_sketch, f"k {k_type}, u binary, sig binary, bands array<bigint>"), "sketched")
-    ids = X.settled(keys.groupBy("u").agg(F.min("k").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "ids")
-    roots = components(links(ids.where("sig is not null").select("u", "sig", "bands"), rows.select("u", "t")))
-    ids = ids.select("u", "least")
-    named = ids.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    keys = X.settled(rows.mapInArrow(_sketch, f"k {k_type}, u binary, size bigint, sig binary, bands array<bigint>"), "sketched")
+    ids = X.settled(keys.groupBy("u").agg(F.min("k").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "ids")
+    labels, roots = groups(ids.where("sig is not null").select("u", "size", "sig", "bands"), rows.select("u", "t"))
+    named = ids.select("u", "least").join(labels, "u", "left").withColumn("node", F.coalesce("c", "u")).join(roots, "node", "left")
+    named = X.settled(named.select("u", "least", F.coalesce("root", "node").alias("root")), "named")
     least = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "u")).alias("m"))
-    final = X.settled(named.join(least, "root").select("u", F.col("m.least").alias("class_id"), (F.col("u") == F.col("m.u")).alias("head"), "least"), "classes")
+    final = named.join(least, "root").select("u", F.col("m.least").alias("class_id"), (F.col("u") == F.col("m.u")).alias("head"), "least")
     return keys.select("k", "u").join(final, "u").select(F.col("k").alias(key), "class_id", "head", "least", "u")
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each class, with the columns of docs."""
-    with X.unused_names(docs, "u") as (u,):
-        heads = classes(docs, key, text).where("head").select("least", F.col("u").alias(u)).distinct()
+    """One row of docs for each class, with the columns of docs.
+
+    Of rows with one id and one text, that whose other columns come first as JSON.
+    """
+    with X.unused_names(docs, "u", "least", "row") as (u, least, row):
+        heads = classes(docs, key, text).where("head").select(F.col("least").alias(least), F.col("u").alias(u)).distinct()
         rows = docs.withColumn(u, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-        with X.unused_names(rows, "least") as (least,):
-            few = heads.withColumnRenamed("least", least)
-            same = (rows[u] == few[u]) & rows[key].eqNullSafe(few[least])
-            return rows.join(few, same, "left_semi").dropDuplicates([key, u]).select(*docs.columns)
+        same = (rows[u] == heads[u]) & rows[key].eqNullSafe(heads[least])
+        found = rows.join(heads, same, "left_semi")
+        others = [c for c in docs.columns if c not in (key, text)]
+        one = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))) if others else F.lit(0))
+        return found.groupBy(u).agg(one.alias(row)).select(f"{row}.*")

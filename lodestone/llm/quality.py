@@ -8,7 +8,8 @@ text's value of a feature is its share of the text's n-grams times ``SCALE``; th
 logistic function of the sparse dot product with the weights.
 
 The model is fitted on a bounded sample: of the labelled rows that ``train`` admits, the
-``max_train`` with the smallest hash of their id.  Everything else covers all rows.
+``max_train`` with the smallest hash of their id, in one task that returns the weights.  Everything
+else covers all rows.
 
 Defined results: null and empty texts have no features and score the bias alone; null ids and null
 labels do not train; several labels of one id count by their mean (1 from 0.5 on); without any
@@ -31,6 +32,8 @@ from lodestone.llm import text as X
 
 BITS = 18
 SCALE = 12.0
+#: features (8 bytes each) of all rows that train together; further rows do not train
+MOST_FEATURES = 25_000_000
 
 _KIND = np.where(X.IS_SPACE, 0, 2).astype(np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -91,7 +94,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passe
 
     for _ in range(passes):
         for index, value, label in rows:
-            i, x = np.append(index, size), np.append(value, 1.0)
+            i, x = np.append(index.astype(np.int64), size), np.append(value.astype(np.float64), 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
@@ -103,7 +106,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passe
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 6000) -> Model:
-    """Fits on at most ``max_train`` labelled rows (the bound on what reaches the driver)."""
+    """Fits on at most ``max_train`` labelled rows with MOST_FEATURES features, those with the smallest hash of their id."""
     named = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).where("k is not null and y is not null")
     named = named.groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     sample = named.where(train if not isinstance(train, str) else F.expr(train)).orderBy(F.xxhash64("k"), "k").limit(max_train)
@@ -128,13 +131,26 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
                     ["k", "h", "y", "i", "v"],
                 )
 
-    rows = kept.withColumn("h", F.xxhash64("k")).select("k", "h", "y", "t").mapInArrow(sparse, schema).collect()
-    rows.sort(key=lambda r: (r.h, r.k, bytes(r.i)))
-    ys = [r.y for r in rows]
-    if not ys or min(ys) == max(ys):
-        share = min(max(sum(ys) / len(ys), 1e-6), 1 - 1e-6) if ys else 0.5
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    return ftrl([(np.frombuffer(r.i, np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(np.float64), r.y) for r in rows])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, np.ndarray, int]] = []
+        room = MOST_FEATURES
+        for batch in batches:
+            for i, v, y in zip(*(batch.column(c).to_pylist() for c in "ivy"), strict=True):
+                room -= len(i) // 4
+                if room >= 0 or not rows:
+                    rows.append((np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y))
+        ys = [y for _, _, y in rows]
+        if not ys or min(ys) == max(ys):
+            share = min(max(sum(ys) / len(ys), 1e-6), 1 - 1e-6) if ys else 0.5
+            found = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+        else:
+            found = ftrl(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([found.weights.tobytes()], pa.binary()), pa.array([found.bias])], ["weights", "bias"])
+
+    # rows, not ids, are bounded: a labelled id may be repeated; one task learns from them, and only the weights reach the driver
+    rows = kept.withColumn("h", F.xxhash64("k")).select("k", "h", "y", "t").mapInArrow(sparse, schema)
+    model = rows.orderBy("h", "k", "i", "v", "y").limit(max_train).mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(model.weights, np.float32), model.bias) if model else Model(np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -163,6 +163,12 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **figures: F.Column) -> tuple[DataFrame, dict]:
+    """df settled, and aggregates over its rows, gathered as they are written."""
+    watch = Observation()
+    return settled(df.observe(watch, *(x.alias(k) for k, x in figures.items())), name), watch.get
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps whose frames are no longer held."""
     import gc
