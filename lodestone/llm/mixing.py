@@ -2,19 +2,19 @@
 
 Sources, in code-point order with null last, weigh 1, 2, 3, 1, 2, 3, ...; by these weights they
 share all words.  A target stops at ``MOST`` times its source's words, and what that frees is shared
-again by weight until no target is above.  Within a source every document gets an expected number
-of copies proportional to its inclusion weight (texts under ``SHORT`` words weigh half), at most
-``MOST``, so that the expected words are the target.  Its whole part is allocated with certainty;
-its fraction is an inclusion probability p.  Documents are ranked by (u / (1 - u)) / (p / (1 - p))
-for a hashed uniform u, and the first of a source are taken until their words come nearest to what
-the whole copies leave of the target: first among texts of ``LONG`` words and more, for their part,
-then among the others for all that is left, so that a source misses its target by less than half a
-text of under ``LONG`` words.  The cut of every source is found by two rounds of histograms and one
-sort of the cut's own cell, so no source is ever ranked in one task.
-
-Defined results: null texts have size 0 and are never sampled (their copies are whole or none); an
-empty table gives no rows; rows equal in id and text are taken or left together; a source of size 0
-has target 0; extra columns are kept.  More than ``MAX_SOURCES`` sources raise an error: their
+again by weight until no target is above.  Within a source a document of n words has the inclusion weight
+n / (n + ``SHORT``), so that fragments come less often; its expected number of copies is its source's
+rate times that weight, at most ``MOST``, and the rate is such that the expected words are the target.
+The whole part of that number is allocated with certainty; its fraction is the document's own inclusion
+probability p.  Documents are ranked by (u / (1 - u)) / (p / (1 - p)) for a hashed uniform u, and the
+first of a source are taken until their words come nearest to what the whole copies leave of the
+target: first among texts of ``LONG`` words and more, for their part, then among the others for all
+that is left, so that a source misses its target by less than half a text of under ``LONG`` words (by
+more only where nearly all its words are in longer ones).  The cut of every source is found by two rounds of
+histograms and one sort of the cut's own cell, so no source is ever ranked in one task.
+
+Defined results: null texts have size 0; texts of size 0 are never taken; an empty table gives no
+rows; rows equal in id and text are taken or left together; a source of size 0 has target 0; extra columns are kept.  More than ``MAX_SOURCES`` sources raise an error: their
 totals are what reaches the driver and what is sent to every task.
 """
 
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from lodestone.llm import text as X
 
 MOST, SHORT, LONG = 3.0, 32, 512
-#: inclusion weight by length class
-WEIGHTS = {"short": 0.5, "middle": 1.0, "long": 1.0}
 MAX_SOURCES = 100_000
 CELLS = 1024
 
@@ -50,19 +48,17 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
     return out
 
 
-def copies(target: float, words: dict[str, int]) -> dict[str, float]:
-    """Expected copies by length class: proportional to its weight, at most MOST, with ``target`` words in all."""
-    out, left, open_ = dict.fromkeys(words, 0.0), target, {c for c, n in words.items() if n > 0}
+def rate(target: float, cells: list[tuple[float, float]]) -> float:
+    """The copies that a weight of one stands for, so that all expect ``target`` words; cells: (words, words times weight) of texts of like weight."""
+    left, open_ = target, [(n, w) for n, w in cells if w > 0]
     while open_:
-        rate = max(left, 0.0) / sum(WEIGHTS[c] * words[c] for c in open_)
-        full = {c for c in open_ if rate * WEIGHTS[c] >= MOST}
+        found = max(left, 0.0) / sum(w for _, w in open_)
+        full = [(n, w) for n, w in open_ if found * w >= MOST * n]
         if not full:
-            return out | {c: rate * WEIGHTS[c] for c in open_}
-        for c in full:
-            out[c] = MOST
-            left -= MOST * words[c]
-        open_ -= full
-    return out
+            return found
+        left -= sum(MOST * n for n, _ in full)
+        open_ = [x for x in open_ if x not in full]
+    return float("inf")
 
 
 def size_of(text: str) -> Column:
@@ -107,53 +103,60 @@ def _cuts(rows: DataFrame, needs: dict[str, float]) -> dict[str, tuple[float, fl
     return {r["s"]: (r["x"], needs[r["s"]] - r["need"] + r["got"]) for r in found.collect()}
 
 
+def source_rates(slim: DataFrame) -> DataFrame:
+    """(s, source_size, target, rate) of every source; slim: (s, size).  A row a source, MAX_SOURCES at most."""
+    spark = slim.sparkSession
+    totals = slim.groupBy("s").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    by = {r["s"]: r["n"] for r in totals}
+    goal = targets({None if k == "n" else k[1:]: n for k, n in by.items()})
+    table = spark.createDataFrame([(k, n, float(goal[None if k == "n" else k[1:]])) for k, n in by.items()], "s string, source_size long, target double").coalesce(1)
+    cells = slim.where("size > 0").groupBy("s", F.floor(F.log2("size") * 2).alias("cell")).agg(F.sum("size").alias("n"), F.sum(F.col("size") * weight(F.col("size"))).alias("w"))
+    rated = F.udf(lambda target, cells: rate(target, [(float(n), float(w)) for n, w in cells or []]), "double")
+    # a source has some sixty cells at most
+    listed = cells.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("cell", "n", "w"))).alias("cells"))
+    pairs = F.transform("cells", lambda c: F.struct(c["n"].cast("double"), c["w"]))
+    return table.join(listed, "s", "left").select("s", "source_size", "target", rated("target", pairs).alias("rate"))
+
+
+def weight(size: Column) -> Column:
+    return size / (size + F.lit(float(SHORT)))
+
+
+def rank(u: Column, p: Column) -> Column:
+    """q / (1 + q) of the ratio q of the odds of u to those of p: the same order, between 0 and 1."""
+    return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
+
+
 def mix(rows: DataFrame, size: str, u: str, source: str = "source") -> DataFrame:
     """rows with source_size, target and taken (words, repeats counted) and copies, by columns that ``measured`` made."""
     spark = rows.sparkSession
-    length = F.when(F.col(size) < SHORT, F.lit("short")).when(F.col(size) < LONG, F.lit("middle")).otherwise(F.lit("long"))
     # sources as text with null kept apart, so that they can be joined
     s = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
-    slim = X.settled(rows.select(s.alias("s"), F.col(size).alias("size"), F.col(u).alias("u"), length.alias("c")), "sizes")
-    totals = slim.groupBy("s", "c").agg(F.sum("size").alias("n")).limit(len(WEIGHTS) * MAX_SOURCES + 1).collect()
-    by: dict[str | None, dict[str, int]] = {}
-    for r in totals:
-        by.setdefault(None if r["s"] == "n" else r["s"][1:], {})[r["c"]] = r["n"]
-    if len(by) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets({k: sum(v.values()) for k, v in by.items()})
-    table, first, rest, open_words = [], {}, {}, {}
-    for k, words in by.items():
-        name = "n" if k is None else f"s{k}"
-        expected = copies(goal[k], words)
-        part = {c: (m - int(m)) * words[c] for c, m in expected.items()}
-        if part.get("long"):
-            first[name] = part["long"]
-        rest[name] = sum(part.values())
-        open_words[name] = sum(words[c] for c in words if c != "long" and part[c] > 0)
-        table += [(name, c, sum(words.values()), float(goal[k]), int(m), m - int(m)) for c, m in expected.items()]
-    plan = spark.createDataFrame(table, "s string, c string, source_size long, target double, whole int, p double").coalesce(1)
-
-    def rank(u: Column, p: Column) -> Column:
-        """q / (1 + q) of the ratio q of the odds of u to those of p: the same order, between 0 and 1."""
-        return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
-
-    drawn = slim.join(F.broadcast(plan), ["s", "c"]).where("p > 0 and size > 0").select("s", "c", "size", rank(F.col("u"), F.col("p")).alias("x"))
-    long_cuts = _cuts(drawn.where("c = 'long'").drop("c"), first)
-    needs = {k: n - long_cuts.get(k, (0, 0))[1] for k, n in rest.items()}
-    cuts = _cuts(drawn.where("c <> 'long'").drop("c"), {k: n for k, n in needs.items() if 0 < n < open_words[k]})
-    all_cuts = [(k, "long", x) for k, (x, _) in long_cuts.items()]
-    for k, n in needs.items():
-        if n > 0:
-            x = cuts[k][0] if k in cuts else 1.0
-            all_cuts += [(k, "short", x), (k, "middle", x)]
-    full = plan.join(spark.createDataFrame(all_cuts, "s string, c string, cut double").coalesce(1), ["s", "c"], "left")
-    with X.unused_names(rows, "s", "c", "whole", "p", "cut") as names:
-        full = full.select(F.col("s").alias(names[0]), F.col("c").alias(names[1]), "source_size", "target", F.col("whole").alias(names[2]), F.col("p").alias(names[3]), F.col("cut").alias(names[4]))
+    expected = lambda size, rate: F.when(size > 0, F.least(F.lit(MOST), rate * weight(size))).otherwise(F.lit(0.0))
+    slim = X.settled(rows.select(s.alias("s"), F.col(size).alias("size"), F.col(u).alias("u")), "sizes")
+    plan = X.settled(source_rates(slim), "rates")
+    drawn = slim.join(F.broadcast(plan.select("s", "rate")), "s").withColumn("m", expected(F.col("size"), F.col("rate")))
+    drawn = drawn.select("s", "size", (F.col("size") >= LONG).alias("long"), F.floor("m").alias("whole"), (F.col("m") - F.floor("m")).alias("p"), "u")
+    sums = drawn.groupBy("s").agg(
+        F.sum(F.col("whole") * F.col("size")).alias("certain"), F.sum(F.when(F.col("long"), F.col("p") * F.col("size"))).alias("long"), F.sum(F.when(~F.col("long") & (F.col("p") > 0), F.col("size"))).alias("open")
+    )
+    found = {r["s"]: r for r in plan.join(sums, "s").collect()}
+    drawn = drawn.where("p > 0 and size > 0").select("s", "size", "long", rank(F.col("u"), F.col("p")).alias("x"))
+    long_cuts = _cuts(drawn.where("long").drop("long"), {k: r["long"] for k, r in found.items() if r["long"]})
+    needs = {k: r["target"] - r["certain"] - long_cuts.get(k, (0, 0))[1] for k, r in found.items()}
+    cuts = _cuts(drawn.where("not long").drop("long"), {k: n for k, n in needs.items() if 0 < n < (found[k]["open"] or 0)})
+    both = [(k, long_cuts[k][0] if k in long_cuts else -1.0, cuts[k][0] if k in cuts else 1.0 if n > 0 else -1.0) for k, n in needs.items()]
+    full = plan.join(spark.createDataFrame(both, "s string, long double, other double").coalesce(1), "s", "left")
+    with X.unused_names(rows, "s", "rate", "long", "other") as names:
+        full = full.select(F.col("s").alias(names[0]), "source_size", "target", *(F.col(c).alias(n) for c, n in zip(("rate", "long", "other"), names[1:], strict=True)))
         keep = [c for c in rows.columns if c not in ("source_size", "target", "taken", "copies")]
-        out = rows.select(*keep, s.alias(names[0]), length.alias(names[1])).join(F.broadcast(full), [names[0], names[1]], "left")
-        x = rank(F.col(u), F.col(names[3]))
-        more = F.when((F.col(names[3]) > 0) & (F.col(size) > 0) & (x <= F.col(names[4])), 1).otherwise(0)
-        return out.withColumn("copies", F.col(names[2]) + more).withColumn("taken", (F.col("copies") * F.col(size)).cast("long")).select(*keep, "source_size", "target", "taken", "copies")
+        out = rows.select(*keep, s.alias(names[0])).join(F.broadcast(full), names[0], "left")
+        m = expected(F.col(size), F.col(names[1]))
+        p = m - F.floor(m)
+        more = F.when((p > 0) & (rank(F.col(u), p) <= F.when(F.col(size) >= LONG, F.col(names[2])).otherwise(F.col(names[3]))), 1).otherwise(0)
+        return out.withColumn("copies", (F.floor(m) + more).cast("int")).withColumn("taken", (F.col("copies") * F.col(size)).cast("long")).select(*keep, "source_size", "target", "taken", "copies")
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
