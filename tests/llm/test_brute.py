@@ -47,7 +47,7 @@ def test_op1_recall(spark):
 def test_op1_recall_over_several_lists(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
-    assert len(rows) // ann.LIST_ROWS >= 5
+    assert len(rows) // ann.LIST_ROWS >= 20
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = collections.defaultdict(set)
@@ -58,6 +58,36 @@ def test_op1_recall_over_several_lists(spark):
     assert hits / (5 * len(asked)) >= 0.9
 
 
+def _scanned(x, lists, share):
+    """(recall of 5, share of pairs left after each block of columns in all lists but the nearest) over the nearest lists of every 50th row."""
+    u, q, ids = ann.unit(x), np.arange(0, len(x), 50), np.arange(len(x))
+    c = ann.centres(u, lists)
+    at, order = (u @ c.T).argmax(1), np.argsort(-(u[q] @ c.T), axis=1)
+    first = int(np.ceil(ann.FIRST * lists))
+
+    def part(a, b, best):
+        return ann.nearest(u[q], u, ann.rotation(x.shape[1]), (q, ids), at, [o[a:b] for o in order], best, 5)
+
+    a, b, s, _ = part(0, first, np.full(len(q), -2.0))
+    kth = np.array([np.sort(s[a == i])[-5] for i in range(len(q))])
+    a2, b2, s2, left = part(first, int(share * lists), kth)
+    a, b, s = np.append(a, a2), np.append(b, b2), np.append(s, s2)
+    score = u[q] @ u.T
+    score[np.arange(len(q)), q] = -2
+    best = np.argsort(-score, axis=1)[:, :5]
+    return sum(len(set(b[a == i][np.argsort(-s[a == i])[:5]]) & set(best[i])) for i in range(len(q))) / best.size, left
+
+
+def test_op1_tests_drop_candidates():
+    rng = np.random.default_rng(4)
+    even = rng.standard_normal((20_000, 64))
+    recall, left = _scanned(even, 100, 0.7)
+    assert recall >= 0.9 and left[0] < 0.7 and left[1] < 0.35 and left[2] < 0.1
+    clustered = rng.standard_normal((100, 64))[rng.integers(0, 100, 20_000)] + 0.4 * even
+    recall, left = _scanned(clustered, 100, 0.25)
+    assert recall >= 0.95 and left[0] < 0.2 and left[1] < 0.1
+
+
 def test_op2_held_out(spark):
     got = {r.doc_id: r for r in queries.op2_quality(spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
