@@ -1,14 +1,16 @@
-"""Main text of web pages: the marked article, or else by the distribution of text over line blocks.
+"""Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one for each block element's run of text.  What is no content by its
 element, class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) becomes a gap.  If the page marks an article or main part, the lines inside it are
-kept.  Else gaps and runs of link lines cut the page into stretches, and the text lengths of
-``WINDOW`` neighbouring lines are summed in each.  Text surges where a sum reaches ``SURGE``
-characters, or a quarter of the page's largest sum where that is less.  Kept is all from the first surge
-to the last dive; what stands in the same container as the stretch with the most text; and what only
-an insert (advert, aside, notice, form) parts from it.  Link lines are text where the ``WINDOW`` lines
-on each side outweigh them, else they are dropped and cut.
+styles, comments) becomes a gap; gaps and runs of link lines cut the page into stretches.  A line's
+charge is its text length, of links nothing, and a tenth where the page marks an article or main part and
+the line is outside.  The charges of ``WINDOW`` neighbouring lines of a stretch are summed.  Text surges
+where a sum reaches the page's threshold: a quarter of the sum that half of all its text reaches, ``SURGE``
+characters at most.  Kept is all from the first surge to the last dive; with it what stands in the
+same container as the long lines of the stretch with the greatest charge (in the whole article, if
+that is marked), however short; and what only an insert (advert, aside, notice, form) parts from it.
+Before the first surge only headings that lead to it are kept.  Link lines are text where the ``WINDOW``
+lines on each side outweigh them, else they are dropped and cut.
 
 A class or id marks no content if it is such a word or is built from one in a known form (site-header,
 ad-slot-2), not if it only holds one (has-sidebar, content-share).  An element that is named like a part
@@ -34,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WINDOW, SURGE = 3, 200
+#: what a character outside the marked article counts
+OUTSIDE = 0.1
 NESTED = 8
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>])*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -47,6 +51,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 _NO_CONTENT = frozenset("nav header footer aside form menu dialog button head".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KEPT = frozenset("html body main article".split())
 #: words in a class or id that mark no content
@@ -82,9 +87,9 @@ def _marking(token: str) -> str:
     return ""
 
 
-def _no_content(tag: str, attributes: str) -> str:
-    """The word by which an element is no content, or nothing."""
-    if tag in _NO_CONTENT:
+def _no_content(tag: str, attributes: str, article: bool = False) -> str:
+    """The word by which an element is no content, or nothing; an article's header holds its headline."""
+    if tag in _NO_CONTENT and not (article and tag == "header"):
         return tag
     if tag in _KEPT or "=" not in attributes:
         return ""
@@ -92,34 +97,39 @@ def _no_content(tag: str, attributes: str) -> str:
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role" and value.strip() in _ROLES:
             return value.strip()
-        if name.lower() != "role" and (found := [w for w in map(_marking, value.split()) if w]):
+        words = value.split()
+        if name.lower() != "role" and (found := [w for w in map(_marking, words) if w]):
+            # in an article a layout's word beside a word of another kind ("social history") speaks of content
+            if article and _LAYOUT.issuperset(found) and not all(_marking(w) or _BEFORE.union(_AFTER).issuperset(re.split("[_-]+", w)) for w in words):
+                continue
             return min(found)
     return ""
 
 
-def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[tuple[str, bool, bool, int]], list[int], list[int], list[list[int]]]:
-    """(text, in an article, of links, container) line by line, each container's parent and the last one opened in it, and what layouts it dropped.
+def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[tuple[str, bool, bool, int, bool]], list[int], list[int], set[int], list[list[int]]]:
+    """(text, in an article, of links, container, heading) line by line, each container's parent and the last one opened in it, which are articles, and what layouts it dropped.
 
     Containers are numbered as they open, the page is 0.  A gap is an empty line, of links if it parts page and article.
     A dropped layout is its place, its characters of text and its articles; what stands at a place in ``spared`` is content (None: every layout).
     """
     layouts: list[list[int]] = []
     dropped = [0, 0, 0]
-    out: list[tuple[str, bool, bool, int]] = []
+    out: list[tuple[str, bool, bool, int, bool]] = []
+    marked: set[int] = set()
     parent, last, boxes = [0], [0], [("", 0)]
     opened: dict[str, int] = {}
     run: list[str] = []
     linked = total = 0
     skipped, depth, reason = "", 0, ""
     article = anchor = 0
-    seen = False
+    seen = heading = False
 
     def close() -> None:
         nonlocal linked, total
         text = " ".join(unescape("".join(run)).split())
         run.clear()
         if text:
-            out.append((text, article > 0, linked > 0.7 * total, boxes[-1][1]))
+            out.append((text, article > 0, linked > 0.7 * total, boxes[-1][1], heading))
         linked = total = 0
 
     def say(text: str) -> None:
@@ -150,12 +160,12 @@ def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[
                     if not depth:
                         skipped = ""
                 continue
-        if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and (why := _no_content(tag, m[4])) and not (tag not in _NO_CONTENT and why in _LAYOUT and (spared is None or m.start() in spared)):
+        if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and (why := _no_content(tag, m[4], article > 0)) and not (tag not in _NO_CONTENT and why in _LAYOUT and (spared is None or m.start() in spared)):
             close()
             dropped = [m.start(), 0, 0]
             if tag not in _NO_CONTENT and why in _LAYOUT:
                 layouts.append(dropped)
-            out.append(("", False, why in _PARTS, boxes[-1][1]))
+            out.append(("", False, why in _PARTS, boxes[-1][1], False))
             skipped, depth, reason = tag, 1, why
             anchor = 0
             continue
@@ -166,6 +176,7 @@ def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[
         elif tag in _BLOCKS:
             close()
             anchor = 0
+            heading = tag in _HEADINGS and not closing
         elif tag == "a":
             anchor = 0 if closing else 1
         elif tag in ("br", "td", "th"):
@@ -174,6 +185,8 @@ def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[
             continue
         if not closing:
             boxes.append((tag, len(parent)))
+            if tag in ("article", "main"):
+                marked.add(len(parent))
             opened[tag] = opened.get(tag, 0) + 1
             parent.append(boxes[-2][1])
             last.append(0)
@@ -186,28 +199,40 @@ def lines(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[
     close()
     for _, box in boxes:
         last[box] = len(parent) - 1
-    return out, parent, last, layouts
+    return out, parent, last, marked, layouts
 
 
 def main_text(html: str | None) -> str:
     """The page's main text, its blocks joined by newlines."""
     html, spared = html or "", frozenset()
-    found, parent, last, layouts = lines(html)
-    while layouts and not any(inside for _, inside, _, _ in found):
-        kept = sum(len(text) for text, _, of_links, _ in found if not of_links)
+    found, parent, last, marked, layouts = lines(html)
+    while layouts and not any(inside for _, inside, *_ in found):
+        kept = sum(len(text) for text, _, of_links, *_ in found if not of_links)
         place, size, articles = max(layouts, key=lambda x: x[1])
         if size <= kept * (1 if articles else 2):
             break
         # each turn reads the page again: layouts nested deeper than NESTED all stay
         spared = spared | {place} if len(spared) < NESTED else None
-        found, parent, last, layouts = lines(html, spared)
-    if any(inside for _, inside, _, _ in found):
-        return "\n".join(t for t, inside, _, _ in found if inside)
-    return "\n".join(found[i][0] for i in _surging(found, parent, last))
+        found, parent, last, marked, layouts = lines(html, spared)
+    return "\n".join(found[i][0] for i in surging(found, parent, last, marked))
+
+
+def windows(charge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of WINDOW charges from each line on and up to each line."""
+    total = np.concatenate([[0], np.cumsum(charge)])
+    at = np.arange(len(charge))
+    return total[np.minimum(at + WINDOW, len(charge))] - total[at], total[at + 1] - total[np.maximum(at + 1 - WINDOW, 0)]
+
+
+def threshold(sums: np.ndarray, charge: np.ndarray) -> float:
+    """A quarter of the window sum that half of all charge reaches, SURGE at most."""
+    order = np.argsort(-sums, kind="stable")
+    half = np.searchsorted(np.cumsum(charge[order]), charge.sum() / 2)
+    return min(SURGE, float(sums[order][min(half, len(order) - 1)]) / 4)
 
 
-def _surging(found: list[tuple[str, bool, bool, int]], parent: list[int], last: list[int]) -> list[int]:
-    """The lines of the main text of a page that marks no article."""
+def surging(found: list[tuple[str, bool, bool, int, bool]], parent: list[int], last: list[int], marked: set[int]) -> list[int]:
+    """The lines of the main text."""
     runs = [(kind, list(run)) for kind, run in groupby(range(len(found)), lambda i: (found[i][0] > "", found[i][2]))]
     size = [len(text) for text, *_ in found]
     stretches: list[list[int]] = [[]]
@@ -215,7 +240,8 @@ def _surging(found: list[tuple[str, bool, bool, int]], parent: list[int], last:
     for at, ((text, apart), run) in enumerate(runs):
         if text and apart:
             sides = [side for (words, links), side in (runs[max(0, at - 1)], runs[min(at + 1, len(runs) - 1)]) if words and not links]
-            apart = len(sides) < 2 or min(sum(size[i] for i in sides[0][-WINDOW:]), sum(size[i] for i in sides[1][:WINDOW])) <= sum(size[i] for i in run)
+            inside = all(found[i][1] for i in run)
+            apart = not inside and (len(sides) < 2 or min(sum(size[i] for i in sides[0][-WINDOW:]), sum(size[i] for i in sides[1][:WINDOW])) <= sum(size[i] for i in run))
         if text and not apart:
             stretches[-1].extend(run)
         elif stretches[-1]:
@@ -227,19 +253,33 @@ def _surging(found: list[tuple[str, bool, bool, int]], parent: list[int], last:
         stretches.pop()
     if not stretches:
         return []
-    sums = [max(np.convolve([0 if found[i][2] else size[i] for i in s], np.ones(WINDOW))) for s in stretches]
-    dense = [at for at, most in enumerate(sums) if most >= min(SURGE, max(sums) / 4)]
-    main = [found[i][3] for i in max(stretches, key=lambda s: sum(size[i] for i in s))]
-    home = main[0]
-    while home and not home <= min(main) <= max(main) <= last[home]:
+    outside = OUTSIDE if any(inside for _, inside, *_ in found) else 1.0
+    charge = [np.array([0.0 if found[i][2] and not found[i][1] else size[i] * (1.0 if found[i][1] else outside) for i in s]) for s in stretches]
+    sums = [windows(c) for c in charge]
+    surge = threshold(np.concatenate([ahead for ahead, _ in sums]), np.concatenate(charge))
+    dense = [at for at, (ahead, _) in enumerate(sums) if ahead.max() >= surge]
+    core = max(range(len(stretches)), key=lambda at: charge[at].sum())
+    long = [found[i][3] for i, c in zip(stretches[core], charge[core], strict=True) if c >= surge / 2] or [found[i][3] for i in stretches[core]]
+    home = long[0]
+    while home and not home <= min(long) <= max(long) <= last[home]:
         home = parent[home]
-    same = [at for at, s in enumerate(stretches) if any(home <= found[i][3] <= (home and last[home]) for i in s)]
-    a, b = min(dense + same), max(dense + same)
+    box = home
+    while box:
+        home = box if box in marked else home
+        box = parent[box]
+    at_home = lambda i: home > 0 and home <= found[i][3] <= last[home]
+    a, b = (f([*dense, *(at for at, s in enumerate(stretches) if any(map(at_home, s)))]) for f in (min, max))
     while a and not parted[a]:
         a -= 1
     while b + 1 < len(stretches) and not parted[b + 1]:
         b += 1
-    return [i for s in stretches[a : b + 1] for i in s]
+    # the first line that surges and the last before the dive; headings lead to what follows them
+    lines_ = [(i, ahead, behind) for s, (x, y) in zip(stretches[a : b + 1], sums[a : b + 1], strict=True) for i, ahead, behind in zip(s, x, y, strict=True)]
+    first = next(n for n, (i, ahead, behind) in enumerate(lines_) if at_home(i) or behind >= surge or n == len(lines_) - 1)
+    end = next(n for n, (i, ahead, behind) in reversed(list(enumerate(lines_))) if at_home(i) or ahead >= surge or n == first)
+    while first and found[lines_[first - 1][0]][4]:
+        first -= 1
+    return [i for i, _, _ in lines_[first : end + 1]]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -241,6 +241,43 @@ def test_op8_line_blocks_decide_where_no_article_is_marked(spark):
         assert html.main_text(plain) == html.main_text(plain[:at] + "<aside>By the way</aside>" + plain[at:]) == html.main_text(r.html)
 
 
+PROSE = "Long prose of the article that goes on and on for quite a while, so that nobody could think it were a menu. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{PROSE}</p><div class='share-price'>Price 12</div><p>{PROSE}</p></article>", [PROSE, "Price 12", PROSE]),
+        (f"<article><p>{PROSE}</p><section class='social history'><p>{PROSE}</p></section></article>", [PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><p class=notice-board>On the board</p></article>", [PROSE, "On the board"]),
+        (f"<div><p>{PROSE}</p><div class=ad>Buy</div><p>{PROSE}</p></div>", [PROSE, PROSE]),
+        (f"<div>Welcome to the site</div><div><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p><p>The end.</p></div><p>&copy; 2024 Some company</p>", ["Head", PROSE, PROSE, "The end."]),
+        (f"<p>Welcome to the site</p><h1>Head</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><p>&copy; 2024 Some company</p>", ["Head", PROSE, "Short.", PROSE]),
+        (f"<article><p>{PROSE}</p><p><a title=it's href=x>link</a> mid <b>don't</b> end</p></article>", [PROSE, "link mid don't end"]),
+        (f"<article><header><h1>Headline</h1></header><p>{PROSE}</p></article>", ["Headline", PROSE]),
+        (f"<article>One</article><article>Two</article><div><p>{PROSE * 9}</p><p>{PROSE * 9}</p></div>", [PROSE * 9, PROSE * 9]),
+        ("", [""]),
+        ("<p>a</p>", ["a"]),
+    ],
+)
+def test_op8_made_pages(page, want):
+    assert html.main_text(page) == "\n".join(" ".join(w.split()) for w in want)
+
+
+def test_op8_windows_decide(monkeypatch):
+    page = f"<body><p>Welcome to the site</p><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><p>All rights reserved</p></body>"
+    assert html.main_text(page).count("\n") == 2
+    monkeypatch.setattr(html, "SURGE", 0)
+    assert html.main_text(page).count("\n") == 4
+
+
+def test_op8_threshold_by_hand():
+    charge = np.array([10.0, 0, 100, 200, 50, 0, 5])
+    ahead, behind = html.windows(charge)
+    assert ahead.tolist() == [110, 300, 350, 250, 55, 5, 5] and behind.tolist() == [10, 10, 110, 300, 350, 250, 55]
+    assert html.threshold(ahead, charge) == 250 / 4 and html.threshold(ahead * 100, charge) == html.SURGE
+
+
 def test_op9_sql(spark):
     same(queries.op9_chat_format(spark, SF), queries.ORACLE_SQL["op9_chat_format"])
 
