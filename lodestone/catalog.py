@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import surface  # noqa: F401  (its queries register on import)
+from lodestone.plans import files, surface  # noqa: F401  (their queries register on import)
 from lodestone.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "rrf_diverse"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What is no content on any page.
 JUNK_TAGS = frozenset({"nav", "footer", "script", "style", "noscript", "iframe", "form", "button", "input"})
@@ -17,71 +19,153 @@ JUNK_IDS = frozenset({"header", "footer", "navigation"})
 #: Boilerplate phrases in order of preference.
 TRAILING = ("中文马克思主义文库", "马克思主义文库", "返回主页", "Marxists Internet Archive", "back to Mao Zedong", "上一篇", "下一篇")
 LEADING = ("中文马克思主义文库", "毛泽东参考原著", "毛泽东文献")
-_VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
-_BREAKS = frozenset({"p", "div", "article", "section", "ul", "ol", "table", "tr", "blockquote", "main", "body", "h1", "h2", "h3", "h4", "h5", "h6", "li", "header"})
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BLOCKS = frozenset("address article aside blockquote body center details div dl dd dt fieldset figcaption figure header main p section ul ol li table pre h1 h2 h3 h4 h5 h6".split())
+#: an element that ends when one of these begins inside the same parent
+_ENDED_BY = {
+    "p": _BLOCKS | {"hr", "form", "nav", "footer"},
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "tr": {"tr", "tbody", "tfoot"},
+    "td": {"td", "th", "tr", "tbody", "tfoot"},
+    "th": {"td", "th", "tr", "tbody", "tfoot"},
+    "option": {"option"},
+    "head": {"body", *_BLOCKS},
+}
+#: what such an element must be found within
+_SCOPE = frozenset("ul ol table blockquote div section article main td th body html".split())
+_WHITE = re.compile(r"[ \t\r\n\f]+")
+_MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*"}
+
+
+@dataclass
+class _Open:
+    tag: str
+    attrs: dict[str, str]
+    junk: bool
+    out: list[str] = field(default_factory=list)
+    items: int = 0
 
 
 class _Markdown(HTMLParser):
+    """Elements are turned into markdown as they close, from the inside out."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip, self.depth, self.tables, self.head = "", 0, 0, False
+        self.open, self.tables = [_Open("", {}, False)], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            self.depth += tag == self.skip
-            return
         given = {k: v or "" for k, v in attrs}
+        for at in range(len(self.open) - 1, 0, -1):
+            name = self.open[at].tag
+            if tag in _ENDED_BY.get(name, ()):
+                self.end(at)
+            elif name in _SCOPE:
+                break
         junk = tag in JUNK_TAGS or not JUNK_CLASSES.isdisjoint(given.get("class", "").split()) or given.get("id") in JUNK_IDS
-        if junk and tag not in _VOID:
-            self.skip, self.depth = tag, 1
+        above = self.open[-1]
+        if tag in _VOID:
+            if not (junk or above.junk):
+                above.out.append({"br": "\n", "hr": "\n\n---\n\n"}.get(tag, ""))
+                if tag == "img":
+                    title = f' "{given["title"]}"' if given.get("title") else ""
+                    above.out.append(f"![{given.get('alt', '')}]({given.get('src', '')}{title})")
             return
-        self.tables += tag == "table"
-        self.head |= tag in ("head", "title")
-        if tag in _BREAKS:
-            self.out.append("\n\n")
-        if tag[0] == "h" and tag[1:].isdigit():
-            self.out.append("#" * int(tag[1:]) + " ")
-        self.out.append({"li": "- ", "br": "\n", "hr": "\n\n---\n\n", "b": "**", "strong": "**", "em": "*", "i": "*"}.get(tag, ""))
+        junk = junk or above.junk or tag == "head" or tag == "title" and len(self.open) < 3
+        self.tables += tag == "table" and not junk
+        self.open.append(_Open(tag, given, junk))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            self.depth -= tag == self.skip
-            if not self.depth:
-                self.skip = ""
-            return
-        self.head &= tag != "head"
-        self.out.append({"b": "**", "strong": "**", "em": "*", "i": "*"}.get(tag, "\n\n" if tag in _BREAKS else ""))
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == tag:
+                self.end(at)
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.skip and not self.head:
-            self.out.append(" ".join(data.split("\n")))
+        if not self.open[-1].junk:
+            fixed = any(x.tag == "pre" for x in self.open[-4:])
+            self.open[-1].out.append(data if fixed else _WHITE.sub(" ", data))
+
+    def end(self, at: int) -> None:
+        """Closes all down to the element at this place."""
+        while len(self.open) > at:
+            done, above = self.open.pop(), self.open[-1]
+            if not done.junk:
+                above.items += done.tag == "li"
+                above.out.append(_written(done, above))
+
+
+def _written(e: _Open, above: _Open) -> str:
+    text = "".join(e.out)
+    if e.tag in _MARKS:
+        inner = text.strip()
+        mark = _MARKS[e.tag]
+        return f"{' ' * text.startswith(' ')}{mark}{inner}{mark}{' ' * text.endswith(' ')}" if inner else ""
+    if e.tag[0] == "h" and e.tag[1:].isdigit():
+        return f"\n\n{'#' * int(e.tag[1:])} {' '.join(text.split())}\n\n"
+    if e.tag == "li":
+        mark = f"{int(above.attrs.get('start') or 1) + above.items - 1 if (above.attrs.get('start') or '1').isdigit() else above.items}. " if above.tag == "ol" else "- "
+        lines = [x for x in text.strip().split("\n") if x.strip()]
+        return mark + ("\n" + " " * len(mark)).join(x.rstrip() for x in lines) + "\n"
+    if e.tag in ("ul", "ol"):
+        return f"\n{text}" if above.tag == "li" else f"\n\n{text}\n\n"
+    if e.tag == "blockquote":
+        inner = collapsed(text)
+        return "\n\n" + "\n".join(f"> {x}".rstrip() for x in inner.split("\n")) + "\n\n" if inner else ""
+    if e.tag == "pre":
+        return f"\n\n```\n{text.strip(chr(10))}\n```\n\n"
+    if e.tag in ("code", "kbd", "samp"):
+        return f"`{text}`" if text.strip() and above.tag != "pre" else text
+    if e.tag in ("td", "th"):
+        return f"| {' '.join(text.split())} "
+    if e.tag == "tr":
+        first = above.items == 0
+        above.items += 1
+        return f"{text.strip()} |\n" + ("|" + " --- |" * text.count("| ") + "\n" if first and above.tag != "tfoot" else "")
+    if e.tag in ("thead", "tbody", "tfoot"):
+        above.items += e.items
+        return text
+    if e.tag == "table":
+        return f"\n\n{text}\n\n"
+    return f"\n\n{text}\n\n" if e.tag in _BLOCKS else text
+
+
+def collapsed(text: str) -> str:
+    """Lines without trailing blanks, no two empty ones in a row, no empty ends."""
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.split("\n"))).strip()
 
 
 def to_markdown(html: str) -> tuple[str, int]:
-    """(markdown, number of tables) of a page's body."""
+    """(markdown, number of tables) of a page's body: ATX headings, emphasis, lists, quotes, code, images and tables; links keep their text."""
     p = _Markdown()
     p.feed(html)
     p.close()
-    lines, blank = [], True
-    for line in "".join(p.out).split("\n"):
-        line = line.rstrip()
-        if line or not blank:
-            lines.append(line.lstrip() if line else "")
-        blank = not line
-    return "\n".join(lines).strip(), p.tables
+    p.end(1)
+    # a rule of dashes and what stands in code keep their blanks; other lines lose the blank that a block left before them
+    lines, code = [], False
+    for line in "".join(p.open[0].out).split("\n"):
+        code ^= line.startswith("```")
+        lines.append(line if code or re.match(r" {2,}(\S)", line) else line.lstrip(" "))
+    return collapsed("\n".join(lines)), p.tables
 
 
-def markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, md, tables) of every page."""
-    kind = pages.schema[key].dataType.simpleString()
+def markdown(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, md, tables) of every page, and the columns to keep."""
+    schema = T.StructType([pages.schema[key], T.StructField("md", T.StringType()), T.StructField("tables", T.IntegerType()), *(pages.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [to_markdown(h or "") for h in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([m for m, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32())], [key, "md", "tables"])
+            columns = [batch.column(key), pa.array([m for m, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32()), *(batch.column(c) for c in keep)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "md", "tables", *keep])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, md string, tables int")
+    return pages.select(key, html, *(c for c in keep if c not in (key, html))).mapInArrow(run, schema)
 
 
 def stripped(html: Column) -> Column:

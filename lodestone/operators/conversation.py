@@ -10,6 +10,9 @@ from lodestone.functions import text as fx
 
 #: The title of a text before any heading, and how titles are cited.
 INTRODUCTION = "(引言)"
+#: The block of passages that a model reads, and what it says where there are none.
+BLOCK, BLOCK_END, NOTE_TAG = "<retrieved_theory>", "</retrieved_theory>", " (注释)"
+NO_PASSAGES = "(无相关原文 — 如无法引用,请直接做方法分析和行动建议)"
 CITED = r"《([^》\n]+)》"
 
 
@@ -26,11 +29,14 @@ def section(title: Column, footnote: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit(INTRODUCTION)), F.when(footnote, F.lit(" [footnote]")).otherwise(F.lit("")))
 
 
-def context_block(ranked: DataFrame, empty: str = "(no passages found)") -> DataFrame:
-    """ranked (query_id, rank, title, section, text) -> (query_id, block): numbered passages in order."""
-    line = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" / "), F.coalesce("section", F.lit(INTRODUCTION)), F.lit("\n"), F.col("text")).alias("s"))
-    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["s"])
-    return ranked.groupBy("query_id").agg(F.coalesce(F.nullif(F.concat_ws("\n", lines), F.lit("")), F.lit(empty)).alias("block"))
+def context_block(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """queries (query_id), ranked (query_id, rank, title, section, is_footnote, text, source_url) -> (query_id, block) of every query:
+    numbered passages in order, each with its title, section, footnote tag and source."""
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 《"), "title", F.lit("》 · "), F.coalesce(F.nullif("section", F.lit("")), F.lit(INTRODUCTION)), F.when(F.col("is_footnote"), NOTE_TAG).otherwise(""))
+    passage = F.concat_ws("\n", head, fx.strip(F.col("text")), F.concat(F.lit("source: "), F.coalesce("source_url", F.lit(""))), F.lit(""))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", passage.alias("s")))), lambda x: x["s"])
+    blocks = ranked.groupBy("query_id").agg(F.array_join(lines, "\n").alias("inside"))
+    return queries.select("query_id").distinct().join(blocks, "query_id", "left").select("query_id", F.concat_ws("\n", F.lit(BLOCK), F.coalesce("inside", F.lit(NO_PASSAGES)), F.lit(BLOCK_END)).alias("block"))
 
 
 def candidate_lines(ranked: DataFrame, n: int = 300) -> DataFrame:
@@ -79,9 +85,18 @@ def read_sse(stream: DataFrame, column: str, schema: str, *keep: str) -> DataFra
     return lines.where(F.json_object_keys("line").isNotNull()).select(*keep, "seq", F.from_json("line", schema).alias("event"))
 
 
-def events(chunks: DataFrame, deltas: DataFrame) -> DataFrame:
-    """retrieved, text deltas, done: the typed event rows (query_id, seq, type, payload)."""
-    first = chunks.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "id")))).alias("payload")).select("query_id", F.lit(0).alias("seq"), F.lit("retrieved").alias("type"), "payload")
-    middle = deltas.select("query_id", (F.col("pos") + 1).alias("seq"), F.lit("text_delta").alias("type"), F.col("delta").alias("payload"))
-    done = middle.groupBy("query_id").agg((F.max("seq") + 1).alias("seq")).select("query_id", "seq", F.lit("done").alias("type"), F.lit(None).cast("string").alias("payload"))
-    return first.unionByName(middle).unionByName(done)
+def events(queries: DataFrame, chunks: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The typed event rows (query_id, seq, type, payload) of every query.
+
+    queries (query_id, failed, message): failed is null, or the step that failed: 'request' or 'retrieval', after which there is
+    nothing but the error, or 'generation', which ends what was written so far.  Else all ends with done.  Empty deltas are no events.
+    """
+    going = queries.where("failed is null or failed = 'generation'").select("query_id")
+    shown = chunks.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", *[c for c in chunks.columns if c not in ("query_id", "rank")])))).alias("payload"))
+    first = going.join(shown, "query_id", "left").select("query_id", F.lit(0).alias("seq"), F.lit("retrieved").alias("type"), F.coalesce("payload", F.lit("[]")).alias("payload"))
+    middle = deltas.where("delta <> ''").join(going, "query_id", "left_semi").select("query_id", (F.col("pos") + 1).alias("seq"), F.lit("text_delta").alias("type"), F.col("delta").alias("payload"))
+    length = middle.groupBy("query_id").agg(F.max("seq").alias("n"))
+    error = F.col("failed").isNotNull()
+    at = F.when(F.coalesce(F.col("failed"), F.lit("")).isin("request", "retrieval"), 0).otherwise(F.coalesce("n", F.lit(0)) + 1)
+    last = queries.join(length, "query_id", "left").select("query_id", at.alias("seq"), F.when(error, "error").otherwise("done").alias("type"), F.when(error, F.col("message")).alias("payload"))
+    return first.unionByName(middle).unionByName(last)

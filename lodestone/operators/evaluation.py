@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as fx
+from lodestone.operators.retrieval import small
+
 
 def first_ranks(cases: DataFrame, results: DataFrame) -> DataFrame:
     """cases (query_id, expected array) and results (query_id, rank, title) -> (query_id, first), null if none matches by substring."""
@@ -14,6 +18,33 @@ def first_ranks(cases: DataFrame, results: DataFrame) -> DataFrame:
     return cases.join(results, "query_id", "left").groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
 
 
+def holders(passages: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = 20_000) -> DataFrame:
+    """(query_id, id): which documents hold which passages (query_id, passage) word for word.
+
+    A document that holds a passage holds its longest inner token; only documents that do are compared with it.  Passages
+    of under three tokens have no inner one and are compared with every document.
+    """
+    inner = F.slice(fx.tokens(F.col("passage")), F.lit(2), F.greatest(F.size(fx.tokens(F.col("passage"))) - 2, F.lit(0)))
+    keyed = passages.select("query_id", "passage", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("token"))))["token"].alias("token"))
+    words = docs.select(F.col(key).alias("id"), F.explode(F.array_distinct(fx.tokens(F.col(text)))).alias("token"))
+    pairs = words.join(small(keyed.where("token is not null"), few), "token").select("id", "query_id", "passage")
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(pairs, "id").where(F.contains("text", "passage"))
+    short = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small(keyed.where("token is null"), few), F.expr("contains(text, passage)"))
+    return found.select("query_id", "id").unionByName(short.select("query_id", "id")).distinct()
+
+
+def first_hits(gold: DataFrame, results: DataFrame) -> DataFrame:
+    """gold (query_id, id) and results (query_id, rank, id) -> (query_id, first) of every query that has an answer, null if it was not found."""
+    hit = results.join(gold, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    return gold.select("query_id").distinct().join(hit, "query_id", "left")
+
+
+def report(gold: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
+    """One metrics row for each named ranking."""
+    rows = [metrics(first_hits(gold, found)).select(F.lit(name).alias("retriever"), "*") for name, found in results.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row: hits at each k and the mean reciprocal rank, over all queries of ``ranks``."""
     hits = [F.round(F.coalesce(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias(f"hit_at_{k}") for k in ks]

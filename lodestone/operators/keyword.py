@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as fx
 from lodestone.operators.retrieval import small
 
-#: Points for a keyword, a tag and the title.
+#: What a model is shown of an entry; points for a keyword, a tag and the title.
+TOOL_FIELDS = ("id", "title", "theory_source", "one_liner", "tags")
 POINTS = {"keyword": 3, "tag": 2, "title": 1}
 
 
@@ -42,6 +43,34 @@ def dispatch(answers: DataFrame, entries: DataFrame, score: int = 100) -> DataFr
     return flat.select("input_id", F.row_number().over(order).alias("rank"), "entry_id", F.lit(score).alias("score"))
 
 
+def answered(inputs: DataFrame, answers: DataFrame, entries: DataFrame, fallback: list[str], k: int = 3) -> DataFrame:
+    """inputs (input_id, text), answers (input_id, ids, error) of a model -> (input_id, rank, entry_id, score, by).
+
+    What the model named; where it failed, did not answer or named nothing that is known, the local match; without one the fixed entries.
+    """
+    named = dispatch(answers.where("error is null"), entries).withColumn("score", F.col("score").cast("long"))
+    left = inputs.join(named.select("input_id").distinct(), "input_id", "left_anti")
+    local = match(left, entries, k)
+    both = with_fallback(left, local, fallback)
+    return named.withColumn("by", F.lit("model")).unionByName(both.withColumn("by", F.when(F.col("score") > 0, "match").otherwise("fallback")))
+
+
+def excerpts(entries: DataFrame) -> DataFrame:
+    """(id, place, text, source, url) of every quoted passage."""
+    return entries.select("id", F.posexplode("original_excerpts").alias("place", "x")).select("id", "place", "x.*")
+
+
+def readings(entries: DataFrame) -> DataFrame:
+    """(id, place, title, url) of every further reading."""
+    return entries.select("id", F.posexplode("further_reading").alias("place", "x")).select("id", "place", "x.*")
+
+
+def tool_list(entries: DataFrame, order: str = "id") -> DataFrame:
+    """One row: what a model is shown of all curated entries, as one JSON list of five fields each."""
+    shown = F.struct(*TOOL_FIELDS)
+    return entries.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), shown.alias("s")))), lambda x: x["s"])).alias("tools"))
+
+
 def personalised(fields: list[str], own: str = "own_", fixed: str = "") -> list:
     """For each field the personal value if it is not empty, else the entry's."""
     return [F.coalesce(F.nullif(F.col(own + f), F.lit("")), F.col(fixed + f)).alias(f) for f in fields]

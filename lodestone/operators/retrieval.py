@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def filters(volumes: list | None = None, years: tuple[int, int] | None = None, c
     if category:
         out &= F.col("category") == category
     if exclude:
-        out &= ~F.col("article_id").isin(*exclude)
+        out &= ~F.coalesce(F.col("article_id").isin(*exclude), F.lit(False))
     return out
 
 
@@ -70,29 +70,92 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", segment:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"token string, id {kind}, tf double, dl double")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 8, params: Bm25 = Bm25(), key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
-    """queries: (query_id, query) -> (query_id, rank, id, score), scores above 0, ties to the smaller id."""
-    post = postings(docs, key, text)
-    # every use below asks for the same columns and conditions, so that they share one shuffle of the counts
-    df = post.where("token is not null").groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("ctf")).where("df > 0 and ctf > 0")
-    sizes = df.agg(F.sum("ctf").alias("words")).crossJoin(docs.agg(F.count("*").cast("double").alias("n"))).select("n", F.try_divide("words", "n").alias("avgdl"))
+@dataclass(frozen=True)
+class Index:
+    """BM25's tables: post (token, id, tf, dl) and words (token, df, ctf), and the number of documents."""
+
+    post: DataFrame
+    words: DataFrame
+    size: DataFrame
+
+
+#: files a stored index is dealt to by token; a search reads those of its tokens
+BUCKETS = 64
+
+
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment: Callable[[str], list[str]] = fx.segments) -> Index:
+    post = postings(docs, key, text, segment)
+    # every use asks for the same columns and conditions, so that they share one shuffle of the counts
+    words = post.where("token is not null").groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("ctf")).where("df > 0 and ctf > 0")
+    return Index(post, words, docs.agg(F.count("*").cast("double").alias("n")))
+
+
+def _bucket(token: str) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(found: Index, path: str) -> None:
+    """The postings are dealt by token and document, so that a frequent token's are not one task's."""
+    dealt = found.post.withColumn("bucket", _bucket("token"))
+    dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/post")
+    found.words.write.mode("overwrite").parquet(f"{path}/words")
+    found.size.write.mode("overwrite").parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("post", "words", "size")))
+
+
+def bm25(
+    queries: DataFrame, docs: DataFrame, k: int = 8, params: Bm25 = Bm25(), key: str = "doc_id", text: str = "text", keep: Column | None = None, built: Index | None = None, segment: Callable[[str], list[str]] = fx.segments
+) -> DataFrame:
+    """queries: (query_id, query) -> (query_id, rank, id, score), scores above 0, ties to the smaller id.
+
+    Documents and queries are cut into tokens by the same function.  Of a stored index only the tokens' buckets are read.
+    """
+    found = built or index(docs, key, text, segment)
+    df = found.words
+    sizes = df.agg(F.sum("ctf").alias("words")).crossJoin(found.size).select("n", F.try_divide("words", "n").alias("avgdl"))
     raw = df.crossJoin(F.broadcast(sizes)).select("token", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    asked = queries.select("query_id", F.explode(fx.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").cast("double").alias("qtf"))
+    asked = postings(queries, "query_id", "query", segment).select(F.col("id").alias("query_id"), "token", F.col("tf").alias("qtf"))
     # a token weighs at most once for a query, so the size of asked bounds both of these sides
-    sent = F.broadcast if asked.limit(SMALL + 1).count() <= SMALL else (lambda side: side)
+    few = asked.limit(SMALL + 1).count() <= SMALL
+    sent = F.broadcast if few else (lambda side: side)
     idf = raw.join(sent(asked.select("token").distinct()), "token").crossJoin(F.broadcast(mean))
     idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.lit(params.epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    weighed = sent(asked.join(idf, "token"))
+    weighed = asked.join(idf, "token")
+    on = ["token"]
+    if built is not None and "bucket" in built.post.columns:
+        weighed, on = weighed.withColumn("bucket", _bucket("token")), ["bucket", "token"]
     length = F.lit(1.0 - params.b) + F.lit(params.b) * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(params.k1 + 1.0) / (F.col("tf") + F.lit(params.k1) * length)
-    scored = post.join(weighed, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = found.post.join(sent(weighed), on).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     if keep is not None:
         # the walk over the whole ranking cannot starve, so filtering first gives the same rows
         scored = scored.join(docs.where(keep).select(F.col(key).alias("id")), "id", "left_semi")
     return top_k(scored, k, "query_id", F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 
+def unseen(ranked: DataFrame, seen: DataFrame) -> DataFrame:
+    """ranked (query_id, rank, id) without what was cited before (query_id, id), ranked anew."""
+    left = ranked.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+
+
+def hybrid(wordings: DataFrame, docs: DataFrame, vectors: DataFrame, pool: int, recall: int = 30) -> DataFrame:
+    """wordings (query_id, pos, wording, vector) -> (query_id, rank, id, rrf): for each wording a dense and a sparse list, all fused.
+
+    A wording without a vector has its sparse list only.
+    """
+    # a wording's own number: its query's place among all wordings would need a sort, its pair needs none
+    named = wordings.withColumn("query_id", F.struct("query_id", "pos"))
+    near = dense(named.where("vector is not null").select("query_id", "vector"), vectors, k=recall, fetch=3 * recall)
+    sparse = bm25(named.select("query_id", F.col("wording").alias("query")), docs, k=recall)
+    lists = [found.select("query_id.query_id", (F.col("query_id.pos") * 2 + side).alias("list_idx"), "rank", "id") for side, found in ((0, near), (1, sparse))]
+    return fuse(lists[0].unionByName(lists[1]), pool)
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -63,7 +63,7 @@ dense AS (SELECT query_id, rank, id, score FROM (SELECT query_id, id, score, CAS
 
 BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 SHORT = f"SELECT item_id AS query_id, array_to_string({TOKENS.format('text')}[1:5], ' ') AS query FROM benchmark"
-OPENING = f"SELECT doc_id AS query_id, array_to_string({TOKENS.format('text')}[1:8], ' ') AS query FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)"
+OPENING = f"SELECT doc_id AS query_id, array_to_string({TOKENS.format('text')}[1:8], ' ') AS query FROM documents WHERE doc_id % 20 = 0"
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,8 @@ def filtered_post(spark, sf_dir):
 def _fused(spark: SparkSession, sf_dir: str, pool: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vectors = _vector_queries(spark, sf_dir)
-    asked = docs.where("doc_id % 20 = 0").join(F.broadcast(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))), "doc_id", "left_semi")
+    # documents without a vector have their sparse list only
+    asked = docs.where("doc_id % 20 = 0")
     dense = retrieval.dense(vectors, table(spark, sf_dir, "embeddings"), k=30, fetch=90)
     sparse = retrieval.bm25(asked.select(F.col("doc_id").alias("query_id"), _opening("text", 8).alias("query")), docs, k=30)
     lists = dense.select("query_id", F.lit(0).alias("list_idx"), "rank", "id").unionByName(sparse.select("query_id", F.lit(1).alias("list_idx"), "rank", "id"))
@@ -176,15 +177,18 @@ def json_tolerant(spark, sf_dir):
 
 
 def _results(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.bm25(_short(spark, sf_dir), docs, k=k).join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), "source"), "id")
+    return retrieval.bm25(_short(spark, sf_dir), table(spark, sf_dir, "documents"), k=k)
+
+
+def _named(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """Rankings with the documents' columns; few rows meet each text where it is read."""
+    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id").join(retrieval.small(ranked), "id")
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that some document holds; the others have no answer to find."""
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which passages; passages that none holds have no answer to find."""
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    held = table(spark, sf_dir, "documents").select("text").join(retrieval.small(bench, 20_000), F.expr("contains(text, passage)")).select("query_id").distinct()
-    return bench.join(held, "query_id", "left_semi").select("query_id", F.array("passage").alias("expected"))
+    return evaluation.holders(bench, table(spark, sf_dir, "documents"))
 
 
 EVAL = f"""WITH {_bm25_sql(SHORT, 10)}, cases AS (SELECT item_id, text FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))),
@@ -193,7 +197,7 @@ first AS (SELECT c.item_id, min(rank) AS first FROM cases c LEFT JOIN (SELECT qu
 
 @query(EVAL + " SELECT count(*) AS queries, round(coalesce(avg(CASE WHEN first <= 1 THEN 1e0 ELSE 0e0 END), 0e0), 6) AS hit_at_1, round(coalesce(avg(CASE WHEN first <= 5 THEN 1e0 ELSE 0e0 END), 0e0), 6) AS hit_at_5, round(coalesce(avg(CASE WHEN first <= 10 THEN 1e0 ELSE 0e0 END), 0e0), 6) AS hit_at_10, round(coalesce(avg(coalesce(1e0 / first, 0e0)), 0e0), 6) AS mrr FROM first")
 def eval_metrics(spark, sf_dir):
-    return evaluation.metrics(evaluation.first_ranks(_cases(spark, sf_dir), _results(spark, sf_dir)))
+    return evaluation.metrics(evaluation.first_hits(_gold(spark, sf_dir), _results(spark, sf_dir)))
 
 
 @query(f"WITH {_bm25_sql(SHORT, 10)} SELECT id, count(DISTINCT query_id) AS queries FROM bm25 WHERE rank <= 5 GROUP BY id HAVING count(DISTINCT query_id) >= 3")
@@ -203,13 +207,13 @@ def eval_attractors(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql(SHORT, 10)} SELECT round(avg(n), 6) AS mean_groups, count(*) AS queries FROM (SELECT query_id, count(DISTINCT source) AS n FROM bm25 JOIN documents ON id = doc_id GROUP BY query_id)")
 def eval_diversity(spark, sf_dir):
-    return evaluation.diversity(_results(spark, sf_dir), "source")
+    return evaluation.diversity(_named(spark, sf_dir, _results(spark, sf_dir)), "source")
 
 
-@query(f"WITH {_bm25_sql(SHORT, 10)} SELECT item_id AS query_id, count(*) FILTER (rank <= 5 AND contains(d.text, b.text)) = 0 AS ok FROM benchmark b LEFT JOIN bm25 ON query_id = item_id LEFT JOIN documents d ON id = doc_id GROUP BY item_id")
+@query(f"WITH {_bm25_sql(SHORT, 10)} SELECT item_id AS query_id, count(*) FILTER (rank <= 5 AND contains(d.text, b.text)) = 0 AS ok, arg_min(d.text, rank) FILTER (rank <= 5 AND contains(d.text, b.text)) AS offender FROM benchmark b LEFT JOIN bm25 ON query_id = item_id LEFT JOIN documents d ON id = doc_id GROUP BY item_id")
 def eval_negatives(spark, sf_dir):
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array("text").alias("anti_expected"))
-    return evaluation.negatives(cases, _results(spark, sf_dir)).select("query_id", "ok")
+    return evaluation.negatives(cases, _named(spark, sf_dir, _results(spark, sf_dir)).select("query_id", "rank", F.col("text").alias("title")))
 
 
 SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?][”’」』）)〕\]】]*|[^。！？.!?]+\z'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
@@ -260,14 +264,20 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", cleaning.stripped(F.col("html")).alias("text"))
 
 
-@query(f"SELECT page_id, length(text) < 200 AS short, length(text) < 500 AS small, CAST(length(text) AS DOUBLE) / CAST(strlen(html) AS DOUBLE) BETWEEN 15e-2 AND 5e-1 AS ratio_ok FROM (SELECT page_id, html, {STRIPPED} AS text FROM pages)")
+@query(f"SELECT page_id, length(text) < 200 AS short, page_id % 3 > 0 AS tables, length(text) < 500 AS small, NOT regexp_matches(text, '[。！？.!?”’」』）)〕\\]】]\\s*\\z') AS no_stop, CAST(length(text) AS DOUBLE) / CAST(strlen(html) AS DOUBLE) BETWEEN 15e-2 AND 5e-1 AS ratio_ok FROM (SELECT page_id, html, {STRIPPED} AS text FROM pages)")
 def quality_flags(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").withColumn("text", cleaning.stripped(F.col("html")))
-    w = cleaning.warnings(F.col("text"), F.col("text"), F.lit(0))
-    return rows.select("page_id", F.array_contains(w, "text under 200 characters").alias("short"), F.array_contains(w, "result under 500 characters").alias("small"), cleaning.ratio_ok(F.col("text"), F.col("html")).alias("ratio_ok"))
+    w = cleaning.warnings(F.col("text"), F.col("text"), F.col("page_id") % 3)
+    names = {"short": "text under 200 characters", "tables": "tables found", "small": "result under 500 characters", "no_stop": "ends without a full stop"}
+    return rows.select("page_id", *(F.array_contains(w, n).alias(k) for k, n in names.items()), cleaning.ratio_ok(F.col("text"), F.col("html")).alias("ratio_ok"))
 
 
-@query()
+#: pages hold a menu, an advert, an article of headings and paragraphs (of which some open with a bold line that is never closed), and a footer
+MARKDOWN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
+  '[ \t\n\r]+', ' ', 'g'), '<p><b>([^<]*)<br>', '<p>**\1**', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?(p|h1)>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '&(amp|#38);', '&', 'g'), chr(10) || ' ')"""
+
+
+@query(f"SELECT page_id, {MARKDOWN} AS md, 0 AS tables FROM pages")
 def page_markdown(spark, sf_dir):
     return cleaning.markdown(table(spark, sf_dir, "pages"))
 
@@ -326,11 +336,17 @@ def convo_prompt(spark, sf_dir):
     return conversation.prompt(turns, turns.select("conv_id").distinct().withColumn("block", F.lit("context")))
 
 
-@query(f"WITH {_bm25_sql(BENCH, 3)} SELECT query_id, string_agg('[' || rank || '] ' || source || ' / (引言)' || chr(10) || d.text, chr(10) ORDER BY rank) AS block FROM bm25 JOIN documents d ON id = doc_id GROUP BY query_id")
+#: one question has no token and so no passage
+ASKED = f"{BENCH} UNION ALL SELECT -1, '??'"
+
+
+@query(f"""WITH {_bm25_sql(ASKED, 3)} SELECT query_id, '<retrieved_theory>' || chr(10) || coalesce(inside, '(无相关原文 — 如无法引用,请直接做方法分析和行动建议)') || chr(10) || '</retrieved_theory>' AS block FROM asked LEFT JOIN (
+SELECT query_id, string_agg('[' || rank || '] 《' || source || '》 · (引言)' || CASE WHEN id % 2 = 0 THEN ' (注释)' ELSE '' END || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || 'source: doc/' || id || chr(10), chr(10) ORDER BY rank) AS inside FROM bm25 JOIN documents d ON id = doc_id GROUP BY query_id) USING (query_id)""")
 def context_block(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    top = retrieval.bm25(_bench(spark, sf_dir), docs, k=3).join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title")), "id")
-    return conversation.context_block(top.withColumn("section", F.lit(None).cast("string")))
+    asked = _bench(spark, sf_dir).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit("??").alias("query")))
+    top = _named(spark, sf_dir, retrieval.bm25(asked, table(spark, sf_dir, "documents"), k=3))
+    shown = top.select("query_id", "rank", F.col("source").alias("title"), F.lit(None).cast("string").alias("section"), (F.col("id") % 2 == 0).alias("is_footnote"), "text", F.concat(F.lit("doc/"), F.col("id").cast("string")).alias("source_url"))
+    return conversation.context_block(asked, shown)
 
 
 @query("SELECT doc_id AS query_id, CAST(p AS INTEGER) AS pos, t AS title, p = 0 AS active FROM (SELECT doc_id, unnest([0, 1]) AS p, unnest([source, 'nowhere']) AS t FROM documents)")

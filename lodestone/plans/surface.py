@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators import chunking, cleaning, conversation, evaluation, keyword, rendering, retrieval
-from lodestone.plans.queries import BENCH, EVAL, SHORT, _articles, _bench, _bm25_sql, _cases, _results, query, table
+from lodestone.plans.queries import BENCH, EVAL, SHORT, _articles, _bench, _bm25_sql, _gold, _results, query, table
 from lodestone.sources import store
 
 
@@ -62,12 +62,17 @@ def sse_roundtrip(spark, sf_dir):
     return back.select("conv_id", "turn", "seq", F.col("event.type").alias("role"), F.col("event.payload").alias("text"))
 
 
-@query("""SELECT conv_id AS query_id, 0 AS seq, 'retrieved' AS type, '[{"rank":1,"id":' || conv_id || '}]' AS payload FROM (SELECT DISTINCT conv_id FROM conversations)
-UNION ALL SELECT conv_id, CAST(turn + 1 AS INTEGER), 'text_delta', text FROM conversations
-UNION ALL SELECT conv_id, CAST(max(turn) + 2 AS INTEGER), 'done', NULL FROM conversations GROUP BY conv_id""")
+@query("""WITH convs AS (SELECT conv_id, conv_id % 5 AS m, CAST(max(turn) AS INTEGER) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id AS query_id, 0 AS seq, 'retrieved' AS type, CASE WHEN conv_id % 3 = 0 THEN '[]' ELSE '[{"rank":1,"id":' || conv_id || '}]' END AS payload FROM convs WHERE m <> 0
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INTEGER), 'text_delta', text FROM conversations WHERE conv_id % 5 <> 0 AND text <> ''
+UNION ALL SELECT conv_id, CASE WHEN m = 0 THEN 0 ELSE coalesce((SELECT CAST(max(turn) + 1 AS INTEGER) FROM conversations c WHERE c.conv_id = convs.conv_id AND text <> ''), 0) + 1 END, CASE WHEN m < 2 THEN 'error' ELSE 'done' END, CASE m WHEN 0 THEN 'retrieval failed: x' WHEN 1 THEN 'generation failed: y' END FROM convs""")
 def event_stream(spark, sf_dir):
+    """Every fifth conversation fails at retrieval and every fifth while its answer is written; some have no passages."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("pos"), F.col("text").alias("delta"))
-    return conversation.events(rows.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id")).distinct(), rows)
+    m = F.col("query_id") % 5
+    ends = rows.select("query_id").distinct().select("query_id", F.when(m == 0, "retrieval").when(m == 1, "generation").alias("failed"), F.when(m == 0, "retrieval failed: x").when(m == 1, "generation failed: y").alias("message"))
+    chunks = ends.where("query_id % 3 <> 0").select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id"))
+    return conversation.events(ends, chunks, rows)
 
 
 @query("SELECT doc_id, lang AS best, CAST(n_chars AS INTEGER) AS n FROM documents")
@@ -98,12 +103,6 @@ def browse_view(spark, sf_dir):
     return keyword.cards(entries).select("entry_id", "title", F.posexplode("tags").alias("place", "tag"))
 
 
-@query("SELECT doc_id AS entry_id, '{\"id\":' || doc_id || ',\"title\":\"' || lang || '\"}' AS tool FROM documents")
-def tool_lines(spark, sf_dir):
-    """What a model is shown of an entry, one JSON line each."""
-    return keyword.tool_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title")), ["id", "title"]).withColumnRenamed("id", "entry_id")
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS article_id, CAST(n AS VARCHAR) AS footnote_ref, CASE n WHEN 1 THEN '\\[1] first' ELSE '\\[2] second' END AS text FROM documents, (VALUES (1), (2)) v(n)")
 def footnote_split(spark, sf_dir):
     """Two footnotes are put below every text and split off again."""
@@ -128,10 +127,8 @@ def _report_sql(name: str, eval_sql: str) -> str:
 @query(f"{_report_sql('five tokens', EVAL)} UNION ALL {_report_sql('whole passages', EVAL.replace(SHORT, BENCH))}")
 def eval_compare(spark, sf_dir):
     """BM25 asked with five tokens and with whole passages, side by side."""
-    docs = table(spark, sf_dir, "documents")
-    titles = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    whole = lambda: retrieval.bm25(_bench(spark, sf_dir), docs, k=10).join(titles, "id")
-    return evaluation.compare(_cases(spark, sf_dir), {"five tokens": lambda: _results(spark, sf_dir), "whole passages": whole})
+    whole = retrieval.bm25(_bench(spark, sf_dir), table(spark, sf_dir, "documents"), k=10)
+    return evaluation.report(_gold(spark, sf_dir), {"five tokens": _results(spark, sf_dir), "whole passages": whole})
 
 
 @query("SELECT round(sum(n_chars * CASE lang WHEN 'en' THEN 1e0 WHEN 'fr' THEN 5e0 ELSE 0e0 END) / 1e6, 6) AS price FROM documents")
@@ -140,7 +137,7 @@ def eval_cost(spark, sf_dir):
     return evaluation.cost(usage, {"en": 1.0, "fr": 5.0})
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('1:' || doc_id), doc_id LIMIT 20")
 def spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty documents for a reader, the same for a seed (the limit is the feature)."""
     return store.spot_check(table(spark, sf_dir, "documents").select("doc_id", "source"), 20, seed=1, key="doc_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,16 @@ CHUNK = "chunk_id string, text string, article_id string, article_title string,
 ENTRY = "id string, title string, theory_source string, one_liner string, modern_interpretation string, caveats string, tags array<string>, trigger_keywords array<string>, action_checklist array<string>, original_excerpts array<struct<text: string, source: string, url: string>>, analogy_story struct<title: string, body: string>, further_reading array<struct<title: string, url: string>>"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where that is unset on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The nested manifest; Spark's reader raises if it is missing."""
     return spark.read.option("multiLine", True).schema(MANIFEST).json(path)
@@ -38,8 +51,16 @@ def write_parquet(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def update(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """rows with the non-null fields of changes; KeyError if a change has no row."""
+def update(rows: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """rows with the non-null fields of changes; KeyError if a change has no row.
+
+    Several changes of one row need an order: the last non-null value of each field holds.
+    """
+    if order:
+        fields = [c for c in changes.columns if c not in (key, order)]
+        changes = changes.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields])
+    elif not changes.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"several changes of one {key} need an order")
     if not changes.join(rows, key, "left_anti").isEmpty():
         raise KeyError(f"changes for an unknown {key}")
     fields = [c for c in changes.columns if c != key]
@@ -55,35 +76,96 @@ def worklist(rows: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return todo.where(F.col("id").isin(*ids)) if ids else todo
 
 
-def decoded(raw: Column, charset: str = "gb18030") -> Column:
-    """Text of page bytes; what the charset cannot read becomes replacement characters.  (Spark's own decode knows no GB18030.)"""
+def crawl_results(fetched: DataFrame, clean: str = "clean") -> DataFrame:
+    """fetched (id, html, clean, error, warnings) -> (id, status, raw_size, clean_size, ratio, error, warnings).
+
+    raw_size counts bytes and clean_size characters; a ratio out of bounds is one more warning.
+    """
+    done = F.col("error").isNull() & F.col("html").isNotNull()
+    raw, size = F.octet_length("html").cast("long"), F.length(clean).cast("long")
+    ratio = F.when(done & (raw > 0), size / raw)
+    odd = F.when(~ratio.between(0.15, 0.50), F.array(F.concat(F.lit("compression ratio "), F.format_number(F.round(ratio * 100, 1), 1), F.lit("% outside [15%, 50%]"))))
+    return fetched.select(
+        "id",
+        F.when(done, "downloaded").otherwise("failed").alias("status"),
+        F.when(done, raw).alias("raw_size"),
+        F.when(done, size).alias("clean_size"),
+        ratio.alias("ratio"),
+        F.when(~done, F.coalesce("error", F.lit("no page"))).alias("error"),
+        F.when(done, F.concat(F.coalesce("warnings", F.array()), F.coalesce(odd, F.array()))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+
+
+def decoded(raw: Column, charset: str = "gb18030", other: str = "utf-8") -> Column:
+    """Text of page bytes: by the charset, or if it cannot read them by the other, or if that cannot either by the charset with
+    replacement characters.  (Spark's own decode knows no GB18030.)"""
+
+    def read(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        for kind in (charset, other):
+            try:
+                return bytes(b).decode(kind)
+            except UnicodeDecodeError:
+                pass
+        return bytes(b).decode(charset, "replace")
 
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+        return pages.map(read)
 
     return text(raw)
 
 
+def encoded(text: Column, charset: str = "gb18030") -> Column:
+    """Page bytes of a text."""
+
+    @F.pandas_udf("binary")
+    def raw(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.encode(charset))
+
+    return raw(text)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; fields that a line lacks are null."""
     return spark.read.schema(CHUNK).json(path)
 
 
+def chunk_lookup(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked (chunk_id) -> the eleven fields that a reader is shown of each chunk; ``there`` is false where there is none."""
+    fields = ["text", "article_id", "article_title", "section_title", "section_title_is_descriptive", "footnote_ref", "source_url", "char_offset_start", "char_offset_end"]
+    known = chunks.select("chunk_id", *fields, F.coalesce("is_footnote", F.lit(False)).alias("is_footnote"), F.lit(True).alias("there"))
+    return asked.join(known, "chunk_id", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def result(chunks: DataFrame, score: Column) -> DataFrame:
+    """Chunk rows as a search returns them: without their size, with a score."""
+    return chunks.withColumn("score", score.cast("double")).drop("char_count")
+
+
+def write_entries(entries: DataFrame, path: str) -> None:
+    """One JSON array: the curated entries are one short document."""
+    entries.agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct(*entries.columns)))), ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(ENTRY).json(path)
 
 
 def read_rewrites(spark: SparkSession, path: str) -> DataFrame:
-    """(query, pos, rewrite) of a JSON map; a missing or unreadable file is an empty cache."""
+    """(query, pos, rewrite) of JSON maps, one over many lines or one a line; a missing or unreadable file is an empty cache."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     text = spark.read.text(path, wholetext=True) if found else spark.createDataFrame([], "value string")
-    return text.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("query", "rs")).select("query", F.posexplode("rs").alias("pos", "rewrite"))
+    maps = text.select(F.explode(F.split("value", r"(?<=\})\s*\n(?=\{)")).alias("value"))
+    return maps.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("query", "rs")).select("query", F.posexplode("rs").alias("pos", "rewrite"))
 
 
 def write_rewrites(cache: DataFrame, path: str) -> None:
-    cache.write.mode("overwrite").parquet(path)
+    """cache (query, pos, rewrite) as JSON lines, a map of one query each, which ``read_rewrites`` reads back."""
+    lists = cache.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "rewrite"))), lambda x: x["rewrite"]).alias("rs"))
+    lists.select(F.to_json(F.create_map("query", "rs")).alias("value")).write.mode("overwrite").text(path)
 
 
 def article_body(markdown: Column) -> Column:
@@ -110,4 +192,4 @@ def health(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def spot_check(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """n rows, the same for a seed."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

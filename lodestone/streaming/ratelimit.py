@@ -47,13 +47,16 @@ def rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int =
 
 
 class RateLimiter(StatefulProcessor):
-    """The same walk with the accepted times in keyed state; rows (k, t, o) -> (k, o, accepted)."""
+    """The same walk with the accepted times in keyed state; rows (k, t, o) -> (k, o, accepted).
 
-    def __init__(self, limit: int = 10, seconds: float = 600):
-        self.limit, self.seconds = limit, seconds
+    With ``idle``, a key's state goes when it was not written for the window and so many seconds more, by the clock: so late may events come.
+    """
+
+    def __init__(self, limit: int = 10, seconds: float = 600, idle: float | None = None):
+        self.limit, self.seconds, self.idle = limit, seconds, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", StructType([StructField("t", DoubleType())]))
+        self.kept = handle.getListState("kept", StructType([StructField("t", DoubleType())]), ttlDurationMs=None if self.idle is None else int(1000 * (self.seconds + self.idle)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values(["t", "o"])
@@ -68,7 +71,11 @@ class RateLimiter(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(events: DataFrame, limit: int = 10, seconds: float = 600) -> DataFrame:
-    """A streaming frame (k, t double seconds, o) -> (k, o, accepted)."""
+def rate_limit_stream(events: DataFrame, limit: int = 10, seconds: float = 600, idle: float | None = None) -> DataFrame:
+    """A streaming frame (k, t double seconds, o) -> (k, o, accepted).
+
+    Give ``idle`` where keys come without end.  The engine then runs a batch at every trigger, with or without
+    events, so the trigger should have an interval.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    return events.groupBy("k").transformWithStateInPandas(RateLimiter(limit, seconds), f"k {kinds['k']}, o {kinds['o']}, accepted boolean", "Append", "None")
+    return events.groupBy("k").transformWithStateInPandas(RateLimiter(limit, seconds, idle), f"k {kinds['k']}, o {kinds['o']}, accepted boolean", "Append", "None" if idle is None else "ProcessingTime")

@@ -1,5 +1,6 @@
 """Unit and property tests of the core operators on small made rows."""
 
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -67,6 +68,26 @@ def test_markdown():
     assert md.startswith("# T\n\na b\n\n- one") and tables == 1 and "ad" not in md and "nav" not in md
 
 
+@pytest.mark.parametrize(
+    ("html", "md"),
+    [
+        ("<html><head><title>x</title><body><p>hello", "hello"),
+        ("<title>x</title><p>a<svg><title>t</title></svg> rest", "at rest"),
+        ("<ul><li class=ad>x<li>y</ul><p>after", "- y\n\nafter"),
+        ("<ol><li>a<li>b<ul><li>n</ul></ol>", "1. a\n2. b\n   - n"),
+        ("<ol start=4><li>a<li>b</ol>", "4. a\n5. b"),
+        ("<blockquote><p>q</p><p>r</p></blockquote>", "> q\n>\n> r"),
+        ("<table><tr><th>a<th>b<tr><td>1<td>2</table>", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+        ("<pre>x\n  y</pre><code>z</code><img src=u alt=v title=w>", '```\nx\n  y\n```\n\n`z`![v](u "w")'),
+        ("<p><b>one<br><p>Next <i>two </i>end", "**one**\n\nNext *two* end"),
+        ("<div>" * 3000 + "deep", "deep"),
+        ("", ""),
+    ],
+)
+def test_markdown_of(html, md):
+    assert cleaning.to_markdown(html)[0] == md
+
+
 def test_trims(spark):
     body = "y" * 2100
     text = f"top\n毛泽东文献 line\n{body}\n  返回主页 tail"
@@ -173,8 +194,16 @@ def test_conversation(spark):
     titles = spark.createDataFrame([(1, 1, "T", "x" * 300), (1, 2, "T", "y"), (1, 3, "T", "z")], "query_id int, rank int, title string, text string")
     assert [(r.p, len(r.text)) for r in conversation.popovers(titles).orderBy("p").collect()] == [(1, 200), (2, 1)]
     deltas = spark.createDataFrame([(1, 0, "he"), (1, 1, "y")], "query_id int, pos int, delta string")
-    kinds = [r.type for r in conversation.events(titles.withColumn("id", F.col("rank")), deltas).orderBy("seq").collect()]
-    assert kinds == ["retrieved", "text_delta", "text_delta", "done"]
+    ends = spark.createDataFrame([(1, None, None), (2, "retrieval", "r"), (3, "generation", "g"), (4, None, None)], "query_id int, failed string, message string")
+    more = deltas.unionByName(spark.createDataFrame([(2, 0, "never"), (3, 0, "half"), (3, 1, "")], deltas.schema))
+    got = conversation.events(ends, titles.select("query_id", "rank", F.col("rank").alias("id")), more).orderBy("query_id", "seq").collect()
+    kinds = {q: [(r.type, r.payload) for r in got if r.query_id == q] for q in (1, 2, 3, 4)}
+    assert [k for k, _ in kinds[1]] == ["retrieved", "text_delta", "text_delta", "done"] and kinds[2] == [("error", "r")]
+    assert kinds[3] == [("retrieved", "[]"), ("text_delta", "half"), ("error", "g")] and [k for k, _ in kinds[4]] == ["retrieved", "done"]
+    blocks = conversation.context_block(ends, titles.where("rank < 3").selectExpr("query_id", "rank", "title", "'' AS section", "rank = 2 AS is_footnote", "text || '  ' AS text", "'u' AS source_url"))
+    block = {r.query_id: r.block for r in blocks.collect()}
+    assert block[1] == "<retrieved_theory>\n[1] 《T》 · (引言)\n" + "x" * 300 + "\nsource: u\n\n[2] 《T》 · (引言) (注释)\ny\nsource: u\n\n</retrieved_theory>"
+    assert block[4] == f"<retrieved_theory>\n{conversation.NO_PASSAGES}\n</retrieved_theory>"
     assert one(spark, fx.preview(F.col("t"), 3), t="\n a\nbc ") == "a b"
 
 
@@ -209,7 +238,34 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{oops")
     assert store.read_rewrites(spark, str(tmp_path / "bad.json")).count() == 0
     assert one(spark, store.article_body(F.col("t")), t="---\na: b\n---\nbody") == "body"
+    cache = spark.createDataFrame([("q 1", 1, "b"), ("q 1", 0, "a"), ("{", 0, "}\n{")], "query string, pos int, rewrite string")
+    store.write_rewrites(cache.repartition(3), str(tmp_path / "cache"))
+    assert sorted(store.read_rewrites(spark, str(tmp_path / "cache")).collect()) == sorted(cache.collect())
     assert one(spark, store.decoded(F.col("b")), b=bytearray("毛泽东".encode("gb18030"))) == "毛泽东"
+    assert one(spark, store.decoded(F.col("b")), b=bytearray("ü€".encode() + b"\xc3\xbf")) in ("ü€ÿ", ("ü€".encode() + b"\xc3\xbf").decode("gb18030", "replace"))
+    assert one(spark, store.decoded(F.col("b")), b=bytearray(b"a\xff")) == "a\ufffd"
+    twice = spark.createDataFrame([("b", 1, "failed", "late"), ("b", 2, "downloaded", None)], "id string, at int, status string, error string")
+    assert [(r.status, r.error) for r in store.update(flat, twice, order="at").where("id = 'b'").collect()] == [("downloaded", "late")]
+    with pytest.raises(ValueError):
+        store.update(flat, twice.drop("at"))
+
+
+def test_filters_keep_null_articles(spark):
+    rows = spark.createDataFrame([("a",), (None,), ("b",)], "article_id string")
+    assert {r.article_id for r in rows.where(retrieval.filters(exclude=["a"])).collect()} == {None, "b"}
+
+
+def test_crawl_results(spark):
+    rows = spark.createDataFrame([("a", "x" * 100, "y" * 30, None, None), ("b", "x" * 100, "y" * 60, None, ["w"]), ("c", None, None, None, None), ("d", "x", "x", "late", None), ("e", "", "", None, None)], "id string, html string, clean string, error string, warnings array<string>")
+    got = {r.id: r for r in store.crawl_results(rows).collect()}
+    assert (got["a"].status, got["a"].ratio, got["a"].warnings) == ("downloaded", 0.3, []) and got["b"].warnings == ["w", "compression ratio 60.0% outside [15%, 50%]"]
+    assert (got["c"].status, got["c"].error, got["d"].error, got["e"].status, got["e"].ratio) == ("failed", "no page", "late", "downloaded", None)
+
+
+def test_holders(spark):
+    docs = spark.createDataFrame([(1, "so a longword here and there"), (2, "longword"), (3, None), (4, "xa longword herey ok"), (5, "hi")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "a longword here"), (2, "hi"), (3, "none at all")], "query_id int, passage string")
+    assert {tuple(r) for r in evaluation.holders(asked, docs).collect()} == {(1, 1), (1, 4), (2, 5)}
 
 
 def test_spot_check_and_lookup(spark):
@@ -228,16 +284,18 @@ def test_rate_limit_counts_accepted_only(spark):
     assert got == [True, True, False, True, True, False]
 
 
-def test_rate_limit_stream(spark, tmp_path):
+@pytest.mark.parametrize("idle", [None, 1000.0])
+def test_rate_limit_stream(spark, tmp_path, idle):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for n, part in enumerate([[0, 1, 2], [11, 11.5, 12]]):
         spark.createDataFrame([(1, float(t), 10 * n + i) for i, t in enumerate(part)], "k int, t double, o int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema("k int, t double, o int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = ratelimit.rate_limit_stream(stream, 2, 10).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    name = f"limited_{idle is None}"
+    q = ratelimit.rate_limit_stream(stream, 2, 10, idle).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     try:
-        q.processAllAvailable()
+        end = time.monotonic() + 120
+        while time.monotonic() < end and spark.table(name).count() < 6:
+            time.sleep(0.5)
     finally:
         q.stop()
-    assert [r.accepted for r in spark.table("limited").orderBy("o").collect()] == [True, True, False, True, True, False]
-
-
+    assert [r.accepted for r in spark.table(name).orderBy("o").collect()] == [True, True, False, True, True, False]

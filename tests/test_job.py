@@ -22,6 +22,18 @@ def test_ingest_and_resume(spark, tmp_path):
     assert resumed.exceptAll(vectors).isEmpty()
 
 
+def test_pages_with_one_id_or_none(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "v", "<p>b"), (None, "w", "<p>c")], "page_id long, url string, html string")
+    got = job.cleaned(pages).collect()
+    assert sorted((r.article_id or "", r.url, (r.markdown or "")[-1:]) for r in got) == [("", "w", "c"), ("1", "u", "a"), ("1", "v", "b")]
+
+
+def test_vectors_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(job, "PART_ROWS", 10)
+    chunks = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(35)], "chunk_id string, text string")
+    assert job.embed(spark, chunks, str(tmp_path / "v")).count() == 35
+
+
 def test_empty_and_null_pages(spark, tmp_path):
     none = spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")
     none.write.parquet(str(tmp_path / "p"))
