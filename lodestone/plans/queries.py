@@ -273,8 +273,8 @@ def quality_flags(spark, sf_dir):
 
 
 #: pages hold a menu, an advert, an article of headings and paragraphs (of which some open with a bold line that is never closed), and a footer
-MARKDOWN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
-  '[ \t\n\r]+', ' ', 'g'), '<p><b>([^<]*)<br>', '<p>**\1**', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?(p|h1)>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '&(amp|#38);', '&', 'g'), chr(10) || ' ')"""
+MARKDOWN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
+  '[ \t\n\r]+', ' ', 'g'), '<p><b>([^<]*)<br>', '<p>**\1**', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?(p|h1)>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '&quot;', '"', 'g'), '&amp;?', '&', 'g'), chr(10) || ' ')"""
 
 
 @query(f"SELECT page_id, {MARKDOWN} AS md, 0 AS tables FROM pages")
