@@ -9,12 +9,14 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import SF, same
 
 import corpus_pipeline
-from lodestone.llm import ann, bpe, html, jpeg, lm, minhash, mixing, queries, sharding
+from lodestone.llm import ann, bpe, html, jpeg, lm, minhash, mixing, quality, queries, sharding
+from lodestone.llm import text as X
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -96,6 +98,45 @@ def test_op2_held_out(spark):
     assert sum(right) / len(right) >= 0.9
 
 
+def test_op2_plain_learner(spark, texts):
+    """Features, FTRL and scores by dictionaries, one token at a time."""
+    one = lambda word: int(X.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+    top = lambda h: h >> (64 - quality.BITS)
+
+    def grams(text):
+        hs = [one(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", text.encode())]
+        out = []
+        for i, h in enumerate(hs):
+            again = i >= 1 and h == hs[i - 1] or i >= 2 and h == hs[i - 2]
+            pair = 0x5EED if again else int(X.mix(np.array([(hs[i - 1] * 3 + h) & ((1 << 64) - 1)], np.uint64))[0])
+            out += [top(h), top(pair) if i else top(h)]
+        return collections.Counter(out)
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    order = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in labels], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        lean = abs(z[i]) - (0 if i == "bias" else 0.02)
+        return -math.copysign(lean, z[i]) / ((1 + math.sqrt(n[i])) / 0.5 + 0.1) if lean > 0 else 0.0
+
+    train = sorted((i for i in labels if crc(i, 4) != 2), key=lambda i: (order[i], str(i)))
+    for _ in range(4):
+        for i in train:
+            g = grams(texts[i].text)
+            x = {k: float(np.float32(c * (quality.SCALE / g.total()))) for k, c in g.items()} | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                d = (p - labels[i]) * x[k]
+                z[k] += d - (math.sqrt(n[k] + d * d) - math.sqrt(n[k])) / 0.5 * w[k]
+                n[k] += d * d
+    for r in queries.op2_quality(spark, SF).collect():
+        g = grams(texts[r.doc_id].text)
+        want = 1 / (1 + math.exp(-weight("bias") - quality.SCALE * sum(c * weight(k) for k, c in g.items()) / max(g.total(), 1)))
+        assert abs(r.score - want) < 1e-4 and r.predicted == (r.score >= 0.7), r
+
+
 def test_op3_counts_by_hand(spark, texts, monkeypatch):
     monkeypatch.setattr(lm, "BATCH_BYTES", 50_000)
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 5_000)
@@ -137,6 +178,41 @@ def test_op4_permutation(n, seed):
     assert sharding.row_number_of(p % np.uint64(8), p // np.uint64(8), n, 8, seed).tolist() == list(range(n))
 
 
+def _spark_hash(*values):
+    """Spark's xxhash64 of longs (ints are four bytes) and texts."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), h)
+    return h
+
+
+def test_op4_plain_numbers(spark, texts):
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> shift)) * factor & ((1 << 64) - 1)
+        return x
+
+    n = len(texts)
+    half = ((n - 1).bit_length() + 1) // 2
+
+    def permuted(x):
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for turn in range(6):
+                left, right = right, left ^ mixed(right ^ mixed(turn + 1)) & ((1 << half) - 1)
+            x = left << half | right
+            if x < n:
+                return x
+
+    rows = [(i, len(r.text.encode()) + 1, zlib.crc32(r.text.encode())) for i, r in texts.items()]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(rows, key=lambda r: (signed(_spark_hash(*r)) % 64, r))
+    want = {(r[0], r[1], r[2], permuted(k) % 8, permuted(k) // 8) for k, r in enumerate(order)}
+    got = queries.op4_feistel_sharding(spark, SF).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got} == want and len(got) == n
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
+
 @pytest.mark.parametrize("sparse", [0.0, 0.5, 0.95, 0.995])
 def test_op5_coefficients_come_back(sparse):
     rng = np.random.default_rng(1)
@@ -219,6 +295,46 @@ def test_op7_targets(spark, texts):
     assert collections.Counter(got) == collections.Counter(queries.op7_pareto_mixing(spark, SF).collect())
 
 
+def test_op7_plain_draw(spark, texts):
+    """Rates by bisection, then every source ranked and cut in one list."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
+    sources = collections.defaultdict(list)
+    for i, r in got.items():
+        sources[texts[i].source].append((i, r["size"]))
+    for ids in sources.values():
+        target = got[ids[0][0]].target
+        cells = collections.defaultdict(lambda: [0, 0.0])
+        for _, n in ids:
+            if n:
+                cells[math.floor(2 * math.log2(n))][0] += n
+                cells[math.floor(2 * math.log2(n))][1] += n * n / (n + 32)
+        low, high = 0.0, 1e9
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(3 * n, mid * w) for n, w in cells.values()) < target else (low, mid)
+        m = {i: min(3.0, low * n / (n + 32)) if n else 0.0 for i, n in ids}
+        need = target - sum(math.floor(m[i]) * n for i, n in ids)
+        copies = {i: math.floor(m[i]) for i, _ in ids}
+        for long in (True, False):
+            ranked = []
+            for i, n in ids:
+                p = m[i] - math.floor(m[i])
+                if n and p > 1e-9 and (n >= 512) == long:
+                    u = ((_spark_hash((7).to_bytes(4, "little"), i, texts[i].text.encode()) >> 12) + 0.5) * 2.0**-52
+                    ranked.append(((u / (1 - u)) / (p / (1 - p)), i, n))
+            part = sum((m[i] - math.floor(m[i])) * n for _, i, n in ranked) if long else need
+            upto = 0
+            for _, i, n in sorted(ranked):
+                if part > 0 and upto + n / 2 <= part:
+                    copies[i] += 1
+                    upto += n
+                else:
+                    break
+            need -= upto
+        assert copies == {i: got[i].copies for i, _ in ids}
+
+
 def test_op7_targets_are_reshared():
     assert mixing.targets({"a": 100, "b": 1, "c": 1, None: 50}) == pytest.approx({"a": 73, "b": 3, "c": 3, None: 73})
 
@@ -296,6 +412,17 @@ def test_op10_library():
         assert mine.encode(t).tolist() == ids and mine.decode(np.array(ids)) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_op10_library_on_documents(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in queries.op10_bpe(spark, SF).collect():
+        ids = lib.encode(texts[r.doc_id].text, add_special_tokens=False).ids
+        raw = np.array(ids, dtype="<u4").tobytes()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 def test_pipeline(spark, texts):
     """Stage by stage: what the scores, classes and copies of the operators' own queries say."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

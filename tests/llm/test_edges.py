@@ -124,7 +124,18 @@ def test_pipeline_stages_keep_columns(spark, docs, none, tmp_path):
     for table in (docs, none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, table, str(tmp_path)).columns == table.columns
-        assert stage(spark, table, str(tmp_path)).count() >= 0
+        assert corpus_pipeline.tokens(spark, table, str(tmp_path)).count() == table.count()
+    ids = [r.doc_id for r in corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()]
+    assert Counter(ids) == Counter(r[0] for r in rows())
+
+
+def test_training_rows_are_bounded(spark):
+    """A labelled id that is repeated does not carry more rows into training than the bound."""
+    many = spark.createDataFrame([(1, f"good text number {i}") for i in range(300)] + [(2, "bad bad bad")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.score(many, quality.fit(many, known, F.lit(True), max_train=10)).collect())
+    clash = spark.createDataFrame([(1, "a good text", "x", "y", 3, 4)], "doc_id long, text string, k string, t string, y int, h int")
+    assert quality.score(clash, quality.fit(clash, known, F.lit(True))).columns == [*clash.columns, "score"]
 
 
 def test_ann(spark):
