@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
+from lodestone.sources.store import spread
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,7 @@ def chunk_articles(articles: DataFrame, key: str, text: str, sizes: Sizes = Size
             names = ["article_id", "seq", "chunk_id", "section_title", "footnote_ref", "is_footnote", "text", "char_count", "char_offset_start", "char_offset_end"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return articles.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(run, CHUNK)
+    return spread(articles.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))).mapInArrow(run, CHUNK)
 
 
 def stats(chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.store import spread
+
 #: What is no content on any page.
 JUNK_TAGS = frozenset({"nav", "footer", "script", "style", "noscript", "iframe", "form", "button", "input"})
 JUNK_CLASSES = frozenset({"ad", "banner", "navbar", "breadcrumbs"})
@@ -165,7 +167,7 @@ def markdown(pages: DataFrame, key: str = "page_id", html: str = "html", keep: t
             columns = [batch.column(key), pa.array([m for m, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32()), *(batch.column(c) for c in keep)]
             yield pa.RecordBatch.from_arrays(columns, [key, "md", "tables", *keep])
 
-    return pages.select(key, html, *(c for c in keep if c not in (key, html))).mapInArrow(run, schema)
+    return spread(pages.select(key, html, *(c for c in keep if c not in (key, html)))).mapInArrow(run, schema)
 
 
 def stripped(html: Column) -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.store import spread
+
 DIMS = 512
 
 
@@ -45,7 +47,7 @@ def embed(chunks: DataFrame, name: str = "local", key: str = "chunk_id", text: s
                 v = encode([t or "" for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.ravel())], [key, "embedding"])
 
-    return chunks.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+    return spread(chunks.select(key, text)).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
 def remaining(chunks: DataFrame, done: DataFrame, key: str = "chunk_id") -> DataFrame:

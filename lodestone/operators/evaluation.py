@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators.retrieval import small
+from lodestone.sources.store import spread
 
 
 def first_ranks(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def holders(passages: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
     """
     inner = F.slice(fx.tokens(F.col("passage")), F.lit(2), F.greatest(F.size(fx.tokens(F.col("passage"))) - 2, F.lit(0)))
     keyed = passages.select("query_id", "passage", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("token"))))["token"].alias("token"))
-    words = docs.select(F.col(key).alias("id"), F.explode(F.array_distinct(fx.tokens(F.col(text)))).alias("token"))
+    words = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", F.explode(F.array_distinct(fx.tokens(F.col("text")))).alias("token"))
     pairs = words.join(small(keyed.where("token is not null"), few), "token").select("id", "query_id", "passage")
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(pairs, "id").where(F.contains("text", "passage"))
     short = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small(keyed.where("token is null"), few), F.expr("contains(text, passage)"))

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
+from lodestone.sources.store import spread
 
 #: rows of query tokens that may be sent to every task; beyond, they are joined by a shuffle
 SMALL = 200_000
@@ -67,7 +68,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", segment:
             ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), sizes)))
             yield pa.RecordBatch.from_arrays([token, ids, pa.array(tf), pa.array(np.repeat(totals, sizes))], ["token", "id", "tf", "dl"])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"token string, id {kind}, tf double, dl double")
+    return spread(docs.select(F.col(key).alias("id"), F.col(text).alias("t"))).mapInArrow(run, f"token string, id {kind}, tf double, dl double")
 
 
 @dataclass(frozen=True)

@@ -255,6 +255,13 @@ def test_filters_keep_null_articles(spark):
     assert {r.article_id for r in rows.where(retrieval.filters(exclude=["a"])).collect()} == {None, "b"}
 
 
+def test_small_tables_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "a b"))
+    one = spark.read.parquet(str(tmp_path / "a b"))
+    assert store.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and store.spread(one).count() == 100
+    assert store.spread(spark.range(5)).count() == 5
+
+
 def test_crawl_results(spark):
     rows = spark.createDataFrame([("a", "x" * 100, "y" * 30, None, None), ("b", "x" * 100, "y" * 60, None, ["w"]), ("c", None, None, None, None), ("d", "x", "x", "late", None), ("e", "", "", None, None)], "id string, html string, clean string, error string, warnings array<string>")
     got = {r.id: r for r in store.crawl_results(rows).collect()}
