@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import ann, bpe, chat, html, lm, media, minhash, mixing, quality, sharding
 from lodestone.llm import text as X
+from lodestone.sources.store import spread
 
 PASS_SCORE = 0.7
 
@@ -47,7 +48,7 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     X.small_batches(spark)
-    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

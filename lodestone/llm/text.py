@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.store import spread
+
 SLICE_BYTES = 1 << 20
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -110,9 +112,9 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents table, only the columns asked for."""
+    """The documents table, only the columns asked for; on all cores where it stands in few files."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return table.select(*columns) if columns else table
+    return spread(table.select(*columns) if columns else table)
 
 
 def remainder(doc_id: str, n: int) -> F.Column:
