@@ -236,8 +236,9 @@ class Pairs:
         train = np.bincount(inverse[t.train[known]], minlength=len(keys))
         # a frequent history is in several buckets; each of them is asked, for its part of the followers
         parts = np.maximum(1, np.ceil(c * (buckets / (4.0 * max(total, 1))))).astype(np.int64)
-        hot = np.unique(t.before[known])
-        hot = hot[parts[hot] > 1]
+        # and so is one that only unknown tokens follow here, for its backoff weight
+        asked = np.unique(t.before[c[t.before] > 0])
+        hot = asked[(parts[asked] > 1) | ~np.isin(asked, keys // span)]
         h = np.concatenate([keys // span, np.repeat(hot, parts[hot])])
         w = np.concatenate([keys % span, np.full(int(parts[hot].sum()), t.v + 2)])
         turn = np.concatenate([(X.mix(g[keys % span]) % parts[keys // span].astype(np.uint64)).astype(np.int64), np.arange(int(parts[hot].sum())) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])])
