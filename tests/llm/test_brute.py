@@ -243,6 +243,140 @@ def test_op5_colour_with_small_chroma():
     assert rgb.shape == (32, 48, 3) and np.abs(rgb - want).mean() < 6
 
 
+class PlainJpeg:
+    """A progressive encoder of another make: plain strings of bits, no restarts, interleaved DC scans, long end-of-band runs, own tables."""
+
+    #: The counts by length of a common DC table, and one of all AC symbols with eight bits each
+    DC = ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12)))
+    AC = ([0, 0, 0, 0, 0, 0, 0, 177, 0, 0, 0, 0, 0, 0, 0, 0], [16 * r + n for r in range(16) for n in range(11)] + [0xFB])
+
+    def __init__(self):
+        self.code = {kind: self.codes(*table) for kind, table in (("dc", self.DC), ("ac", self.AC))}
+        self.run, self.kept, self.longest = 0, "", 0
+
+    @staticmethod
+    def codes(lengths, symbols):
+        out, code, at = {}, 0, iter(symbols)
+        for n, count in enumerate(lengths, 1):
+            for _ in range(count):
+                out[next(at)] = f"{code:0{n}b}"
+                code += 1
+            code *= 2
+        return out
+
+    @staticmethod
+    def value(v):
+        n = abs(v).bit_length()
+        return n, f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def ended(self):
+        if not self.run:
+            return ""
+        n = self.run.bit_length() - 1
+        out = self.code["ac"][n * 16] + (f"{self.run - (1 << n):0{n}b}" if n else "") + self.kept
+        self.longest = max(self.longest, self.run)
+        self.run, self.kept = 0, ""
+        return out
+
+    def dc_first(self, blocks, low):
+        out, before = "", {}
+        for component, b in blocks:
+            v = int(b[0]) >> low
+            n, bits = self.value(v - before.get(component, 0))
+            before[component] = v
+            out += self.code["dc"][n] + bits
+        return out
+
+    def ac_first(self, blocks, low):
+        out = ""
+        for b in blocks:
+            zeros = 0
+            for v in (int(math.copysign(abs(int(x)) >> low, int(x))) for x in b[1:]):
+                if not v:
+                    zeros += 1
+                    continue
+                out += self.ended() + self.code["ac"][0xF0] * (zeros // 16)
+                n, bits = self.value(v)
+                out += self.code["ac"][zeros % 16 * 16 + n] + bits
+                zeros = 0
+            self.run += zeros > 0
+        return out + self.ended()
+
+    def ac_refined(self, blocks, low):
+        out = ""
+        for b in blocks:
+            size = [abs(int(x)) >> low for x in b]
+            newest = max((k for k in range(1, 64) if size[k] == 1), default=0)
+            zeros, more = 0, ""
+            for k in range(1, 64):
+                if not size[k]:
+                    zeros += 1
+                    continue
+                while zeros > 15 and k <= newest:
+                    out += self.ended() + self.code["ac"][0xF0] + more
+                    zeros, more = zeros - 16, ""
+                if size[k] > 1:
+                    more += str(size[k] & 1)
+                    continue
+                out += self.ended() + self.code["ac"][zeros * 16 + 1] + ("1" if b[k] > 0 else "0") + more
+                zeros, more = 0, ""
+            if zeros or more:
+                self.run, self.kept = self.run + 1, self.kept + more
+        return out + self.ended()
+
+    def file(self, planes, height, width, sampling):
+        """planes: of each component its blocks (rows, columns, 64) over whole MCUs."""
+        seg = lambda marker, body: bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+        table = lambda kind, t: bytes([kind, *t[0], *t[1]])
+        n = len(planes)
+        out = b"\xff\xd8" + seg(0xDB, bytes([0] + [1] * 64))
+        out += seg(0xC2, bytes([8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), n]) + b"".join(bytes([k + 1, h * 16 + v, 0]) for k, (h, v) in enumerate(sampling)))
+        out += seg(0xC4, table(0, self.DC) + table(0x10, self.AC))
+
+        def scan(components, first, last, high, low, bits):
+            bits += "1" * (-len(bits) % 8)
+            data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+            return seg(0xDA, bytes([len(components)]) + b"".join(bytes([k + 1, 0]) for k in components) + bytes([first, last, high * 16 + low])) + data
+
+        h_most, v_most = max(h for h, _ in sampling), max(v for _, v in sampling)
+        rows, columns = planes[0].shape[0] // sampling[0][1], planes[0].shape[1] // sampling[0][0]
+        mcus = [(k, planes[k][y * v + i, x * h + j]) for y in range(rows) for x in range(columns) for k, (h, v) in enumerate(sampling) for i in range(v) for j in range(h)]
+        own = [p[: math.ceil(math.ceil(height * v / v_most) / 8), : math.ceil(math.ceil(width * h / h_most) / 8)].reshape(-1, 64) for p, (h, v) in zip(planes, sampling, strict=True)]
+        out += scan(range(n), 0, 0, 0, 1, self.dc_first(mcus, 1))
+        for k in range(n):
+            out += scan([k], 1, 63, 0, 1, self.ac_first(own[k], 1))
+        out += scan(range(n), 0, 0, 1, 0, "".join(str(int(b[0]) & 1) for _, b in mcus))
+        for k in range(n):
+            out += scan([k], 1, 63, 1, 0, self.ac_refined(own[k], 0))
+        return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling", [((1, 1),), ((2, 2), (1, 1), (1, 1)), ((2, 1), (1, 1), (1, 1))])
+@pytest.mark.parametrize("sparse", [0.3, 0.97, 0.9995])
+def test_op5_reads_files_of_another_make(sampling, sparse):
+    rng = np.random.default_rng(8)
+    height, width = 75, 90
+    h_most, v_most = max(h for h, _ in sampling), max(v for _, v in sampling)
+    planes = []
+    for h, v in sampling:
+        shape = math.ceil(height / (8 * v_most)) * v, math.ceil(width / (8 * h_most)) * h
+        own = math.ceil(math.ceil(height * v / v_most) / 8), math.ceil(math.ceil(width * h / h_most) / 8)
+        c = rng.integers(-200, 201, (*shape, 64))
+        c[rng.random(c.shape) < sparse] = 0
+        # blocks outside the image have a first coefficient only
+        c[own[0] :, :, 1:] = 0
+        c[:, own[1] :, 1:] = 0
+        planes.append(c)
+    plain = PlainJpeg()
+    blob = plain.file(planes, height, width, sampling)
+    got = jpeg.coefficients([jpeg.parse(blob)])
+    for want, (c, _) in zip(planes, got, strict=True):
+        assert np.array_equal(c, want.reshape(-1, 64))
+    assert sparse < 0.99 or plain.longest > 1
+    (rgb,) = jpeg.decode([blob])
+    assert rgb.shape[:2] == (height, width)
+
+
 def test_op6_all_pairs(spark, texts):
     def bag(t):
         w = t.lower().split() if t.isascii() else "".join(ch.lower() if ch.isascii() else ch for ch in t).split()
