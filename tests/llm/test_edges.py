@@ -206,3 +206,53 @@ def test_html_layout_wrappers_stay():
         assert html.main_text(f'<div>{text}</div><div class="x {w}">junk</div>') == html.main_text(f"<article>{text}</article><div id={w}>{text * 9}</div>") == want, w
     assert html.main_text(f"<div>{text}</div><div class=comments>{text * 9}<article>no</article></div><div class=ad>{text * 9}</div>") == want
     assert html.main_text("<div class=widget>" * 5000 + text) == want
+
+
+def test_ann_several_lists_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 60)
+    monkeypatch.setattr(ann, "ENOUGH", 50)
+    monkeypatch.setattr(ann, "TILE_ROWS", 200)
+    monkeypatch.setattr(ann, "TILE_QUERIES", 16)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((1500, 24)) + 3 * rng.standard_normal((12, 24))[rng.integers(0, 12, 1500)]
+    v[700:] = np.where(np.arange(700, 1500)[:, None] % 2 == 0, v[700], v[700:])
+    table = spark.createDataFrame([(i, [float(y) for y in x], 1, "a", 2, [3], 0.5, 7) for i, x in enumerate(v)], "vec_id long, embedding array<double>, id int, asks string, list int, lists array<int>, best double, grp int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    asked = np.arange(0, 1500, 25)
+    hits = 0
+    got = ann.search(table, F.col("vec_id") % 25 == 0).collect()
+    for q in asked:
+        score = np.round(u @ u[q], 9)
+        score[q] = -2
+        mine = sorted((r["rank"], r.score) for r in got if r.query_id == q)
+        assert [k for k, _ in mine] == [1, 2, 3, 4, 5]
+        hits += sum(abs(s - b) < 1e-6 for (_, s), b in zip(mine, np.sort(score)[::-1][:5], strict=True))
+    assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+    long = "<nav>menu</nav><article>" + "".join(f"<p>{LONG[:20_000]} {i}</p>" for i in range(150)) + "</article>"
+    got = html.extract(spark.createDataFrame([(1, "u", long, "other", 3), (None, None, "<p>x", None, None)], schema)).collect()
+    assert got[0].n_chars == len(got[0].text) > 2_900_000 and got[0].text.count("\n") == 149 and (got[1].page_id, got[1].text) == (None, "x")
+
+
+def test_chat_edges(spark):
+    turns = [(1, 0, "user", LONG, "a", "b"), (1, 1, "assistant", LONG + "</s>", "a", "b"), (2, 0, None, None, None, None)]
+    made = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, segments string, formatted string"))
+    back = {r.conv_id: r for r in chat.digest(made).collect()}
+    want = f"user\n{LONG}\nassistant\n{LONG}</s>\n"
+    assert back[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and back[1].loss_chars == len(LONG) + 4
+    assert back[2].n_turns == 1 and back[2].loss_chars == 0
+
+
+def test_minhash_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    many = [(i, text if i % 3 else f"{text} more{i % 2}", i, "x", b"y", 0.5) for i in range(30)] + [(99, "something else entirely is said in here", 1, "x", b"y", 0.5)]
+    table = spark.createDataFrame(many, "doc_id long, text string, k long, u string, sig binary, size double")
+    assert {(r.doc_id, r.class_id) for r in minhash.classes(table).collect()} == {(i, 0) for i in range(30)} | {(99, 99)}
+    left = minhash.kept(table)
+    assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == [0, 99]
+    twice = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 4), (1, "a b c", None)], "doc_id long, text string, least int")
+    assert minhash.kept(twice).collect() == minhash.kept(twice.repartition(3)).collect() and minhash.kept(twice).count() == 1
