@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.sources.store import spread
+from lodestone.sources.layout import spread
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.sources.store import spread
+from lodestone.sources.layout import spread
 
 #: What is no content on any page.
 JUNK_TAGS = frozenset({"nav", "footer", "script", "style", "noscript", "iframe", "form", "button", "input"})

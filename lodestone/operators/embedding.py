@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.store import spread
+from lodestone.sources.layout import spread
 
 DIMS = 512
 

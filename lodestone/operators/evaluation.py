@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators.retrieval import small
-from lodestone.sources.store import spread
+from lodestone.sources.layout import spread
 
 
 def first_ranks(cases: DataFrame, results: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.sources.store import spread
+from lodestone.sources.layout import spread
 
 #: rows of query tokens that may be sent to every task; beyond, they are joined by a shuffle
 SMALL = 200_000

@@ -2,49 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.layout import scratch, spread  # noqa: F401
+
 ARTICLE = "id string, stable_slug string, title string, year int, month int, category string, url_primary string, provider string, status string, raw_size long, clean_size long, error string"
 MANIFEST = f"volumes array<struct<volume: int, articles: array<struct<{', '.join(': '.join(f.split(' ')) for f in ARTICLE.split(', '))}>>>>"
 CHUNK = "chunk_id string, text string, article_id string, article_title string, stable_slug string, source_url string, upstream_provider string, section_title string, footnote_ref string, char_count int, volume int, year int, char_offset_start int, char_offset_end int, month int, is_footnote boolean, section_title_is_descriptive boolean"
 ENTRY = "id string, title string, theory_source string, one_liner string, modern_interpretation string, caveats string, tags array<string>, trigger_keywords array<string>, action_checklist array<string>, original_excerpts array<struct<text: string, source: string, url: string>>, analogy_story struct<title: string, body: string>, further_reading array<struct<title: string, url: string>>"
 
 
-#: bytes for each of the cluster's cores up to which a table in few files is dealt out anew
-SPREAD_BYTES = 32 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df, its rows dealt to all cores if it stands in fewer files than there are and is small.
-
-    A file of one row group is one task's, however many cores wait; a table of many files or much data is left as it is.
-    """
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    size = 0
-    for f in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
-        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where that is unset on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The nested manifest; Spark's reader raises if it is missing."""
     return spark.read.option("multiLine", True).schema(MANIFEST).json(path)
