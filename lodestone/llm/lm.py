@@ -8,18 +8,24 @@ seen gets the mass that discounting freed.  Backoff weights are computed from al
 history, so that the probabilities after every history sum to one over the V known tokens and one
 unknown.
 
+The model is two tables in the shared folder, partitioned by ``part``, and one row of totals:
+``words`` (hash range: words, counts, factor on seen shares, backoff weight) and ``pairs`` (bucket of
+histories: history, follower, count).  ``fit`` writes them, ``Model.load`` reads them again, and
+``score_with`` scores any documents by them; ``score`` does both over one reading of the texts.
+
 Layout.  Texts are read once into batches of about ``BATCH_BYTES``: a batch is one row with its words'
-hashes and its texts as indexes into them.  Batches ask for counts and get them back in order:
-first the counts of their words, which hash ranges add up; then those of their distinct pairs,
-which buckets of histories add up, with every history's followers by count and their probability
-mass.  Requests and answers are sorted columns of numbers, stored byte plane by byte plane.  The
-number of buckets follows the number of tokens; a history of more than a few buckets' share of
-tokens is split by its followers, so no bucket depends on one frequent word.  Answers are tables in the
-shared folder, partitioned by bucket.
+hashes and its texts as indexes into them.  Hash ranges add up the words and number them; the
+batches are written again with counts and numbers in place of hashes.  Their distinct training pairs go to
+buckets of histories, one row of the table each.  Scoring sends the distinct pairs of a batch to
+the buckets and its words to the hash ranges, and gets counts and weights back in the same order.
+All of these are sorted columns of numbers, stored byte plane by byte plane.  The number of buckets
+follows the number of tokens; a history of more than a few buckets' share of tokens is split by its
+followers, so no bucket depends on one frequent word.
 
 Words are known by a 64-bit hash.  Defined results: null counts as empty; an empty text is one end;
 null ids count as the empty text for ``train``; rows equal in id and text score alike; without
-training tokens every score is 0; an empty table gives no rows; extra columns do not matter.
+training tokens every score is 0; an empty table gives no rows; extra columns do not matter; a hash
+range of 2^24 words or more is an error (65,536 ranges hold 10^12).
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +48,8 @@ BUCKET_TOKENS = 3_000_000
 LOW = 5
 _INDEX = 24
 _TOP = 1 << 40
-START, END, NONE = _TOP - 1, _TOP - 2, _TOP - 3
+START, END = _TOP - 1, _TOP - 2
+PARTS = 64
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -117,7 +124,7 @@ def backoff(mass: np.ndarray, followers: np.ndarray, count: np.ndarray, d: np.nd
     return np.where(closed, seen / (1 - freed), seen), np.where(closed, 0.0, freed / np.where(closed, 1.0, left))
 
 
-BATCH = "batch long, n int, vocab binary, tok binary, lens binary, trains binary"
+BATCH = "batch long, n int, learnt long, vocab binary, tok binary, lens binary, trains binary"
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +141,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pa.concat_arrays([k for k, _, _, _ in held])
         lists = pa.ListArray.from_arrays(np.array([0, len(keys)], np.int32), keys)
         number += 1
-        columns = [pa.array([(part << 32) + number], pa.int64()), pa.array([len(keys)], pa.int32()), *(pa.array([packed(a)], pa.binary()) for a in (vocab, tok.astype(np.uint32), lens, trains.astype(np.uint8))), lists]
-        return pa.RecordBatch.from_arrays(columns, ["batch", "n", "vocab", "tok", "lens", "trains", "keys"])
+        columns = [pa.array([(part << 32) + number], pa.int64()), pa.array([len(keys)], pa.int32()), pa.array([int(trains.sum())], pa.int64()), *(pa.array([packed(a)], pa.binary()) for a in (vocab, tok.astype(np.uint32), lens, trains.astype(np.uint8))), lists]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "n", "learnt", "vocab", "tok", "lens", "trains", "keys"])
 
     for batch in batches:
         for piece in X.slices(batch, "t"):
@@ -153,24 +160,41 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Tokens:
-    """A batch's token sequence in local numbers: words 0 .. v-1, END v, START v+1."""
+    """A batch's token sequence in local numbers: words 0 .. v-1, END v, START v+1; count and number of each of them."""
 
     lens: np.ndarray
     now: np.ndarray
     before: np.ndarray
     train: np.ndarray
     v: int
+    c: np.ndarray
+    g: np.ndarray
 
     @staticmethod
-    def of(vocab: np.ndarray, tok: np.ndarray, lens: np.ndarray, trains: np.ndarray) -> Tokens:
-        v = len(vocab)
-        ends = np.cumsum(lens)
-        now = np.insert(tok.astype(np.int64), ends, v)
+    def of(row: dict, documents: int) -> Tokens:
+        tok, lens, trains, c, g = (unpacked(row[k], kind) for k, kind in (("tok", "u4"), ("lens", "i4"), ("trains", "u1"), ("c", "u8"), ("g", "u8")))
+        v = len(c)
+        now = np.insert(tok.astype(np.int64), np.cumsum(lens), v)
         full = lens.astype(np.int64) + 1
         before = np.empty_like(now)
         before[1:] = now[:-1]
         before[np.cumsum(full) - full] = v + 1
-        return Tokens(full, now, before, np.repeat(trains.astype(bool), full), v)
+        counts = np.concatenate([c.astype(np.int64), [documents, documents]])
+        return Tokens(full, now, before, np.repeat(trains.astype(bool), full), v, counts, np.concatenate([g, np.array([END, START], np.uint64)]))
+
+
+def _ranges(vocab: np.ndarray, buckets: int) -> np.ndarray:
+    """Edges of the hash ranges in sorted hashes."""
+    place = (vocab >> np.uint64(48)).astype(np.int64) * buckets >> 16
+    return np.searchsorted(place, np.arange(buckets + 1))
+
+
+def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
+    return pa.table({k: pa.array(v, kind) for k, (v, kind) in columns.items()})
+
+
+def _joined(blobs: list[bytes], kind: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(unpacked(b, kind) for b in blobs)])
 
 
 def _word_requests(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -178,230 +202,392 @@ def _word_requests(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         for r in batch.to_pylist():
             vocab, tok, lens, trains = (unpacked(r[c], k) for c, k in (("vocab", "u8"), ("tok", "u4"), ("lens", "i4"), ("trains", "u1")))
             n = np.bincount(tok[np.repeat(trains.astype(bool), lens)], minlength=len(vocab)).astype(np.uint32)
-            place = (vocab >> np.uint64(48)).astype(np.int64) * buckets >> 16
-            edges = np.searchsorted(place, np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(edges))
-            cut = [(int(b), packed(vocab[edges[b] : edges[b + 1]]), packed(n[edges[b] : edges[b + 1]])) for b in used]
-            if cut:
-                bs, ws, ns = zip(*cut, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(cut), pa.int64()), pa.array(bs, pa.int32()), pa.array(ws, pa.binary()), pa.array(ns, pa.binary())], ["batch", "bucket", "w", "n"])
+            edges = _ranges(vocab, buckets)
+            used = np.flatnonzero(np.diff(edges)).tolist()
+            cut = [slice(edges[b], edges[b + 1]) for b in used]
+            out = {"batch": ([r["batch"]] * len(cut), pa.int64()), "bucket": (used, pa.int32()), "w": ([packed(vocab[x]) for x in cut], pa.binary()), "n": ([packed(n[x]) for x in cut], pa.binary())}
+            yield from _rows(out).to_batches()
 
 
-WORDS = "batch long, bucket int, c binary, g binary, total long, seen long, by_count array<long>"
+REQUESTS = "batch long, bucket int, w binary, n binary"
+COUNTS = "batch long, bucket int, w binary, c binary, g binary, total long, seen long, by_count array<long>"
 
 
-def _word_answers(table: pa.Table) -> pa.Table:
-    """Adds up one hash range; the first answer row carries its totals."""
+def _word_counts(table: pa.Table) -> pa.Table:
+    """Adds up one hash range: a row without batch holds its words and totals, the others are the batches' answers."""
+    bucket = table.column("bucket")[0].as_py()
     asked = [unpacked(b, "u8") for b in table.column("w").to_pylist()]
     words, at = np.unique(np.concatenate(asked), return_inverse=True)
-    c = np.bincount(at, weights=np.concatenate([unpacked(b, "u4") for b in table.column("n").to_pylist()]), minlength=len(words)).astype(np.uint64)
-    bucket = table.column("bucket")[0].as_py()
+    c = np.bincount(at, weights=_joined(table.column("n").to_pylist(), "u4"), minlength=len(words)).astype(np.uint64)
+    known = c > 0
+    if known.sum() >= 1 << _INDEX:
+        raise ValueError("a hash range holds too many words")
+    number = np.where(known, np.cumsum(known) - 1 + (bucket << _INDEX), 0).astype(np.uint64)
     edges = np.cumsum([0, *map(len, asked)])
     parts = [at[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    zero = [0] * (LOW + 1)
     by = [int((c == r).sum()) for r in range(1, LOW + 2)]
     n = len(parts)
-    return pa.table(
+    return _rows(
         {
-            "batch": table.column("batch"),
-            "bucket": table.column("bucket"),
-            "c": pa.array([packed(c[p]) for p in parts], pa.binary()),
-            "g": pa.array([packed(p.astype(np.uint64) + np.uint64(bucket << _INDEX)) for p in parts], pa.binary()),
-            "total": pa.array([int(c.sum())] + [0] * (n - 1), pa.int64()),
-            "seen": pa.array([int((c > 0).sum())] + [0] * (n - 1), pa.int64()),
-            "by_count": pa.array([by] + [zero] * (n - 1), pa.list_(pa.int64())),
+            "batch": ([None, *table.column("batch").to_pylist()], pa.int64()),
+            "bucket": ([bucket] * (n + 1), pa.int32()),
+            "w": ([packed(words[known])] + [None] * n, pa.binary()),
+            "c": ([packed(c[known]), *(packed(c[p]) for p in parts)], pa.binary()),
+            "g": ([None, *(packed(number[p]) for p in parts)], pa.binary()),
+            "total": ([int(c.sum())] + [0] * n, pa.int64()),
+            "seen": ([int(known.sum())] + [0] * n, pa.int64()),
+            "by_count": ([by] + [[0] * (LOW + 1)] * n, pa.list_(pa.int64())),
         }
     )
 
 
+def _word_answers(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """Counts and numbers of the words that batches ask one hash range of a stored model for."""
+    own, count = _joined(words.column("w").to_pylist(), "u8"), _joined(words.column("c").to_pylist(), "u8")
+    cs, gs = [], []
+    for row in asked.to_pylist():
+        w = unpacked(row["w"], "u8")
+        at = np.searchsorted(own, w)
+        hit = (at < len(own)) & (np.append(own, np.uint64(0))[at] == w)
+        cs.append(packed(np.where(hit, np.append(count, np.uint64(0))[at], np.uint64(0))))
+        gs.append(packed(np.where(hit, at + (row["bucket"] << _INDEX), 0).astype(np.uint64)))
+    return _rows({"batch": (asked.column("batch").to_pylist(), pa.int64()), "bucket": (asked.column("bucket").to_pylist(), pa.int32()), "c": (cs, pa.binary()), "g": (gs, pa.binary())})
+
+
+def _number(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Counts and numbers in place of a batch's hashes."""
+    rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+    for name in ("c", "g"):
+        left = left.append_column(name, pa.array([packed(_joined([r[name] for r in rows], "u8"))], pa.binary()))
+    return left.drop_columns(["vocab"])
+
+
 @dataclass
 class Pairs:
-    """A batch's distinct pairs of known tokens, in the order in which buckets are asked for them."""
+    """Distinct pairs of local tokens in the order of their buckets, and each token's place among them (-1: none)."""
 
     h: np.ndarray
     w: np.ndarray
+    n: np.ndarray
     bucket: np.ndarray
     of_token: np.ndarray
-    order: np.ndarray
-    train: np.ndarray
 
     @staticmethod
-    def of(t: Tokens, c: np.ndarray, g: np.ndarray, total: int, buckets: int) -> Pairs:
-        """c, g: count and number of every local token."""
-        span = t.v + 3
-        known = (c[t.now] > 0) & (c[t.before] > 0)
-        keys, inverse = np.unique(t.before[known] * span + t.now[known], return_inverse=True)
+    def of(t: Tokens, which: np.ndarray, total: int, buckets: int) -> Pairs:
+        span = t.v + 2
+        keys, inverse, n = np.unique(t.before[which] * span + t.now[which], return_inverse=True, return_counts=True)
+        h, w = keys // span, keys % span
+        # a frequent history is in several buckets, by follower
+        parts = np.maximum(1, np.ceil(t.c * (buckets / (4.0 * max(total, 1))))).astype(np.uint64)
+        turn = X.mix(t.g[w]) % parts[h]
+        bucket = (X.mix(t.g[h] * np.uint64(31) + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
         of_token = np.full(len(t.now), -1, dtype=np.int64)
-        of_token[known] = inverse
-        train = np.bincount(inverse[t.train[known]], minlength=len(keys))
-        # a frequent history is in several buckets; each of them is asked, for its part of the followers
-        parts = np.maximum(1, np.ceil(c * (buckets / (4.0 * max(total, 1))))).astype(np.int64)
-        # and so is one that only unknown tokens follow here, for its backoff weight
-        asked = np.unique(t.before[c[t.before] > 0])
-        hot = asked[(parts[asked] > 1) | ~np.isin(asked, keys // span)]
-        h = np.concatenate([keys // span, np.repeat(hot, parts[hot])])
-        w = np.concatenate([keys % span, np.full(int(parts[hot].sum()), t.v + 2)])
-        turn = np.concatenate([(X.mix(g[keys % span]) % parts[keys // span].astype(np.uint64)).astype(np.int64), np.arange(int(parts[hot].sum())) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])])
-        bucket = (X.mix(g[h] * np.uint64(31) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((w, h, bucket))
-        return Pairs(h, w, bucket, of_token, order, np.concatenate([train, np.zeros(len(h) - len(keys), np.int64)]))
-
-
-def _local(rows: list[dict], v: int, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """(count, number) of the batch's words, END, START and the empty follower, from its answers in bucket order."""
-    rows = sorted(rows, key=lambda r: r["bucket"])
-    c = np.concatenate([*(unpacked(r["c"], "u8") for r in rows), np.array([documents, documents, 0], np.uint64)]).astype(np.int64)
-    g = np.concatenate([*(unpacked(r["g"], "u8") for r in rows), np.array([END, START, NONE], np.uint64)])
-    return c, g
+        of_token[which] = place[inverse]
+        return Pairs(h[order], w[order], n[order], bucket[order], of_token)
 
-
-def _tokens(row: dict) -> Tokens:
-    return Tokens.of(*(unpacked(row[c], k) for c, k in (("vocab", "u8"), ("tok", "u4"), ("lens", "i4"), ("trains", "u1"))))
+    def cut(self) -> list[tuple[int, slice]]:
+        """The buckets with pairs and where these stand."""
+        found, first, n = np.unique(self.bucket, return_index=True, return_counts=True)
+        return [(b, slice(x, x + k)) for b, x, k in zip(found.tolist(), first.tolist(), n.tolist(), strict=True)]
 
 
 PAIRS = "batch long, bucket int, h binary, n_h binary, w binary, c_w binary, n binary"
 
 
-def _pair_requests(left: pa.Table, right: pa.Table, documents: int, total: int, buckets: int) -> pa.Table:
-    out: list[tuple] = []
-    for row in left.to_pylist():
-        t = _tokens(row)
-        c, g = _local(right.to_pylist(), t.v, documents)
-        p = Pairs.of(t, c, g, total, buckets)
-        h, w, n, bucket = p.h[p.order], p.w[p.order], p.train[p.order], p.bucket[p.order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            s = slice(edges[b], edges[b + 1])
-            hs, counts = np.unique(h[s], return_counts=True)
-            out.append((row["batch"], int(b), packed(g[hs]), packed(counts.astype(np.uint32)), packed(g[w[s]]), packed(c[w[s]].astype(np.uint64)), packed(n[s].astype(np.uint32))))
-    columns = list(zip(*out, strict=True)) or [()] * 7
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["batch", "bucket", "h", "n_h", "w", "c_w", "n"])
-
-
-ANSWERS = "batch long, bucket int, c binary, followers binary, mass binary, by_count array<long>"
-
-
-def _pair_answers(table: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """Adds up one bucket's pairs, and for every history its followers by count and their own probability."""
-    get = lambda name, kind: [unpacked(b, kind) for b in table.column(name).to_pylist()]
-    asked_h, sizes = get("h", "u8"), get("n_h", "u4")
-    hs, dense = np.unique(np.concatenate(asked_h), return_inverse=True)
-    h = np.repeat(dense, np.concatenate(sizes))
-    w, own, n = (np.concatenate(get(*x)) for x in (("w", "u8"), ("c_w", "u8"), ("n", "u4")))
-    keys, at, one = _grouped((h.astype(np.uint64) << np.uint64(40)) | w)
-    c = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+def _pair_requests(batches: Iterator[pa.RecordBatch], documents: int, total: int, buckets: int, learn: bool) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of a batch: those learnt from with counts, or all of known tokens, to be looked up."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            t = Tokens.of(row, documents)
+            p = Pairs.of(t, t.train if learn else (t.c[t.now] > 0) & (t.c[t.before] > 0), total, buckets)
+            for b, s in p.cut():
+                hs, sizes = np.unique(p.h[s], return_counts=True)
+                more = [packed(t.c[p.w[s]].astype(np.uint64)), packed(p.n[s].astype(np.uint32))] if learn else [None, None]
+                blobs = zip(("h", "n_h", "w", "c_w", "n"), (packed(t.g[hs]), packed(sizes.astype(np.uint32)), packed(t.g[p.w[s]]), *more), strict=True)
+                yield from _rows({"batch": ([row["batch"]], pa.int64()), "bucket": ([b], pa.int32()), **{k: ([x], pa.binary()) for k, x in blobs}}).to_batches()
+
+
+TABLE = "bucket int, h binary, n_h binary, w binary, c binary, count binary, followers binary, mass binary, by_count array<long>"
+
+
+def _pair_counts(table: pa.Table, unigrams: Unigrams) -> pa.Table:
+    """Adds up one bucket's pairs, and for every history its count, its followers by count and their own probability."""
+    get = lambda name, kind: _joined(table.column(name).to_pylist(), kind)
+    hs, dense = np.unique(get("h", "u8"), return_inverse=True)
+    h = np.repeat(dense, get("n_h", "u4")).astype(np.uint64)
+    keys, one, at = np.unique((h << np.uint64(40)) | get("w", "u8"), return_index=True, return_inverse=True)
+    c = np.bincount(at, weights=get("n", "u4"), minlength=len(keys)).astype(np.int64)
     of = (keys >> np.uint64(40)).astype(np.int64)
-    seen = c > 0
-    mass = np.bincount(of[seen], weights=unigrams.p(own[one][seen]), minlength=len(hs))
-    followers = np.stack([np.bincount(of[c == r], minlength=len(hs)) for r in range(1, LOW + 1)], axis=1).astype(np.uint32)
+    low = [np.bincount(of[c == r], minlength=len(hs)) for r in range(1, LOW + 1)]
+    blobs = {
+        "h": packed(hs),
+        "n_h": packed(np.bincount(of, minlength=len(hs)).astype(np.uint32)),
+        "w": packed(keys & np.uint64(_TOP - 1)),
+        "c": packed(c.astype(np.uint64)),
+        "count": packed(np.bincount(of, weights=c, minlength=len(hs)).astype(np.uint64)),
+        "followers": packed(np.stack(low, axis=1).astype(np.uint32).ravel()),
+        "mass": packed(np.bincount(of, weights=unigrams.p(get("c_w", "u8")[one]), minlength=len(hs))),
+    }
     by = [int((c == r).sum()) for r in range(1, LOW + 2)]
-    e, f = np.cumsum([0, *(int(s.sum()) for s in sizes)]), np.cumsum([0, *map(len, asked_h)])
-    m = len(table)
+    return _rows({"bucket": ([table.column("bucket")[0].as_py()], pa.int32()), **{k: ([x], pa.binary()) for k, x in blobs.items()}, "by_count": ([by], pa.list_(pa.int64()))})
+
+
+HISTORIES = "bucket int, source int, h binary, count binary, followers binary, mass binary"
+
+
+def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's histories, dealt to the hash ranges of their words; START goes to range -1."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            h, count, followers, mass = (unpacked(row[k], kind) for k, kind in (("h", "u8"), ("count", "u8"), ("followers", "u4"), ("mass", "f8")))
+            followers = followers.reshape(-1, LOW)
+            place = np.where(h == START, -1, (h >> np.uint64(_INDEX)).astype(np.int64))
+            for b in np.unique(place).tolist():
+                at = place == b
+                blobs = {"h": packed(h[at]), "count": packed(count[at]), "followers": packed(followers[at].ravel()), "mass": packed(mass[at])}
+                yield from _rows({"bucket": ([b], pa.int32()), "source": ([row["bucket"]], pa.int32()), **{k: ([x], pa.binary()) for k, x in blobs.items()}}).to_batches()
+
+
+WORDS = "bucket int, w binary, c binary, seen binary, weight binary"
+
+
+def _weights(words: pa.Table, parts: pa.Table, d: np.ndarray) -> pa.Table:
+    """The words of one hash range with their backoff weights, from the parts of their histories."""
+    rows = sorted(parts.to_pylist(), key=lambda r: r["source"])
+    hs, at = np.unique(_joined([r["h"] for r in rows], "u8"), return_inverse=True)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(hs))
+    followers = _joined([r["followers"] for r in rows], "u4").reshape(-1, LOW)
+    low = np.stack([add(followers[:, r]) for r in range(LOW)], axis=1)
+    seen, weight = backoff(add(_joined([r["mass"] for r in rows], "f8")), low, add(_joined([r["count"] for r in rows], "u8")), d)
+    bucket = (words if len(words) else parts).column("bucket")[0].as_py()
+    own = {k: words.column(k)[0].as_py() if len(words) else b"" for k in ("w", "c")}
+    return _rows({"bucket": ([bucket], pa.int32()), **{k: ([x], pa.binary()) for k, x in own.items()}, "seen": ([packed(seen)], pa.binary()), "weight": ([packed(weight)], pa.binary())})
+
+
+def _weight_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            c, g = unpacked(row["c"], "u8"), unpacked(row["g"], "u8")
+            g = g[c > 0]
+            place = (g >> np.uint64(_INDEX)).astype(np.int64)
+            for b in np.unique(place).tolist():
+                index = (g[place == b] & np.uint64((1 << _INDEX) - 1)).astype(np.uint32)
+                yield from _rows({"batch": ([row["batch"]], pa.int64()), "bucket": ([b], pa.int32()), "i": ([packed(index)], pa.binary())}).to_batches()
+
+
+ANSWERS = "batch long, bucket int, c binary, seen binary, weight binary"
+
+
+def _answers(asked: pa.Table, **blobs: list[bytes]) -> pa.Table:
+    none = [None] * len(asked)
+    ids = {"batch": (asked.column("batch").to_pylist(), pa.int64()), "bucket": (asked.column("bucket").to_pylist(), pa.int32())}
+    return _rows({**ids, **{k: (blobs.get(k, none), pa.binary()) for k in ("c", "seen", "weight")}})
+
+
+def _weight_answers(asked: pa.Table, words: pa.Table) -> pa.Table:
+    seen, weight = (_joined(words.column(k).to_pylist(), "f8") for k in ("seen", "weight"))
+    at = [unpacked(b, "u4") for b in asked.column("i").to_pylist()]
+    return _answers(asked, seen=[packed(seen[i]) for i in at], weight=[packed(weight[i]) for i in at])
+
+
+def _pair_answers(asked: pa.Table, pairs: pa.Table) -> pa.Table:
+    """How often the pairs that batches ask one bucket for were seen."""
+    h, n_h, w, c = (_joined(pairs.column(k).to_pylist(), kind) for k, kind in (("h", "u8"), ("n_h", "u4"), ("w", "u8"), ("c", "u8")))
+    keys = (np.repeat(np.arange(len(h), dtype=np.uint64), n_h) << np.uint64(40)) | w
+    # what is not in the table finds the row behind it, whose key is no pair's
+    h, keys, c = np.append(h, np.uint64(_TOP)), np.append(keys, np.uint64(2**64 - 1)), np.append(c, np.uint64(0))
+    out = []
+    for row in asked.to_pylist():
+        hs = unpacked(row["h"], "u8")
+        place = np.searchsorted(h, hs)
+        place = np.where(h[place] == hs, place, len(h)).astype(np.uint64)
+        wanted = (np.repeat(place, unpacked(row["n_h"], "u4")) << np.uint64(40)) | unpacked(row["w"], "u8")
+        at = np.searchsorted(keys, wanted)
+        out.append(packed(np.where(keys[at] == wanted, c[at], 0).astype(np.uint64)))
+    return _answers(asked, c=out)
+
+
+def _scores(left: pa.Table, right: pa.Table, model: Model, key: str) -> pa.Table:
+    """The rows of one batch; right holds its weights (rows with weights) and the counts of its pairs."""
+    rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+    row = left.to_pylist()[0]
+    t = Tokens.of(row, model.documents)
+    u, d = model.unigrams, model.factor
+    pairs = Pairs.of(t, (t.c[t.now] > 0) & (t.c[t.before] > 0), u.total, model.pair_buckets)
+    count = np.append(_joined([r["c"] for r in rows if r["weight"] is None], "u8").astype(np.int64), 0)
+    seen, weight = np.ones(t.v + 2), np.ones(t.v + 2)
+    known = np.flatnonzero(t.c[: t.v] > 0)
+    seen[known], weight[known] = (_joined([r[k] for r in rows if r["weight"] is not None], "f8") for k in ("seen", "weight"))
+    if model.documents:
+        seen[t.v + 1], weight[t.v + 1] = model.start
+    n = count[pairs.of_token]
+    share = n * np.where(n <= LOW, d[np.minimum(n, LOW)], 1.0) / np.maximum(t.c[t.before], 1) * seen[t.before]
+    prob = np.where(n > 0, share, u.p(t.c)[t.now] * weight[t.before])
+    logs, base = np.log10(prob), u.base(t.c)[t.now]
+    edge = np.cumsum(t.lens) - t.lens
+    # summed text by text, so that equal texts score alike wherever they stand
+    spans = list(zip(edge.tolist(), (edge + t.lens).tolist(), strict=True))
     return pa.table(
         {
-            "batch": table.column("batch"),
-            "bucket": table.column("bucket"),
-            "c": pa.array([packed(c[at[e[i] : e[i + 1]]].astype(np.uint64)) for i in range(m)], pa.binary()),
-            "followers": pa.array([packed(followers[dense[f[i] : f[i + 1]]].ravel()) for i in range(m)], pa.binary()),
-            "mass": pa.array([packed(mass[dense[f[i] : f[i + 1]]]) for i in range(m)], pa.binary()),
-            "by_count": pa.array([by] + [[0] * (LOW + 1)] * (m - 1), pa.list_(pa.int64())),
+            key: pa.array(row["keys"], left.schema.field("keys").type.value_type),
+            "held_out": pa.array(~unpacked(row["trains"], "u1").astype(bool)),
+            "n_tokens": pa.array(t.lens),
+            "n_known": pa.array(np.add.reduceat((t.c[t.now] > 0).astype(np.int64), edge)),
+            "train_tokens": pa.array([u.total] * len(spans), pa.int64()),
+            "base_score": pa.array([base[a:b].sum() for a, b in spans]),
+            "score": pa.array([logs[a:b].sum() for a, b in spans]),
         }
     )
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, which of them each is, one place of each)."""
-    found, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return found, inverse, first
-
-
-def _scores(left: pa.Table, right: pa.Table, unigrams: Unigrams, documents: int, d: np.ndarray, buckets: int, keys: str) -> pa.Table:
-    """The rows of one batch; right holds its word answers (kind 0) and pair answers (kind 1)."""
-    answers = right.to_pylist()
-    out = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "trains": []}
-    ids = []
-    for row in left.to_pylist():
-        t = _tokens(row)
-        c, g = _local([r for r in answers if r["kind"] == 0], t.v, documents)
-        p = Pairs.of(t, c, g, unigrams.total, buckets)
-        order, bucket = p.order, p.bucket[p.order]
-        mine = {r["bucket"]: r for r in answers if r["kind"] == 1}
-        count = np.zeros(len(p.h), dtype=np.int64)
-        mass, followers = np.zeros(t.v + 3), np.zeros((t.v + 3, LOW))
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            at = order[edges[b] : edges[b + 1]]
-            hs = np.unique(p.h[at])
-            count[at] = unpacked(mine[b]["c"], "u8").astype(np.int64)
-            mass[hs] += unpacked(mine[b]["mass"], "f8")
-            followers[hs] += unpacked(mine[b]["followers"], "u4").reshape(-1, LOW)
-        seen, weight = backoff(mass, followers, np.maximum(c, 1), d)
-        own = unigrams.p(c)
-        prob = own[t.now] * np.where(c[t.before] > 0, weight[t.before], 1.0)
-        pair = p.of_token
-        n = np.where(pair >= 0, count[pair] if len(count) else 0, 0)
-        share = n * np.where(n <= LOW, d[np.minimum(n, LOW)], 1.0) / np.maximum(c[t.before], 1) * seen[t.before]
-        prob = np.where(n > 0, share, prob)
-        edge = np.cumsum(t.lens) - t.lens
-        # summed text by text, so that equal texts score alike wherever they stand
-        logs, base, known = np.log10(prob), unigrams.base(c)[t.now], c[t.now] > 0
-        spans = list(zip(edge.tolist(), (edge + t.lens).tolist(), strict=True))
-        out["n_tokens"].append(t.lens)
-        out["n_known"].append(np.add.reduceat(known.astype(np.int64), edge))
-        out["base_score"].append(np.array([base[a:b].sum() for a, b in spans]))
-        out["score"].append(np.array([logs[a:b].sum() for a, b in spans]))
-        out["trains"].append(unpacked(row["trains"], "u1").astype(bool))
-        ids += row["keys"]
-    cat = lambda k: np.concatenate(out[k])
-    return pa.table({keys: pa.array(ids, left.schema.field("keys").type.value_type), "held_out": pa.array(~cat("trains")), **{k: pa.array(cat(k)) for k in ("n_tokens", "n_known")}, "train_tokens": pa.array([unigrams.total] * len(ids), pa.int64()), **{k: pa.array(cat(k)) for k in ("base_score", "score")}})
-
-
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; ``train`` says which are learnt from."""
-    spark = docs.sparkSession
-    X.small_batches(spark)
-    key_type = docs.schema[key].dataType
+@dataclass(frozen=True)
+class Model:
+    """The figures of a stored model; its tables lie under ``path``."""
+
+    path: str
+    unigrams: Unigrams
+    factor: np.ndarray
+    documents: int
+    buckets: int
+    pair_buckets: int
+    start: tuple[float, float]
+
+    @staticmethod
+    def of(path: str, figures: dict, start: tuple[float, float]) -> Model:
+        unigrams = Unigrams.of(figures["total"], figures["known"], figures["by_count"])
+        return Model(path, unigrams, discounts(figures["by_pair"]), figures["documents"], figures["buckets"], figures["pair_buckets"], start)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        return Model.of(path, spark.read.parquet(f"{path}/figures").collect()[0].asDict(), _start(spark, path))
+
+    def words(self, spark: SparkSession) -> DataFrame:
+        return _table(spark, f"{self.path}/words", WORDS)
+
+    def pairs(self, spark: SparkSession) -> DataFrame:
+        return _table(spark, f"{self.path}/pairs", TABLE)
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, part int").parquet(path).drop("part")
+
+
+def _start(spark: SparkSession, path: str) -> tuple[float, float]:
+    row = _table(spark, f"{path}/words", WORDS).where("bucket = -1").select("seen", "weight").collect()
+    return (float(unpacked(row[0][0], "f8")[0]), float(unpacked(row[0][1], "f8")[0])) if row else (1.0, 1.0)
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.withColumn("part", F.pmod("bucket", F.lit(PARTS))).write.partitionBy("part").option("compression", "zstd").parquet(path)
+
+
+def _read(docs: DataFrame, train: Column, key: str, text: str, folder: str) -> DataFrame:
+    X.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("t"))
-    batches = X.settled(rows.mapInArrow(_batches, f"{BATCH}, keys array<{key_type.simpleString()}>"), "batches")
-    words = int(batches.agg(F.coalesce(F.sum(F.octet_length("tok")), F.lit(0))).collect()[0][0])
-    # packed tokens take two to three bytes; the numbers of buckets follow the corpus
-    buckets = int(min(1 << 16, max(8, 2 * words // BUCKET_TOKENS // 4)))
-    pair_buckets = max(8, words // 2 // BUCKET_TOKENS * 2)
+    return X.stored(rows.mapInArrow(_batches, f"{BATCH}, keys array<{docs.schema[key].dataType.simpleString()}>"), f"{folder}/batches")
 
-    asked = batches.drop("keys").mapInArrow(lambda it: _word_requests(it, buckets), "batch long, bucket int, w binary, n binary")
-    answered = X.settled(asked.groupBy("bucket").applyInArrow(_word_answers, WORDS), "words")
-    sums = [F.sum(F.element_at("by_count", r + 1)) for r in range(LOW + 1)]
-    totals = answered.agg(F.sum("total"), F.sum("seen"), *sums).collect()[0]
-    # every training text ends once; its end is one more token
-    documents = rows.where("train").count()
-    by = [(totals[2 + r] or 0) + (documents == r + 1) for r in range(LOW + 1)]
-    unigrams = Unigrams.of((totals[0] or 0) + documents, (totals[1] or 0) + (documents > 0), by)
-    total = unigrams.total
-    X.release(spark)
 
-    slim = answered.select("batch", "bucket", "c", "g")
-    lean = batches.drop("keys")
+def _numbered(batches: DataFrame, answers: DataFrame, folder: str) -> DataFrame:
+    """The batches with numbers for hashes; the earlier form is deleted."""
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in batches.schema if f.name != "vocab"]
+    out = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_number, ", ".join([*kept, "c binary", "g binary"]))
+    out = X.stored(out, f"{folder}/numbered")
+    X.dropped(batches.sparkSession, f"{folder}/batches")
+    X.release(batches.sparkSession)
+    return out
 
-    def requests(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _pair_requests(left, right, documents, total, pair_buckets)
 
-    def answers(table: pa.Table) -> pa.Table:
-        return _pair_answers(table, unigrams)
+def _learn(batches: DataFrame, path: str, folder: str) -> tuple[Model, DataFrame]:
+    """The model of all batches, written under path, and the batches numbered by it."""
+    spark = batches.sparkSession
+    size, documents = batches.agg(F.coalesce(F.sum(F.octet_length("tok")), F.lit(0)), F.coalesce(F.sum("learnt"), F.lit(0))).collect()[0]
+    # packed tokens take two to three bytes; the numbers of buckets follow the corpus
+    buckets = int(min(1 << 16, max(8, 2 * size // BUCKET_TOKENS // 4)))
+    pair_buckets = int(max(8, size // 2 // BUCKET_TOKENS * 2))
+    asked = batches.select("batch", "vocab", "tok", "lens", "trains").mapInArrow(lambda it: _word_requests(it, buckets), REQUESTS)
+    counted = X.stored(asked.groupBy("bucket").applyInArrow(_word_counts, COUNTS), f"{folder}/counts")
+    sums = [F.coalesce(F.sum(F.element_at("by_count", r + 1)), F.lit(0)) for r in range(LOW + 1)]
+    total, known, *by = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0)), *sums).collect()[0]
+    # every training text ends once; its end is one more token
+    by = [int(n) + (documents == r + 1) for r, n in enumerate(by)]
+    total, known = int(total) + documents, int(known) + (documents > 0)
+    unigrams = Unigrams.of(total, known, by)
+    numbered = _numbered(batches, counted.where("batch is not null").select("batch", "bucket", "c", "g"), folder)
+
+    def counts(table: pa.Table) -> pa.Table:
+        return _pair_counts(table, unigrams)
 
-    wanted = lean.groupBy("batch").cogroup(slim.groupBy("batch")).applyInArrow(requests, PAIRS)
-    pairs = X.settled(wanted.groupBy("bucket").applyInArrow(answers, ANSWERS), "pairs")
-    found = pairs.agg(*sums).collect()[0]
-    d = discounts([int(x or 0) for x in found])
+    wanted = numbered.drop("keys").mapInArrow(lambda it: _pair_requests(it, documents, total, pair_buckets, True), PAIRS)
+    _write(wanted.groupBy("bucket").applyInArrow(counts, TABLE), f"{path}/pairs")
+    del wanted
     X.release(spark)
-
-    none = F.lit(None).cast("binary")
-    both = slim.select("batch", F.lit(0).alias("kind"), "bucket", "c", "g", none.alias("followers"), none.alias("mass")).unionByName(
-        pairs.select("batch", F.lit(1).alias("kind"), "bucket", "c", none.alias("g"), "followers", "mass")
-    )
+    pairs = _table(spark, f"{path}/pairs", TABLE)
+    by_pair = [int(n) for n in pairs.agg(*sums).collect()[0]]
+    d = discounts(by_pair)
+
+    def weights(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _weights(left, right, d)
+
+    parts = pairs.select("bucket", "h", "count", "followers", "mass").mapInArrow(_histories, HISTORIES)
+    words = counted.where("batch is null").select("bucket", "w", "c")
+    _write(words.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(weights, WORDS), f"{path}/words")
+    X.dropped(spark, f"{folder}/counts")
+    figures = {"total": total, "known": known, "documents": documents, "buckets": buckets, "pair_buckets": pair_buckets, "by_count": by, "by_pair": by_pair}
+    kinds = "total long, known long, documents long, buckets int, pair_buckets int, by_count array<long>, by_pair array<long>"
+    spark.createDataFrame([tuple(figures.values())], kinds).coalesce(1).write.parquet(f"{path}/figures")
+    return Model.of(path, figures, _start(spark, path)), numbered
+
+
+def _scored(numbered: DataFrame, model: Model, key: str, folder: str) -> DataFrame:
+    spark = numbered.sparkSession
+    lean = numbered.drop("keys")
+    total, documents, pair_buckets = model.unigrams.total, model.documents, model.pair_buckets
+    asked = lean.mapInArrow(lambda it: _pair_requests(it, documents, total, pair_buckets, False), PAIRS).drop("c_w", "n")
+    table = model.pairs(spark).select("bucket", "h", "n_h", "w", "c")
+    pairs = X.stored(asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_pair_answers, ANSWERS), f"{folder}/counted")
+    words = lean.select("batch", "c", "g").mapInArrow(_weight_requests, "batch long, bucket int, i binary")
+    table = model.words(spark).where("bucket >= 0").select("bucket", "seen", "weight")
+    weights = X.stored(words.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_weight_answers, ANSWERS), f"{folder}/weights")
+    del asked, table, words
+    X.release(spark)
+    key_type = numbered.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scores(left, right, unigrams, documents, d, pair_buckets, key)
+        return _scores(left, right, model, key)
 
-    return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(scores, schema)
+    return numbered.groupBy("batch").cogroup(pairs.unionByName(weights).groupBy("batch")).applyInArrow(scores, schema)
+
+
+def fit(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Model:
+    """The model of all documents, its tables written under ``path`` (a new folder that all executors share)."""
+    folder = X.shared_dir(docs.sparkSession)
+    model, _ = _learn(_read(docs, F.lit(True), key, text, folder), path, folder)
+    X.dropped(docs.sparkSession, folder)
+    return model
+
+
+def score_with(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``score`` for documents that the model was not learnt from (held_out is true)."""
+    spark, folder, buckets = docs.sparkSession, X.shared_dir(docs.sparkSession), model.buckets
+    batches = _read(docs, F.lit(False), key, text, folder)
+    asked = batches.select("batch", "vocab", "tok", "lens", "trains").mapInArrow(lambda it: _word_requests(it, buckets), REQUESTS).drop("n")
+    words = model.words(spark).where("bucket >= 0").select("bucket", "w", "c")
+    answers = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_word_answers, "batch long, bucket int, c binary, g binary")
+    return _scored(_numbered(batches, answers, folder), model, key, folder)
+
+
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+
+    ``train`` says which are learnt from.  The model stays under ``path``; without one its tables are deleted once used.
+    """
+    folder = X.shared_dir(docs.sparkSession)
+    model, numbered = _learn(_read(docs, train, key, text, folder), path or f"{folder}/model", folder)
+    out = _scored(numbered, model, key, folder)
+    if not path:
+        X.dropped(docs.sparkSession, f"{folder}/model")
+    return out

@@ -159,10 +159,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    return stored(df, f"{shared_dir(df.sparkSession)}/{name}")
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read again."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the run's own that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def observed(df: DataFrame, name: str, **figures: F.Column) -> tuple[DataFrame, dict]:

@@ -137,37 +137,85 @@ def test_op2_plain_learner(spark, texts):
         assert abs(r.score - want) < 1e-4 and r.predicted == (r.score >= 0.7), r
 
 
+class PlainKatz:
+    """The pair model by dictionaries; nothing of the library is used."""
+
+    def __init__(self, texts):
+        self.c = collections.Counter(w for ts in texts for w in ts)
+        self.pairs = collections.Counter(p for ts in texts for p in zip(["<s>", *ts[:-1]], ts))
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.d1, self.d2 = self.factors(self.c), self.factors(self.pairs)
+        self.unknown = sum((1 - self.d1.get(k, 1)) * k for k in self.c.values()) / self.n
+        self.p = {w: k * self.d1.get(k, 1) / self.n for w, k in self.c.items()}
+        self.after = collections.defaultdict(dict)
+        for (h, w), k in self.pairs.items():
+            self.after[h][w] = k
+
+    @staticmethod
+    def factors(counts):
+        seen = collections.Counter(counts.values())
+        rest = 6 * seen[6] / seen[1]
+        out = {}
+        for r in range(1, 6):
+            x = ((r + 1) * seen[r + 1] / (r * seen[r]) - rest) / (1 - rest) if seen[r] and seen[r + 1] and rest < 1 else 1
+            if 0 < x < 1:
+                out[r] = x
+        return out
+
+    def prob(self, h, w):
+        if h not in self.after:
+            return self.p.get(w, self.unknown)
+        ws = self.after[h]
+        total = sum(ws.values())
+        freed = sum((1 - self.d2.get(k, 1)) * k for k in ws.values()) / total
+        kept = 1.0
+        if not freed:
+            freed, kept = 1 / (total + 1), total / (total + 1)
+        if w in ws:
+            return ws[w] * self.d2.get(ws[w], 1) / total * kept
+        return self.p.get(w, self.unknown) * freed / (1 - sum(self.p[x] for x in ws))
+
+    def score(self, ts):
+        return sum(math.log10(self.prob(h, w)) for h, w in zip(["<s>", *ts[:-1]], ts))
+
+
 def test_op3_counts_by_hand(spark, texts, monkeypatch):
     monkeypatch.setattr(lm, "BATCH_BYTES", 50_000)
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 5_000)
     toks = {i: [*WORD.findall(r.text.encode().lower()), None] for i, r in texts.items()}
-    train = [i for i in toks if crc(i, 7) != 2]
-    c = collections.Counter(w for i in train for w in toks[i])
-    pairs = collections.Counter(p for i in train for p in zip(["<s>", *toks[i][:-1]], toks[i]))
-    n, v = sum(c.values()), len(c)
-    by, by2 = collections.Counter(c.values()), collections.Counter(pairs.values())
-    uni = lm.Unigrams.of(n, v, [by[k] for k in range(1, 7)])
-    d = lm.discounts([by2[k] for k in range(1, 7)])
-    after = collections.defaultdict(list)
-    for (h, w), k in pairs.items():
-        after[h].append((w, k))
-    p = {w: float(uni.p(np.array([k]))[0]) for w, k in c.items()}
-    total = {h: sum(k for _, k in ws) for h, ws in after.items()}
-    back = {h: lm.backoff(np.array([sum(p[w] for w, _ in ws)]), np.array([[sum(k == r for _, k in ws) for r in range(1, 6)]]), np.array([total[h]]), d) for h, ws in after.items()}
-
-    def prob(h, w):
-        k = pairs.get((h, w), 0)
-        if k:
-            return k * (d[k] if k <= 5 else 1) / total[h] * back[h][0][0]
-        return p.get(w, uni.unknown) * (back[h][1][0] if h in back else 1)
-
-    for h in list(back)[:20]:
-        assert abs(sum(prob(h, w) for w in c) + uni.unknown * back[h][1][0] - 1) < 1e-9
+    katz = PlainKatz([toks[i] for i in toks if crc(i, 7) != 2])
+    for h in list(katz.after)[:20]:
+        assert abs(sum(katz.prob(h, w) for w in katz.c) + katz.prob(h, "never seen") - 1) < 1e-9
     for r in queries.op3_katz_backoff(spark, SF).collect():
         ts = toks[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 7) == 2, len(ts), sum(c[w] > 0 for w in ts), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ts), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(prob(h, w)) for h, w in zip(["<s>", *ts[:-1]], ts)), rel_tol=1e-9)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 7) == 2, len(ts), sum(katz.c[w] > 0 for w in ts), katz.n)
+        assert math.isclose(r.base_score, sum(math.log10((katz.c[w] + 1) / (katz.n + katz.v + 1)) for w in ts), rel_tol=1e-9)
+        assert math.isclose(r.score, katz.score(ts), rel_tol=1e-9)
+
+
+def test_op3_stored_model_scores_other_texts(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 50_000)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 5_000)
+    docs = X.documents(spark, SF, "doc_id", "text")
+    path = f"file://{tmp_path}/model"
+    lm.fit(docs.where(X.remainder("doc_id", 7) != 2), path)
+    model = lm.Model.load(spark, path)
+    toks = {i: [*WORD.findall(r.text.encode().lower()), None] for i, r in texts.items()}
+    katz = PlainKatz([toks[i] for i in toks if crc(i, 7) != 2])
+    # the tables hold every pair once, and are partitioned
+    stored = model.pairs(spark).collect()
+    assert sum(len(lm.unpacked(r.w, "u8")) for r in stored) == len(katz.pairs) and len(stored) > 8
+    assert sum(int(lm.unpacked(r.c, "u8").sum()) for r in stored) == katz.n
+    assert any(x.name.startswith("part=") for x in (tmp_path / "model" / "pairs").iterdir())
+    new = {-1: b"", -2: b"never seen words only", -3: b"the never seen of the", **{i: texts[i].text.encode() for i in list(toks)[:40]}}
+    rows = spark.createDataFrame([(i, t.decode()) for i, t in new.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_with(rows, model).collect()}
+    assert got.keys() == new.keys()
+    for i, t in new.items():
+        ts = [*WORD.findall(t.lower()), None]
+        assert got[i].held_out and got[i].n_tokens == len(ts) and got[i].n_known == sum(katz.c[w] > 0 for w in ts)
+        assert math.isclose(got[i].score, katz.score(ts), rel_tol=1e-9)
+    assert lm.score_with(rows.limit(0), model).count() == 0
 
 
 @given(st.integers(1, 5000), st.integers(0, 99))
