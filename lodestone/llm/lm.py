@@ -174,7 +174,7 @@ class Tokens:
     def of(row: dict, documents: int) -> Tokens:
         tok, lens, trains, c, g = (unpacked(row[k], kind) for k, kind in (("tok", "u4"), ("lens", "i4"), ("trains", "u1"), ("c", "u8"), ("g", "u8")))
         v = len(c)
-        now = np.insert(tok.astype(np.int64), np.cumsum(lens), v)
+        now = np.insert(tok.astype(np.int32), np.cumsum(lens), v)
         full = lens.astype(np.int64) + 1
         before = np.empty_like(now)
         before[1:] = now[:-1]
@@ -264,28 +264,34 @@ def _number(left: pa.Table, right: pa.Table) -> pa.Table:
 
 @dataclass
 class Pairs:
-    """Distinct pairs of local tokens in the order of their buckets, and each token's place among them (-1: none)."""
+    """Distinct pairs of local tokens in the order of their buckets; if asked for, each token's place among them (-1: none)."""
 
     h: np.ndarray
     w: np.ndarray
     n: np.ndarray
     bucket: np.ndarray
-    of_token: np.ndarray
+    of_token: np.ndarray | None
 
     @staticmethod
-    def of(t: Tokens, which: np.ndarray, total: int, buckets: int) -> Pairs:
+    def of(t: Tokens, which: np.ndarray, total: int, buckets: int, places: bool = False) -> Pairs:
         span = t.v + 2
-        keys, inverse, n = np.unique(t.before[which] * span + t.now[which], return_inverse=True, return_counts=True)
+        every = t.before[which].astype(np.int64)
+        every *= span
+        every += t.now[which]
+        keys, n = np.unique(every, return_counts=True)
         h, w = keys // span, keys % span
         # a frequent history is in several buckets, by follower
         parts = np.maximum(1, np.ceil(t.c * (buckets / (4.0 * max(total, 1))))).astype(np.uint64)
         turn = X.mix(t.g[w]) % parts[h]
         bucket = (X.mix(t.g[h] * np.uint64(31) + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((keys, bucket))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        of_token = np.full(len(t.now), -1, dtype=np.int64)
-        of_token[which] = place[inverse]
+        # keys are sorted already
+        order = np.argsort(bucket, kind="stable")
+        of_token = None
+        if places:
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            of_token = np.full(len(t.now), -1, dtype=np.int32)
+            of_token[which] = place[np.searchsorted(keys, every)]
         return Pairs(h[order], w[order], n[order], bucket[order], of_token)
 
     def cut(self) -> list[tuple[int, slice]]:
@@ -300,7 +306,8 @@ PAIRS = "batch long, bucket int, h binary, n_h binary, w binary, c_w binary, n b
 def _pair_requests(batches: Iterator[pa.RecordBatch], documents: int, total: int, buckets: int, learn: bool) -> Iterator[pa.RecordBatch]:
     """The distinct pairs of a batch: those learnt from with counts, or all of known tokens, to be looked up."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
             t = Tokens.of(row, documents)
             p = Pairs.of(t, t.train if learn else (t.c[t.now] > 0) & (t.c[t.before] > 0), total, buckets)
             for b, s in p.cut():
@@ -308,6 +315,8 @@ def _pair_requests(batches: Iterator[pa.RecordBatch], documents: int, total: int
                 more = [packed(t.c[p.w[s]].astype(np.uint64)), packed(p.n[s].astype(np.uint32))] if learn else [None, None]
                 blobs = zip(("h", "n_h", "w", "c_w", "n"), (packed(t.g[hs]), packed(sizes.astype(np.uint32)), packed(t.g[p.w[s]]), *more), strict=True)
                 yield from _rows({"batch": ([row["batch"]], pa.int64()), "bucket": ([b], pa.int32()), **{k: ([x], pa.binary()) for k, x in blobs}}).to_batches()
+            # the next batch's arrays do not come on top of these
+            del row, t, p
 
 
 TABLE = "bucket int, h binary, n_h binary, w binary, c binary, count binary, followers binary, mass binary, by_count array<long>"
@@ -416,7 +425,7 @@ def _scores(left: pa.Table, right: pa.Table, model: Model, key: str) -> pa.Table
     row = left.to_pylist()[0]
     t = Tokens.of(row, model.documents)
     u, d = model.unigrams, model.factor
-    pairs = Pairs.of(t, (t.c[t.now] > 0) & (t.c[t.before] > 0), u.total, model.pair_buckets)
+    pairs = Pairs.of(t, (t.c[t.now] > 0) & (t.c[t.before] > 0), u.total, model.pair_buckets, places=True)
     count = np.append(_joined([r["c"] for r in rows if r["weight"] is None], "u8").astype(np.int64), 0)
     seen, weight = np.ones(t.v + 2), np.ones(t.v + 2)
     known = np.flatnonzero(t.c[: t.v] > 0)
