@@ -195,6 +195,10 @@ class Codec:
             at = m.end()
         return np.array(out + self._ids(text[at:]), dtype=np.uint32)
 
+    def encode_plain(self, text: str) -> np.ndarray:
+        """Token ids of a whole text in which special strings are plain text."""
+        return np.array(self._ids(text), dtype=np.uint32)
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """All tokens' bytes, gathered from the table through its offsets."""
         ids = np.asarray(ids, dtype=np.int64)
