@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import align, ann, bpe, chat, html, lm, media, minhash, mixing, quality, sharding
+from lodestone.llm import align, ann, bpe, chat, html, lm, media, minhash, mixing, quality, sharding, suffix
 from lodestone.llm import text as X
 from lodestone.sources.layout import spread
 
@@ -63,9 +63,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(X.documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(X.documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(X.documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op3_katz_backoff, op4_feistel_sharding, op5_progressive_jpeg, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe, op12_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_quality, op3_katz_backoff, op4_feistel_sharding, op5_progressive_jpeg, op6_dart_minhash, op7_pareto_mixing, op8_line_blocks, op9_chat_format, op10_bpe, op11_suffix_dedup, op12_token_alignment)}
 ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE}
