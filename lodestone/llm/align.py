@@ -22,68 +22,76 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
-from lodestone.llm.bpe import CACHE_ROWS, LONG_WORD, codec
+from lodestone.llm.bpe import PATTERN, codec
 
 #: the most pairs that are sent to every task
 FREQUENT = 100_000
 #: texts that a worker takes at a time
 BATCH = 256
+#: bytes between white space that the rank encoder is trusted with; its time grows with their square
+LONGEST = 1_000
 
 
-class Pieces:
-    """A piece vocabulary with byte fallback; a run of spaces and the word after it is encoded once and remembered.
+def longest_run(raw: bytes) -> int:
+    """Bytes of the longest run of white space or of other bytes."""
+    space = X.IS_SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    return int(np.diff(np.flatnonzero(np.concatenate(([True], space[1:] != space[:-1], [True])))).max())
+
+
+class Bytes:
+    """A byte-level vocabulary.  Texts go through the rank encoder where it must give the same as the merges do.
 
-    No piece has a space or a line end after another character, so no merge crosses the start of such a run.
+    It joins any neighbours that spell a token, the merges only listed pairs; they differ only if the merges leave two
+    tokens side by side that spell a third, and no split of a token is such a pair in a vocabulary that is let through here.
     """
 
+    def __init__(self, path: str):
+        self.codec = c = codec(path)
+        self.bytes_of = c.bytes_of
+        self.length = np.array(c.length, dtype=np.int64)
+        listed = sorted(c.id_of.values())
+        made = [i for i in listed if i in c.parts]
+        whole = len([i for i in listed if len(c.bytes_of[i]) == 1]) == 256 and len(made) == len(listed) - 256 and made == sorted(made, key=c.made_at.__getitem__)
+        splits = ((i, c.id_of.get(c.bytes_of[i][:k]), c.id_of.get(c.bytes_of[i][k:])) for i in made for k in range(1, c.length[i]))
+        alike = whole and not any(u is not None and v is not None and c.parts[i] != (u, v) and c.compatible(u, v) for i, u, v in splits)
+        c.fits.clear()
+        self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={c.bytes_of[i]: i for i in listed}, special_tokens={}) if alike else None
+
+    def encode(self, text: str, raw: bytes) -> np.ndarray:
+        """Ids of a whole text, special strings as plain text; what the rank encoder takes long over goes through the codec."""
+        if self.ranked is None or longest_run(raw) > LONGEST:
+            return self.codec.encode_plain(text).astype(np.int64)
+        return np.array(self.ranked.encode_ordinary(text), dtype=np.int64)
+
+
+class Pieces:
+    """A piece vocabulary with byte fallback."""
+
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(regex.search("[^▁]▁|\n", p) for p in names):
-            raise ValueError("pieces cross spaces or line ends")
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.length = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.split = regex.compile(r" +[^ \n]*|\n+[^ \n]*").findall
-        self.cache: dict[str, list[int]] = {}
-
-    def _run(self, run: str) -> list[int]:
-        # the library puts a space before what it encodes: the run's own, or one that is taken off again
-        if run == " ":
-            return [self.model.piece_to_id("▁")]
-        return self.model.encode(run[1:]) if run[0] == " " else self.model.encode(run)[1:]
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text, as the library gives them."""
-        out, cache = [], self.cache
-        for run in self.split(f" {text}") if text else ():
-            ids = cache.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if len(run) <= LONG_WORD:
-                    if len(cache) >= CACHE_ROWS:
-                        cache.clear()
-                    cache[run] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), dtype=np.int64)
 
 
 class Pair:
     """Two vocabularies, their token bytes, and the spellings of their ids in a digest."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = codec(path_a), Pieces(path_b)
-        self.length_a = np.array(self.a.length, dtype=np.int64)
-        spelled_a, spelled_b = [str(i) for i in range(self.a.size)], [str(i) for i in range(len(self.b.bytes_of))]
+        self.a, self.b = Bytes(path_a), Pieces(path_b)
+        spelled_a, spelled_b = [str(i) for i in range(len(self.a.bytes_of))], [str(i) for i in range(len(self.b.bytes_of))]
         # an A id inside and at the end of its group, a B id inside and at the end of its group
         self.spelled = [f"{s}{end}" for names, end in ((spelled_a, ","), (spelled_a, "|"), (spelled_b, ","), (spelled_b, ";")) for s in names]
         self.first = np.cumsum([0, len(spelled_a), len(spelled_a), len(spelled_b)])
@@ -94,14 +102,15 @@ class Pair:
         if not text:
             return none
         whole = f" {text}"
-        raw, a, b = whole.encode(), self.a.encode_plain(whole), self.b.encode(text)
-        if self.a.decode_bytes(a).tobytes() != raw or b"".join(map(self.b.bytes_of.__getitem__, b)) != raw:
+        raw = whole.encode()
+        a, b = self.a.encode(whole, raw), self.b.encode(text)
+        if any(b"".join(map(side.bytes_of.__getitem__, ids.tolist())) != raw for side, ids in ((self.a, a), (self.b, b))):
             return none
-        return a.astype(np.int64), np.array(b, dtype=np.int64)
+        return a, b
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in a, place in b, byte offset) of the tokens that end together: the two pointers meet there."""
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.b.length[b])
+        ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         at = np.searchsorted(ends_b, ends_a)
         meet = np.flatnonzero(ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a) if len(b) else np.empty(0, np.int64)
         return meet, at[meet], ends_a[meet]

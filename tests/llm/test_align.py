@@ -67,7 +67,7 @@ def test_all_documents(spark):
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) == want, d.doc_id
 
 
-EDGES = ["", None, " ", "  \n\n x", "a", "a", "<|endoftext|> <s>x</s> <0x41>", "x▁y", "▁", "日本語です、né\tü\r\n", "a" * 70_000, "9" * 300 + " 12'll", "\n", "x \ny \n\n", "tail  ", "\0 nul", "👍🏽 fi"]
+EDGES = ["", None, " ", "  \n\n x", "a", "a", "<|endoftext|> <s>x</s> <0x41>", "x▁y", "▁", "日本語です、né\tü\r\n", "a" * 70_000, "9" * 300 + " 12'll", "\n", "x \ny \n\n", "a;\r\n  b\u3000 c\x1c d", "t\t\tx\u00a0 y", "tail  ", "\0 nul", "👍🏽 fi"]
 
 
 @pytest.mark.parametrize("frequent", [100_000, 3])
