@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions import text as fx
 from lodestone.sources.layout import spread
@@ -104,21 +105,27 @@ def chunk_article(markdown: str, sizes: Sizes = Sizes()) -> Iterator[tuple[str |
         yield NOTES_TITLE, m[1], True, text, start, start + len(text)
 
 
-def chunk_articles(articles: DataFrame, key: str, text: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """The chunks of every article; numbering restarts in each."""
+def chunk_articles(articles: DataFrame, key: str, text: str, sizes: Sizes = Sizes(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of every article, with the article's ``keep`` columns after them; numbering restarts in each."""
+    names = [f.split()[0] for f in CHUNK.split(", ")]
+    schema = StructType.fromDDL(CHUNK)
+    for c in keep:
+        schema = schema.add(articles.schema[c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for article, body in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            rows, of = [], []
+            for i, (article, body) in enumerate(zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 for n, (title, ref, note, t, a, b) in enumerate(chunk_article(body or "", sizes), 1):
                     rows.append((article, n, f"{article}-{n:04d}", title, ref, note, t, len(t), a, b))
+                    of.append(i)
             columns = list(zip(*rows, strict=True)) or [()] * 10
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            names = ["article_id", "seq", "chunk_id", "section_title", "footnote_ref", "is_footnote", "text", "char_count", "char_offset_start", "char_offset_end"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            kept = [batch.column(f"keep{i}").take(pa.array(of, pa.int64())) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *kept], [*names, *keep])
 
-    return spread(articles.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))).mapInArrow(run, CHUNK)
+    kept = [F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]
+    return spread(articles.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), *kept)).mapInArrow(run, schema)
 
 
 def stats(chunks: DataFrame) -> DataFrame:

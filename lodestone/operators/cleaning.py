@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators import matching
 from lodestone.sources.layout import spread
 
 #: What is no content on any page.
@@ -217,17 +218,8 @@ def trim_trailing(text: Column, markers: tuple[str, ...] = TRAILING, least: int
 
 def trim_audit(pages: DataFrame, key: str, text: str, markers: tuple[str, ...] = TRAILING, least: int = 2000, tail: int = 500, around: int = 30) -> DataFrame:
     """One row for each occurrence of a trailing marker in texts long enough to be trimmed: where, the
-    decision, and what stands around it, line breaks shown as arrows."""
-    pages = pages.where(F.length(text) > least)
-    parts = []
-    for marker in markers:
-        pieces = F.split(F.col(text), re.escape(marker), -1)
-        at = pages.select(key, F.col(text).alias("t"), pieces.alias("b")).where(F.size("b") > 1)
-        at = at.select(key, "t", "b", F.explode(F.sequence(F.lit(1), F.size("b") - 1)).alias("i"))
-        parts.append(at.select(key, "t", F.lit(marker).alias("marker"), F.length(F.array_join(F.slice("b", F.lit(1), F.col("i")), marker)).alias("at")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    decision, and what stands around it, line breaks shown as arrows.  All markers are found in one pass over a text."""
+    rows = matching.places(pages.where(F.length(text) > least), list(markers), key, text).withColumnRenamed("term", "marker")
     near = F.length("t") - F.col("at") < tail
     opens = F.substring("t", F.lit(1), F.col("at")).rlike(r"(^|\n)[ \t]*\z")
     decision = F.when(near & opens, "TRIM").when(opens, "SKIP_NOT_NEAR_TAIL").when(near, "SKIP_INLINE_CONTEXT").otherwise("SKIP_BOTH")

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as fx
 from lodestone.sources.layout import spread
 
 DIMS = 512
 
 
+@lru_cache(maxsize=1 << 18)
+def _place(token: str, dims: int) -> tuple[int, int]:
+    """A token's component and what it adds there: its length, for longer words are rarer, with a sign."""
+    h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return h % dims, len(token) if h // dims % 2 else -len(token)
+
+
 def hashed(texts: list[str], dims: int = DIMS) -> np.ndarray:
-    """A deterministic stand-in for a model: signed hashes of character trigrams, normalised."""
-    out = np.zeros((len(texts), dims), dtype=np.float32)
+    """A deterministic stand-in for a model: distinct tokens hashed to signed components, normalised; texts near in words are near."""
+    out = np.zeros((len(texts), dims))
     for i, t in enumerate(texts):
-        b = np.frombuffer(f"  {t} ".encode(), np.uint8).astype(np.uint64)
-        h = (b[:-2] * np.uint64(0x9E3779B1) ^ b[1:-1] * np.uint64(0x85EBCA77) ^ b[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
-        np.add.at(out[i], (h >> np.uint64(40)).astype(np.int64) % dims, np.where(h >> np.uint64(63), 1, -1))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        for token in set(fx.segments(t)):
+            at, gain = _place(token, dims)
+            out[i, at] += gain
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 
 
 PROVIDERS: dict[str, Callable[[list[str]], np.ndarray] | None] = {"local": hashed, "voyage": None, "openai": None}

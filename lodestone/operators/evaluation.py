@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
+from lodestone.operators import matching
 from lodestone.operators.retrieval import small
-from lodestone.sources.layout import spread
+from lodestone.sources.layout import kept, spread
 
 
-def first_ranks(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """cases (query_id, expected array) and results (query_id, rank, title) -> (query_id, first), null if none matches by substring."""
-    hit = F.exists("expected", lambda e: F.contains(F.col("title"), e))
-    return cases.join(results, "query_id", "left").groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
+#: tokens of a seed
+SEED = 3
 
 
-def holders(passages: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = 20_000) -> DataFrame:
+def _runs(tokens: Column) -> Column:
+    """A hash of each run of SEED neighbouring tokens, each once."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - (SEED - 1))
+    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.element_at(tokens, (i + k).cast("int")) for k in range(SEED)]))
+    return F.array_distinct(F.when(F.size(tokens) >= SEED, hashed).otherwise(F.array().cast("array<long>")))
+
+
+def seeds(passages: DataFrame, docs: DataFrame, few: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """passages (query_id, passage), docs (id, text) -> (hits (id, run), chosen (query_id, passage, run)).
+
+    A document that holds a passage holds all runs of its inner tokens, so each passage's rarest run finds all its holders; a passage with
+    a run that no document has is left out.
+    """
+    inner = passages.select("query_id", "passage", fx.tokens(F.col("passage")).alias("ts")).select("query_id", "passage", F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 2, F.lit(0))).alias("ts"))
+    asked = kept(inner.select("query_id", "passage", F.explode(_runs(F.col("ts"))).alias("run")), "runs")
+    words = spread(docs).select("id", fx.tokens(F.col("text")).alias("ts")).select("id", F.explode(_runs(F.col("ts"))).alias("run"))
+    hits = kept(words.join(small(asked.select("run").distinct(), few), "run", "left_semi").select("id", "run"), "hits")
+    often = hits.groupBy("run").agg(F.count("*").alias("n"))
+    chosen = asked.join(small(often, few), "run", "left").groupBy("query_id", "passage").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    return hits, chosen.where("n > 0").select("query_id", "passage", "run")
+
+
+def holders(passages: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = 200_000) -> DataFrame:
     """(query_id, id): which documents hold which passages (query_id, passage) word for word.
 
-    A document that holds a passage holds its longest inner token; only documents that do are compared with it.  Passages
-    of under three tokens have no inner one and are compared with every document.
+    Only documents with a passage's rarest run of inner tokens are compared with it, so a word that all documents hold costs
+    nothing; passages too short for a run are looked for by one automaton.  Null and empty passages are held by none.
     """
-    inner = F.slice(fx.tokens(F.col("passage")), F.lit(2), F.greatest(F.size(fx.tokens(F.col("passage"))) - 2, F.lit(0)))
-    keyed = passages.select("query_id", "passage", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("token"))))["token"].alias("token"))
-    words = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", F.explode(F.array_distinct(fx.tokens(F.col("text")))).alias("token"))
-    pairs = words.join(small(keyed.where("token is not null"), few), "token").select("id", "query_id", "passage")
-    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(pairs, "id").where(F.contains("text", "passage"))
-    short = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small(keyed.where("token is null"), few), F.expr("contains(text, passage)"))
-    return found.select("query_id", "id").unionByName(short.select("query_id", "id")).distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    hits, chosen = seeds(passages, texts, few)
+    pairs = hits.join(small(chosen, few), "run").select("id", "query_id", "passage")
+    found = texts.join(small(pairs, few), "id").where(F.contains("text", "passage")).select("query_id", "id")
+    short = passages.where(F.size(fx.tokens(F.col("passage"))) < SEED + 2).select("query_id", F.col("passage").alias("term"))
+    held = matching.contained(texts.withColumnRenamed("text", "t"), short).join(small(short, few), "term").select("query_id", "id")
+    return found.unionByName(held).distinct()
 
 
 def first_hits(gold: DataFrame, results: DataFrame) -> DataFrame:
@@ -69,15 +89,6 @@ def diversity(results: DataFrame, group: str, within: int = 10) -> DataFrame:
     return per.agg(F.round(F.avg("n"), 6).alias("mean_groups"), F.count("*").alias("queries"))
 
 
-def compare(cases: DataFrame, retrievers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """One metrics row for each named retriever."""
-    rows = [metrics(first_ranks(cases, run())).select(F.lit(name).alias("retriever"), "*") for name, run in retrievers.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
 def cost(usage: DataFrame, prices: dict[str, float]) -> DataFrame:
     """usage (kind, tokens) -> total price, at a price for a million tokens of each kind."""
     table = F.create_map(*[F.lit(x) for kv in prices.items() for x in kv])

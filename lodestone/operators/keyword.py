@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
+from lodestone.operators import matching
 from lodestone.operators.retrieval import small
 
 #: What a model is shown of an entry; points for a keyword, a tag and the title.
@@ -22,9 +23,13 @@ def terms(entries: DataFrame) -> DataFrame:
 
 
 def match(inputs: DataFrame, entries: DataFrame, k: int = 3) -> DataFrame:
-    """inputs (input_id, text) -> (input_id, rank, entry_id, score): every term contained in the input scores once."""
-    asked = inputs.select("input_id", fx.normalise(F.col("text")).alias("t"))
-    hits = asked.join(small(terms(entries), 50_000), F.expr("contains(t, term)")).groupBy("input_id", "entry_id", "pos").agg(F.sum("points").alias("score"))
+    """inputs (input_id, text) -> (input_id, rank, entry_id, score): every term contained in the input scores once.
+
+    One automaton finds all terms in one pass over a text.  A term of white space alone is in every input that has text.
+    """
+    known, asked = terms(entries), inputs.select(F.col("input_id").alias("id"), fx.normalise(F.col("text")).alias("t"))
+    found = matching.contained(asked, known).unionByName(asked.where("t <> ''").select("id", F.lit("").alias("term")))
+    hits = found.withColumnRenamed("id", "input_id").join(small(known, 50_000), "term").groupBy("input_id", "entry_id", "pos").agg(F.sum("points").alias("score"))
     order = W.partitionBy("input_id").orderBy(F.desc("score"), "pos")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("input_id", "rank", "entry_id", "score")
 
@@ -79,8 +84,3 @@ def personalised(fields: list[str], own: str = "own_", fixed: str = "") -> list:
 def cards(entries: DataFrame, most: int = 5) -> DataFrame:
     """Entries as a browser lists them: their first tags only."""
     return entries.withColumn("tags", F.slice("tags", 1, most))
-
-
-def tool_lines(entries: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
-    """(key, tool): what a model is shown of each entry, as one JSON line."""
-    return entries.select(key, F.to_json(F.struct(*fields)).alias("tool"))

@@ -17,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.sources.layout import spread
+from lodestone.operators import postings as postings_store
+from lodestone.operators import vectors as row_blocks
+from lodestone.sources.layout import kept, spread
 
 #: rows of query tokens that may be sent to every task; beyond, they are joined by a shuffle
 SMALL = 200_000
@@ -80,10 +82,6 @@ class Index:
     size: DataFrame
 
 
-#: files a stored index is dealt to by token; a search reads those of its tokens
-BUCKETS = 64
-
-
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment: Callable[[str], list[str]] = fx.segments) -> Index:
     post = postings(docs, key, text, segment)
     # every use asks for the same columns and conditions, so that they share one shuffle of the counts
@@ -91,47 +89,48 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment: Cal
     return Index(post, words, docs.agg(F.count("*").cast("double").alias("n")))
 
 
-def _bucket(token: str) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def write_index(found: Index, path: str) -> None:
+    """Stored as posting blocks with their bounds, see ``postings``."""
+    postings_store.write(found.post, found.words, found.size, path)
 
 
-def write_index(found: Index, path: str) -> None:
-    """The postings are dealt by token and document, so that a frequent token's are not one task's."""
-    dealt = found.post.withColumn("bucket", _bucket("token"))
-    dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/post")
-    found.words.write.mode("overwrite").parquet(f"{path}/words")
-    found.size.write.mode("overwrite").parquet(f"{path}/size")
+def read_index(spark: SparkSession, path: str, kind: str = "long") -> postings_store.Stored:
+    return postings_store.read(spark, path, kind)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("post", "words", "size")))
+def weights(asked: DataFrame, found: Index | postings_store.Stored, params: Bm25, few: bool) -> DataFrame:
+    """asked (query_id, token, qtf) -> (query_id, token, weight, avgdl): what a token counts for a query, by its idf."""
+    sizes = found.words.agg(F.sum("ctf").alias("words")).crossJoin(found.size).select("n", F.try_divide("words", "n").alias("avgdl"))
+    raw = found.words.crossJoin(F.broadcast(sizes)).select("token", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    tokens = asked.select("token").distinct()
+    idf = raw.join(F.broadcast(tokens) if few else tokens, "token").crossJoin(F.broadcast(mean))
+    idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.lit(params.epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
 
 
 def bm25(
-    queries: DataFrame, docs: DataFrame, k: int = 8, params: Bm25 = Bm25(), key: str = "doc_id", text: str = "text", keep: Column | None = None, built: Index | None = None, segment: Callable[[str], list[str]] = fx.segments
+    queries: DataFrame, docs: DataFrame, k: int = 8, params: Bm25 = Bm25(), key: str = "doc_id", text: str = "text", keep: Column | None = None, built: postings_store.Stored | None = None, segment: Callable[[str], list[str]] = fx.segments
 ) -> DataFrame:
     """queries: (query_id, query) -> (query_id, rank, id, score), scores above 0, ties to the smaller id.
 
-    Documents and queries are cut into tokens by the same function.  Of a stored index only the tokens' buckets are read.
+    Documents and queries are cut into tokens by the same function.  Of a stored index only the tokens' buckets are read, and
+    only the blocks whose bounds can reach the k-th best score are opened; a filter needs them all.
     """
     found = built or index(docs, key, text, segment)
-    df = found.words
-    sizes = df.agg(F.sum("ctf").alias("words")).crossJoin(found.size).select("n", F.try_divide("words", "n").alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(sizes)).select("token", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
     asked = postings(queries, "query_id", "query", segment).select(F.col("id").alias("query_id"), "token", F.col("tf").alias("qtf"))
-    # a token weighs at most once for a query, so the size of asked bounds both of these sides
+    # a token weighs at most once for a query, so the size of asked bounds what is sent
     few = asked.limit(SMALL + 1).count() <= SMALL
+    weighed = weights(asked, found, params, few)
     sent = F.broadcast if few else (lambda side: side)
-    idf = raw.join(sent(asked.select("token").distinct()), "token").crossJoin(F.broadcast(mean))
-    idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.lit(params.epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    weighed = asked.join(idf, "token")
-    on = ["token"]
-    if built is not None and "bucket" in built.post.columns:
-        weighed, on = weighed.withColumn("bucket", _bucket("token")), ["bucket", "token"]
-    length = F.lit(1.0 - params.b) + F.lit(params.b) * F.col("dl") / F.col("avgdl")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(params.k1 + 1.0) / (F.col("tf") + F.lit(params.k1) * length)
-    scored = found.post.join(sent(weighed), on).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    if built is None:
+        part = postings_store.gain(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"), params.k1, params.b)
+        scored = found.post.join(sent(weighed), "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    else:
+        settled = kept(weighed.withColumn("bucket", postings_store.bucket("token")), "weights")
+        enough = k if keep is None else 1 << 31
+        opened = postings_store.search(sent(settled), built, enough, params.k1, params.b, small, lambda df: kept(df, "search"))
+        scored = opened.first.unionByName(opened.rest).select("query_id", "id", "score")
     if keep is not None:
         # the walk over the whole ranking cannot starve, so filtering first gives the same rows
         scored = scored.join(docs.where(keep).select(F.col(key).alias("id")), "id", "left_semi")
@@ -144,37 +143,48 @@ def unseen(ranked: DataFrame, seen: DataFrame) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
 
 
-def hybrid(wordings: DataFrame, docs: DataFrame, vectors: DataFrame, pool: int, recall: int = 30) -> DataFrame:
-    """wordings (query_id, pos, wording, vector) -> (query_id, rank, id, rrf): for each wording a dense and a sparse list, all fused.
+def lists(wordings: DataFrame, docs: DataFrame, vectors: DataFrame, recall: int = 30, built: postings_store.Stored | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """wordings (query_id, pos, wording, vector) -> (query_id, list_idx, rank, id): a dense list (2 pos) and a sparse one (2 pos + 1) for each wording.
 
-    A wording without a vector has its sparse list only.
+    A wording without a vector has its sparse list only.  ``built`` and ``stored`` are an index and vector blocks to search instead of the tables.
     """
     # a wording's own number: its query's place among all wordings would need a sort, its pair needs none
     named = wordings.withColumn("query_id", F.struct("query_id", "pos"))
-    near = dense(named.where("vector is not null").select("query_id", "vector"), vectors, k=recall, fetch=3 * recall)
-    sparse = bm25(named.select("query_id", F.col("wording").alias("query")), docs, k=recall)
-    lists = [found.select("query_id.query_id", (F.col("query_id.pos") * 2 + side).alias("list_idx"), "rank", "id") for side, found in ((0, near), (1, sparse))]
-    return fuse(lists[0].unionByName(lists[1]), pool)
+    near = dense(named.where("vector is not null").select("query_id", "vector"), vectors, k=recall, fetch=3 * recall, stored=stored)
+    sparse = bm25(named.select("query_id", F.col("wording").alias("query")), docs, k=recall, built=built)
+    each = [found.select("query_id.query_id", (F.col("query_id.pos") * 2 + side).alias("list_idx"), "rank", "id") for side, found in ((0, near), (1, sparse))]
+    return each[0].unionByName(each[1])
+
+
+def hybrid(wordings: DataFrame, docs: DataFrame, vectors: DataFrame, pool: int, recall: int = 30) -> DataFrame:
+    """wordings (query_id, pos, wording, vector) -> (query_id, rank, id, rrf): all their lists fused."""
+    return fuse(lists(wordings, docs, vectors, recall), pool)
 
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 8, fetch: int | None = None, keep: Column | None = None, mode: str = "post", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """queries: (query_id, vector) -> (query_id, rank, id, score): exact inner product.
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 8, fetch: int | None = None, keep: Column | None = None, mode: str = "post", key: str = "vec_id", vector: str = "embedding", stored: DataFrame | None = None) -> DataFrame:
+    """queries: (query_id, vector) -> (query_id, rank, id, score): exact inner product, by row blocks (see ``vectors``).
 
-    Queries go to every task only if they are few.  mode "post" filters after a fixed fetch and may
-    return fewer than k rows; "pre" filters the scan.
+    mode "post" filters after a fixed fetch and may return fewer than k rows; "pre" filters the scan.  ``stored`` are blocks of the
+    vectors made before, which know no filter.
     """
     if mode not in ("post", "pre"):
         raise ValueError(f"unknown filter mode {mode}")
+    if stored is not None and keep is not None:
+        raise ValueError("stored blocks know no filter")
     rows = vectors.where(keep) if keep is not None and mode == "pre" else vectors
-    flag = keep if keep is not None and mode == "post" else F.lit(True)
-    base = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), flag.alias("keep"))
-    scored = base.join(small(queries.select("query_id", F.col("vector").alias("q")), 20_000)).select("query_id", "id", F.round(dot("v", "q"), 6).alias("score"), "keep")
-    fetched = top_k(scored, fetch or max(3 * k, 30), "query_id", F.desc("score"), F.asc("id")).where("keep")
-    return top_k(fetched.drop("rank"), k, "query_id", F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
+    flag = F.coalesce(keep, F.lit(False)) if keep is not None and mode == "post" else F.lit(True)
+    table = stored if stored is not None else vector_blocks(rows, key, vector, flag)
+    fetched = row_blocks.search(queries, table, fetch or max(3 * k, 30)).where("keep").drop("rank", "keep")
+    return row_blocks.best(fetched, k, "query_id").select("query_id", "rank", "id", "score")
+
+
+def vector_blocks(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: Column | None = None) -> DataFrame:
+    """The vectors as row blocks, to be searched or to be stored for several searches."""
+    return row_blocks.blocks(spread(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.lit(True) if keep is None else keep).alias("keep"))))
 
 
 def fuse(ranked: DataFrame, pool: int, constant: int = 60) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import segment
 from lodestone.functions import text as fx
 from lodestone.operators import chunking, cleaning, embedding, evaluation, keyword, retrieval
-from lodestone.plans.queries import BENCH, CACHE, MATCH, PACKED, SHORT, STRIPPED, TOKENS, _bench, _bm25_sql, _entries, _gold, _short, query, table
+from lodestone.plans.queries import BENCH, CACHE, MATCH, PACKED, SHORT, STRIPPED, TOKENS, _bench, _bm25_sql, _entries, _gold, _hashed_sql, query, table
 from lodestone.sources import store
+from lodestone.sources.layout import kept
 
 
 @query("SELECT CAST(doc_id % 7 AS INTEGER) AS volume, CAST(doc_id AS VARCHAR) AS id, lang AS title, CAST(n_chars AS INTEGER) AS year, 'pending' AS status FROM documents")
@@ -164,27 +166,35 @@ def keyword_answered(spark, sf_dir):
     return keyword.answered(docs.select(F.col("doc_id").alias("input_id"), "text"), answers, _entries(spark), ["e2", "e1", "e4"])
 
 
-#: three wordings of a passage: its first five tokens, the next five, and the whole; an embedding stands in for each wording's vector
-WORDING = f"SELECT item_id AS query_id, p AS pos, CASE p WHEN 0 THEN array_to_string(ws[1:5], ' ') WHEN 1 THEN array_to_string(ws[6:10], ' ') ELSE text END AS wording, item_id + 100 * p AS vec_id FROM (SELECT item_id, text, {TOKENS.format('text')} AS ws FROM benchmark), (VALUES (0), (1), (2)) v(p)"
+#: three wordings of a passage: its first five tokens, the next five, and the whole
+WORDING = f"SELECT item_id AS query_id, p AS pos, CASE p WHEN 0 THEN array_to_string(ws[1:5], ' ') WHEN 1 THEN array_to_string(ws[6:10], ' ') ELSE text END AS wording FROM (SELECT item_id, text, {TOKENS.format('text')} AS ws FROM benchmark), (VALUES (0), (1), (2)) v(p)"
 
 
 def _wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, pos, wording, vector): every wording with its vector by the stand-in for a model."""
     words = fx.tokens(F.col("text"))
     all_ = F.array(F.array_join(F.slice(words, 1, 5), " "), F.array_join(F.slice(words, 6, 5), " "), F.col("text"))
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(all_).alias("pos", "wording"))
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return rows.withColumn("vec_id", F.col("query_id") + 100 * F.col("pos")).join(vectors, "vec_id", "left").drop("vec_id")
+    vectors = embedding.embed(rows.select((F.col("query_id") * 10 + F.col("pos")).alias("of"), "wording"), key="of", text="wording").withColumnRenamed("embedding", "vector")
+    return rows.withColumn("of", F.col("query_id") * 10 + F.col("pos")).join(vectors, "of").drop("of")
 
 
-def _near_sql(asked: str, k: int, fetch: int) -> str:
-    """CTE near(query_id, rank, id) of asked (query_id, vec_id)."""
-    return f"""near AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT a.query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM ({asked}) a JOIN embeddings q ON q.vec_id = a.vec_id, embeddings v)) WHERE rank <= {k})"""
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, embedding) of all documents."""
+    return embedding.embed(table(spark, sf_dir, "documents"), key="doc_id").withColumnRenamed("doc_id", "vec_id")
+
+
+def _near_sql(wordings: str, k: int) -> str:
+    """CTEs that end in near(query_id, rank, id) of wordings (query_id, pos, wording), query_id and pos as one number."""
+    return f"""{_hashed_sql("qv", f"SELECT query_id * 10 + pos AS id, wording AS text FROM ({wordings})")}, {_hashed_sql("dv", "SELECT doc_id AS id, text FROM documents")},
+dots AS (SELECT q.id AS query_id, d.id, round(sum(CAST(q.v AS DOUBLE) * CAST(d.v AS DOUBLE)), 6) AS score FROM qv q JOIN dv d USING (b) GROUP BY q.id, d.id),
+near AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, id) AS rank
+  FROM (SELECT w.query_id * 10 + w.pos AS query_id, doc_id AS id FROM ({wordings}) w, documents) LEFT JOIN dots USING (query_id, id)) WHERE rank <= {k})"""
 
 
 def _hybrid_sql(wordings: str, pool: int) -> str:
     """CTEs that end in fused(query_id, rank, id, rrf)."""
-    return f"""{_bm25_sql(f"SELECT query_id * 10 + pos AS query_id, wording AS query FROM ({wordings})", 30)}, {_near_sql(f"SELECT query_id * 10 + pos AS query_id, vec_id FROM ({wordings})", 30, 90)},
+    return f"""{_bm25_sql(f"SELECT query_id * 10 + pos AS query_id, wording AS query FROM ({wordings})", 30)}, {_near_sql(wordings, 30)},
 lists AS (SELECT query_id // 10 AS query_id, (query_id % 10) * 2 AS l, rank, id FROM near UNION ALL SELECT query_id // 10, (query_id % 10) * 2 + 1, rank, id FROM bm25),
 summed AS (SELECT query_id, id, round(sum(1e0 / (60 + rank)), 12) AS rrf, min((l, rank)) AS first FROM lists GROUP BY query_id, id),
 fused AS (SELECT query_id, rank, id, rrf FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, id) AS INTEGER) AS rank FROM summed) WHERE rank <= {pool})"""
@@ -198,7 +208,7 @@ capped AS (SELECT query_id, CAST(n AS INTEGER) AS rank, id, grp, rrf FROM (SELEC
 
 def _diverse(spark: SparkSession, sf_dir: str, wordings: DataFrame, pool: int, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fused = retrieval.hybrid(wordings, docs, table(spark, sf_dir, "embeddings"), pool)
+    fused = retrieval.hybrid(wordings, docs, _embedded(spark, sf_dir), pool)
     return retrieval.cap(fused, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("grp")), k)
 
 
@@ -230,7 +240,7 @@ def rewrite_reranked(spark, sf_dir):
 
 FIRST = f"SELECT * FROM ({WORDING}) WHERE pos = 0"
 LADDER = {
-    "dense": (_near_sql(f"SELECT query_id, vec_id FROM ({FIRST})", 10, 30), "near"),
+    "dense": (_near_sql(FIRST, 10), "(SELECT query_id // 10 AS query_id, rank, id FROM near)"),
     "bm25": (_bm25_sql(SHORT, 10), "bm25"),
     "hybrid": (_hybrid_sql(FIRST, 10), "fused"),
     "hybrid_diverse": (f"{_hybrid_sql(FIRST, 30)}, {_capped_sql(10)}", "capped"),
@@ -248,16 +258,50 @@ SELECT '{name}' AS retriever, count(*) AS queries, {hits}, round(coalesce(avg(co
 
 @query(" UNION ALL ".join(_rung_sql(name, *sql) for name, sql in LADDER.items()))
 def eval_ladder(spark, sf_dir):
-    """Six retrievers from dense search to the reranked chain, asked with five tokens of every passage that a document holds."""
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    wordings = _wordings(spark, sf_dir)
-    first = wordings.where("pos = 0")
+    """Six retrievers from dense search to the reranked chain, asked with five tokens of every passage that a document holds.
+
+    One search of one stored index and one set of vector blocks serves all of them: each is a choice among the wordings' lists.
+    """
+    docs, vectors, path = table(spark, sf_dir, "documents"), _embedded(spark, sf_dir), store.scratch(spark, "ladder")
+    retrieval.write_index(retrieval.index(docs), f"{path}/index")
+    retrieval.vector_blocks(vectors).write.parquet(f"{path}/vectors")
+    wordings = kept(_wordings(spark, sf_dir), "wordings")
+    lists = kept(retrieval.lists(wordings, docs, vectors, built=retrieval.read_index(spark, f"{path}/index"), stored=spark.read.parquet(f"{path}/vectors")), "lists")
+    alone = lambda i: lists.where((F.col("list_idx") == i) & (F.col("rank") <= 10)).select("query_id", "rank", "id")
+    groups = kept(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("grp")), "groups")
+    first, fused = lists.where("list_idx < 2"), lambda some, pool, k: retrieval.cap(retrieval.fuse(some, pool), groups, k)
+    candidates = fused(lists, 48, 16).select("query_id", "rank", "id")
     found = {
-        "dense": retrieval.dense(first.where("vector is not null").select("query_id", "vector"), vectors, k=10),
-        "bm25": retrieval.bm25(_short(spark, sf_dir), docs, k=10),
-        "hybrid": retrieval.hybrid(first, docs, vectors, 10),
-        "hybrid_diverse": _diverse(spark, sf_dir, first, 30, 10),
-        "hybrid_rewrite": _diverse(spark, sf_dir, wordings, 30, 10),
-        "hybrid_rewrite_rerank": _reranked(spark, sf_dir, wordings, 10),
+        "dense": alone(0),
+        "bm25": alone(1),
+        "hybrid": retrieval.fuse(first, 10),
+        "hybrid_diverse": fused(first, 30, 10),
+        "hybrid_rewrite": fused(lists, 30, 10),
+        "hybrid_rewrite_rerank": retrieval.rerank(candidates, wordings.select("query_id", F.lit(ANSWER).alias("answer")).distinct(), 10),
     }
-    return evaluation.report(_gold(spark, sf_dir), found)
+    return evaluation.report(kept(_gold(spark, sf_dir), "gold"), found)
+
+
+#: passages without their white space, cut again by a dictionary of the documents' words: edges of the lattice, then the best path from the end
+SEGMENTED = f"""WITH RECURSIVE counted AS (SELECT token AS word, count(*) AS n FROM (SELECT unnest({TOKENS.format("text")}) AS token FROM documents) WHERE length(token) BETWEEN 2 AND 12 GROUP BY token HAVING count(*) >= 2),
+words AS (SELECT * FROM counted ORDER BY n DESC, word LIMIT 500000),
+total AS (SELECT CAST(greatest(sum(n), 1) AS DOUBLE) AS total FROM words),
+texts AS (SELECT item_id, t, length(t) AS size FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark)),
+runs AS (SELECT item_id, generate_subscripts(rs, 1) AS r, unnest(rs) AS run FROM (SELECT item_id, regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9]') AS rs FROM texts)),
+starts AS (SELECT item_id, coalesce(sum(length(run)) OVER (PARTITION BY item_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, length(run) AS l FROM runs),
+spans AS (SELECT item_id, size, t, unnest(range(size)) AS at FROM texts),
+edges AS (SELECT item_id, at, l FROM (SELECT *, unnest(range(1, 13)) AS l FROM spans) JOIN words ON word = substr(t, at + 1, l) WHERE at + l <= size
+  UNION SELECT item_id, at, 1 FROM spans UNION SELECT item_id, at, l FROM starts),
+weighed AS (SELECT e.item_id, at, list({{'w': CAST(round(1000000 * (ln(coalesce(n, 1)) - ln(total))) AS BIGINT), 'l': CAST(l AS BIGINT)}}) AS es FROM edges e JOIN texts USING (item_id) CROSS JOIN total LEFT JOIN words ON word = substr(t, at + 1, l) GROUP BY e.item_id, at),
+route AS (SELECT item_id, CAST(size AS BIGINT) AS at, [CAST(0 AS BIGINT)] AS sums, CAST(0 AS BIGINT) AS l FROM texts
+  UNION ALL SELECT item_id, at, list_prepend(best.s, sums), best.l FROM (SELECT r.item_id, w.at, r.sums, list_max(list_transform(w.es, lambda e: {{'s': e.w + r.sums[e.l], 'l': e.l}})) AS best FROM route r JOIN weighed w ON w.item_id = r.item_id AND w.at = r.at - 1)),
+path AS (SELECT item_id, CAST(0 AS BIGINT) AS at, CAST(0 AS INTEGER) AS pos FROM texts WHERE size > 0 UNION ALL SELECT p.item_id, p.at + r.l, p.pos + 1 FROM path p JOIN route r ON r.item_id = p.item_id AND r.at = p.at WHERE r.l > 0)
+SELECT p.item_id, pos, substr(t, CAST(p.at + 1 AS BIGINT), r.l) AS token FROM path p JOIN route r ON r.item_id = p.item_id AND r.at = p.at JOIN texts x ON x.item_id = p.item_id WHERE r.l > 0"""
+
+
+@query(SEGMENTED)
+def dictionary_segments(spark, sf_dir):
+    """Passages whose white space was taken out, cut into words by a dictionary that the documents give."""
+    found = segment.dictionary(table(spark, sf_dir, "documents"))
+    joined = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "").alias("text"))
+    return segment.tokens(joined, segment.segmenter(found), "item_id", "text")

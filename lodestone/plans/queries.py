@@ -408,7 +408,15 @@ def filtered_preview(spark, sf_dir):
     return rows.where(retrieval.filters(years=(500, 5000), category="en")).select("doc_id", fx.preview(F.col("text")).alias("preview"))
 
 
-@query()
+def _hashed_sql(name: str, texts: str) -> str:
+    """CTEs that end in name(id, b, v): the components that are not zero of texts (id, text), as the stand-in for a model has them."""
+    return f"""{name}_raw AS (SELECT id, h % 512 AS b, sum(CASE WHEN h // 512 % 2 = 1 THEN length(token) ELSE -length(token) END) AS v FROM (SELECT id, token, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h
+  FROM (SELECT DISTINCT id, unnest({TOKENS.format("text")}) AS token FROM ({texts}))) GROUP BY id, h % 512),
+{name} AS (SELECT id, b, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS FLOAT) AS v FROM {name}_raw WHERE v <> 0)"""
+
+
+@query(f"""WITH {_hashed_sql("emb", "SELECT doc_id AS id, text FROM documents")}, held AS (SELECT id, map(list(b), list(v)) AS m FROM emb GROUP BY id)
+SELECT doc_id, list_transform(range(512), lambda i: CAST(coalesce(m[i], 0) AS FLOAT)) AS embedding FROM documents LEFT JOIN held ON id = doc_id""")
 def embed_documents(spark, sf_dir):
     return embedding.embed(table(spark, sf_dir, "documents"), key="doc_id")
 
