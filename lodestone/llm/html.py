@@ -9,14 +9,14 @@ where a sum reaches the page's threshold: a quarter of the sum that half of all
 characters at most.  Kept is all from the first surge to the last dive; with it what stands in the
 same container as the long lines of the stretch with the greatest charge (in the whole article, if
 that is marked), however short; and what only an insert (advert, aside, notice, form) parts from it.
-Before the first surge only headings that lead to it are kept.  Link lines are text where the ``WINDOW``
+Before the first surge only headings that lead to it are kept, and short lines (byline, date) between them and it.  Link lines are text where the ``WINDOW``
 lines on each side outweigh them, else they are dropped and cut.
 
 A class or id marks no content if it is such a word or is built from one in a known form (site-header,
 ad-slot-2), not if it only holds one (has-sidebar, content-share).  An element that is named like a part
 of a layout stays, on a page with no article elsewhere, if it holds twice the text that is kept without
 it, or more than that text and an article.  Texts of their own kind (adverts, comments, teasers, cookie
-notices) stay dropped however long they are, with any articles in them.
+notices, what is hidden) stay dropped however long they are, with any articles in them.
 
 Defined results: null and empty pages give the empty text; white space inside a block becomes one
 space, blocks are joined by one newline in page order; unclosed or cut markup is read as far as it
@@ -50,24 +50,30 @@ _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-_NO_CONTENT = frozenset("nav header footer aside form menu dialog button head".split())
+_NO_CONTENT = frozenset("nav header footer aside form menu dialog button head label".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KEPT = frozenset("html body main article".split())
 #: words in a class or id that mark no content
 _WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus notice notices cookie cookies consent popup modal newsletter subscribe share sharing social related recommended widget widgets toolbar pagination pager".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments discussion discussions replies respond disqus side notice notices cookie cookies consent popup modal newsletter subscribe share sharing social related recommended widget widgets toolbar pagination pager".split()
 )
 #: what may stand before and after such a word in one class or id (site-header, ad-slot-2), and no other word may (has-sidebar, no-banner)
-_BEFORE = frozenset("site page global main top bottom left right primary secondary inner mobile desktop google gpt div js inline mid native sub skip post entry article blog user".split())
+_BEFORE = frozenset("col column site page global main top bottom left right primary secondary inner mobile desktop google gpt div js inline mid native sub skip post entry article blog user".split())
 _AFTER = frozenset("left right top bottom primary secondary inner box block area container wrapper wrap list item items link links bar slot unit iframe form signup icon icons toggle button buttons section content media body title label author text message overlay post posts articles stories".split())
 _SIZE = re.compile(r"\d+(?:x\d+)?\Z")
 #: words that layouts bear too: such an element stays if it holds two thirds of the text, or half and an article
-_LAYOUT = frozenset("sidebar sidebars widget widgets banner share sharing social modal popup toolbar subscribe complementary dialog".split())
+_LAYOUT = frozenset("side sidebar sidebars widget widgets banner share sharing social modal popup toolbar subscribe complementary dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
+#: words by which a paragraph or headline inside a marked article is still no content
+_PAID = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
+_LINES = _HEADINGS | {"p"}
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_UNSHOWN = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none", re.I)
+
 #: what parts page and article; all else that is no content may be an insert in the article's middle
-_PARTS = frozenset("head nav header footer menu menubar sidebar sidebars navbar navigation breadcrumb breadcrumbs masthead comment comments disqus related recommended toolbar pagination pager banner contentinfo search".split())
+_PARTS = frozenset("head nav header footer menu menubar sidebar sidebars navbar navigation breadcrumb breadcrumbs masthead comment comments discussion discussions replies respond disqus side related recommended toolbar pagination pager banner contentinfo search".split())
 #: elements that may hold an article's blocks
 _BOXES = frozenset("div section article main td center details".split())
 
@@ -87,10 +93,21 @@ def _marking(token: str) -> str:
     return ""
 
 
+def _unshown(attributes: str) -> bool:
+    """Whether a browser shows nothing of the element: ``hidden``, or a style of its own."""
+    lower = attributes.lower()
+    return "hidden" in lower and "hidden" in _QUOTED.sub(" ", lower).split() or "display" in lower and bool(_UNSHOWN.search(attributes))
+
+
 def _no_content(tag: str, attributes: str, article: bool = False) -> str:
-    """The word by which an element is no content, or nothing; an article's header holds its headline."""
+    """The word by which an element is no content, or nothing.
+
+    An article's header holds its headline, whether it is the element or a class, and a class drops none of its paragraphs but adverts.
+    """
     if tag in _NO_CONTENT and not (article and tag == "header"):
         return tag
+    if tag != "body" and _unshown(attributes):
+        return "hidden"
     if tag in _KEPT or "=" not in attributes:
         return ""
     for name, *values in _MARKS.findall(attributes):
@@ -98,7 +115,7 @@ def _no_content(tag: str, attributes: str, article: bool = False) -> str:
         if name.lower() == "role" and value.strip() in _ROLES:
             return value.strip()
         words = value.split()
-        if name.lower() != "role" and (found := [w for w in map(_marking, words) if w]):
+        if name.lower() != "role" and (found := [w for w in map(_marking, words) if w and not (article and (w == "header" or tag in _LINES and w not in _PAID))]):
             # in an article a layout's word beside a word of another kind ("social history") speaks of content
             if article and _LAYOUT.issuperset(found) and not all(_marking(w) or _BEFORE.union(_AFTER).issuperset(re.split("[_-]+", w)) for w in words):
                 continue
@@ -277,8 +294,9 @@ def surging(found: list[tuple[str, bool, bool, int, bool]], parent: list[int], l
     lines_ = [(i, ahead, behind) for s, (x, y) in zip(stretches[a : b + 1], sums[a : b + 1], strict=True) for i, ahead, behind in zip(s, x, y, strict=True)]
     first = next(n for n, (i, ahead, behind) in enumerate(lines_) if at_home(i) or behind >= surge or n == len(lines_) - 1)
     end = next(n for n, (i, ahead, behind) in reversed(list(enumerate(lines_))) if at_home(i) or ahead >= surge or n == first)
-    while first and found[lines_[first - 1][0]][4]:
-        first -= 1
+    # a byline or date may stand between a headline and what it leads to
+    while back := next((n for n in range(1, min(WINDOW, first) + 1) if found[lines_[first - n][0]][4]), 0):
+        first -= back
     return [i for i, _, _ in lines_[first : end + 1]]
 
 

@@ -554,6 +554,13 @@ PROSE = "Long prose of the article that goes on and on for quite a while, so tha
         (f"<article><p>{PROSE}</p><p><a title=it's href=x>link</a> mid <b>don't</b> end</p></article>", [PROSE, "link mid don't end"]),
         (f"<article><header><h1>Headline</h1></header><p>{PROSE}</p></article>", ["Headline", PROSE]),
         (f"<article>One</article><article>Two</article><div><p>{PROSE * 9}</p><p>{PROSE * 9}</p></div>", [PROSE * 9, PROSE * 9]),
+        (f"<nav>m</nav><article><header class='entry-header'><h1>Head</h1></header><p>{PROSE}</p><p>{PROSE}</p></article>", ["Head", PROSE, PROSE]),
+        (f"<article><div class='article-header'><h1>Head</h1><p>By X</p></div><p>{PROSE}</p><p class='post-footer-text'>Note.</p><p class='comment'>Hm.</p><p>{PROSE}</p></article>", ["Head", "By X", PROSE, "Note.", "Hm.", PROSE]),
+        (f"<article><p>{PROSE}</p><p class='ad'>Buy</p><p>{PROSE}</p></article>", [PROSE, PROSE]),
+        (f"<h1>Head</h1><p>By John.</p><p>{PROSE}</p><p>{PROSE}</p>", ["Head", "By John.", PROSE, PROSE]),
+        (f"<article><h1>H</h1><p>{PROSE}</p></article><div class=discussion><p>A: {PROSE}</p></div>", ["H", PROSE]),
+        (f"<div class=col-main><h1>H</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class=col-side><p>Side text</p></div>", ["H", PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><p hidden>x</p><div style='color:red; display: none'>x</div><p class=hidden-gem>shown</p><label>Mail</label><p>{PROSE}</p></article>", [PROSE, "shown", PROSE]),
         ("", [""]),
         ("<p>a</p>", ["a"]),
     ],
