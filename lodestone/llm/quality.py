@@ -105,8 +105,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passe
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 6000) -> Model:
-    """Fits on at most ``max_train`` labelled rows with MOST_FEATURES features, those with the smallest hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 6000, max_features: int = MOST_FEATURES) -> Model:
+    """Fits on at most ``max_train`` labelled rows with ``max_features`` features, those with the smallest hash of their id."""
     named = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).where("k is not null and y is not null")
     named = named.groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     sample = named.where(train if not isinstance(train, str) else F.expr(train)).orderBy(F.xxhash64("k"), "k").limit(max_train)
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, np.ndarray, int]] = []
-        room = MOST_FEATURES
+        room = max_features
         for batch in batches:
             for i, v, y in zip(*(batch.column(c).to_pylist() for c in "ivy"), strict=True):
                 room -= len(i) // 4
