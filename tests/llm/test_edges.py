@@ -256,3 +256,19 @@ def test_minhash_clashing_names(spark):
     assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == [0, 99]
     twice = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 4), (1, "a b c", None)], "doc_id long, text string, least int")
     assert minhash.kept(twice).collect() == minhash.kept(twice.repartition(3)).collect() and minhash.kept(twice).count() == 1
+
+
+def test_tensors_are_stored_and_read_back(spark, tmp_path):
+    """Full RGB tensors of null, empty, long and repeated texts, written and read again: the ones that op5's feature is of."""
+    texts = [None, "", "x", "long text " * 30_000, "twice", "twice", "é" * 63]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = media.store(docs)
+    media.tensors(files).write.parquet(str(tmp_path / "tensors"))
+    back = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "tensors")).collect()}
+    assert len(back) == len(texts)
+    for r in media.features(files).collect():
+        t = back[r.doc_id]
+        assert len(t.rgb) == 3 * t.height * t.width
+        assert r.feature == f"{t.height}x{t.width} mean {1000 * sum(t.rgb[::3]) // (t.height * t.width)} crc {zlib.crc32(bytes(t.rgb)):08x}"
+    none = media.tensors(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()
+    assert (none.height, none.width, none.rgb) == (None, None, None)
