@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the
 next stage's docs.  All but the last return the columns of documents.
+
+Null and empty texts are documents like others: they are scored, they are copies of each other, they weigh nothing in the mix and have
+no tokens.  Null ids, sources and languages stay as they are; null sources are one source.  Rows that are equal are near-duplicates, of
+which one stays; ties go to the smaller id.  Texts are taken whole, however long.  An empty table gives an empty table; further columns go
+through all stages but the last.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ right where it finds a document that holds the passage word for word; passages t
     OUT/report     queries, hit_at_1, hit_at_5, hit_at_10, mrr, groups (mean number of sources among the found)    by retriever
     OUT/crowded    id, queries: documents among the first five of three questions or more                          by retriever
 
-A run overwrites its retrievers' folders whole, so running it again, or after a crash, gives the same tables.
+A run overwrites its tables whole, so running it again, or after a crash, gives the same tables.
 
 Defined results: null and empty documents hold nothing and are not found; null and empty passages are no questions; of equal question
 ids the greatest passage counts; ties go to the smaller document id; empty inputs give a report of zeros; further columns are not read.
@@ -23,7 +23,6 @@ import json
 import logging
 import os
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,13 +74,13 @@ def rankings(lists: DataFrame, conf: Config) -> dict[str, DataFrame]:
 
 
 def _write(df: DataFrame, path: str, schema: str) -> DataFrame:
-    """Overwrites the folders of the retrievers in df and reads the table back."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("retriever").parquet(path)
+    """Overwrites the whole table, so that nothing of an earlier run stays, and reads it back."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("retriever").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def run(spark: SparkSession, documents: str, passages: str, out: str, conf: Config = Config()) -> None:
-    """Writes OUT/index, OUT/lists, OUT/ranks, OUT/report and OUT/crowded."""
+    """Writes OUT/index, OUT/lists, OUT/gold and OUT/found on the way, then OUT/ranks, OUT/report and OUT/crowded."""
     docs = spark.read.parquet(documents).select(F.col(conf.key).cast("long").alias("doc_id"), F.col(conf.text).alias("text"), F.col(conf.source).cast("string").alias("source"))
     rows = spark.read.parquet(passages).select(F.col(conf.question).cast("long").alias("query_id"), F.col(conf.passage).alias("passage"))
     asked = rows.where("query_id is not null and passage <> ''").groupBy("query_id").agg(F.max("passage").alias("passage"))
@@ -92,19 +91,19 @@ def run(spark: SparkSession, documents: str, passages: str, out: str, conf: Conf
     evaluation.holders(asked, docs).write.mode("overwrite").parquet(f"{out}/gold")
     lists, gold = spark.read.parquet(f"{out}/lists"), spark.read.parquet(f"{out}/gold")
 
-    found = {name: ranked.withColumn("retriever", F.lit(name)) for name, ranked in rankings(lists, conf).items()}
+    by = rankings(lists, conf)
+    evaluation.named(by).write.mode("overwrite").parquet(f"{out}/found")
+    found = spark.read.parquet(f"{out}/found")
     sources = docs.select(F.col("doc_id").alias("id"), "source")
-    firsts, reports, crowds = [], [], []
-    for name, ranked in found.items():
-        first = evaluation.first_hits(gold, ranked)
-        top = ranked.where("rank = 1").select("query_id", F.col("id").alias("top_id"))
-        named = first.join(top, "query_id", "left").join(sources.withColumnsRenamed({"id": "top_id", "source": "top_source"}), "top_id", "left")
-        firsts.append(named.select("query_id", "first", "top_id", "top_source", F.lit(name).alias("retriever")))
-        groups = evaluation.diversity(ranked.join(gold.select("query_id").distinct(), "query_id", "left_semi").join(sources, "id"), "source", conf.k).select(F.coalesce("mean_groups", F.lit(0.0)).alias("groups"))
-        reports.append(evaluation.metrics(first).crossJoin(groups).withColumn("retriever", F.lit(name)))
-        crowds.append(evaluation.attractors(ranked).withColumn("retriever", F.lit(name)))
-    for part, frames, schema in (("ranks", firsts, RANKS), ("report", reports, REPORT), ("crowded", crowds, CROWDED)):
-        done = _write(reduce(DataFrame.unionByName, frames), f"{out}/{part}", schema)
+    asked_for = found.join(gold.select("query_id").distinct(), "query_id", "left_semi").join(retrieval.small(found.select("id").distinct()).join(sources, "id"), "id")
+    groups = evaluation.diversity(asked_for, "source", conf.k, ("retriever",)).select("retriever", F.col("mean_groups").alias("groups"))
+    top = found.where("rank = 1").select("retriever", "query_id", F.col("id").alias("top_id"))
+    named = retrieval.small(top).join(sources.withColumnsRenamed({"id": "top_id", "source": "top_source"}), "top_id", "left")
+    ranks = evaluation.first_hits(gold, found, list(by)).join(named, ["retriever", "query_id"], "left")
+    report = evaluation.report(gold, by).join(groups, "retriever", "left").fillna({"groups": 0.0})
+    crowded = evaluation.attractors(found, by=("retriever",))
+    for part, rows, schema in (("ranks", ranks, RANKS), ("report", report, REPORT), ("crowded", crowded, CROWDED)):
+        done = _write(rows.select(*[f.split()[0] for f in schema.split(", ")]), f"{out}/{part}", schema)
         log.info("wrote %d rows to %s/%s", done.count(), out, part)
     for r in spark.read.schema(REPORT).parquet(f"{out}/report").orderBy("retriever").collect():
         log.info("%-8s of %d passages: hit@1 %.3f  hit@5 %.3f  hit@10 %.3f  MRR %.3f", r.retriever, r.queries, r.hit_at_1, r.hit_at_5, r.hit_at_10, r.mrr)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -228,6 +228,18 @@ def trim_audit(pages: DataFrame, key: str, text: str, markers: tuple[str, ...] =
     return rows.select(key, "marker", "at", F.length("t").alias("body_length"), decision.alias("decision"), context.alias("context"))
 
 
+def marker_places(markers: tuple[str, ...] = TRAILING, least: int = 2000, tail: int = 500) -> Callable[[str], Iterator[tuple[str, int, str]]]:
+    """A function of one page: (marker, place, decision) as ``trim_audit`` has them."""
+    held = matching.automaton(list(markers))
+
+    def found(page: str) -> Iterator[tuple[str, int, str]]:
+        for k, at in matching.own_places(held, list(markers), page) if len(page) > least else ():
+            near, opens = len(page) - at < tail, not page[page.rfind("\n", 0, at) + 1 : at].strip(" \t")
+            yield markers[k], at, ("TRIM" if near else "SKIP_NOT_NEAR_TAIL") if opens else ("SKIP_INLINE_CONTEXT" if near else "SKIP_BOTH")
+
+    return found
+
+
 def frontmatter(**fields: Column) -> Column:
     """A YAML head of those fields that are not null."""
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in fields.items()]), F.lit("\n---\n"))

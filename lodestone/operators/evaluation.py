@@ -54,22 +54,36 @@ def holders(passages: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
     return found.unionByName(held).distinct()
 
 
-def first_hits(gold: DataFrame, results: DataFrame) -> DataFrame:
-    """gold (query_id, id) and results (query_id, rank, id) -> (query_id, first) of every query that has an answer, null if it was not found."""
-    hit = results.join(gold, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    return gold.select("query_id").distinct().join(hit, "query_id", "left")
+def named(results: dict[str, DataFrame]) -> DataFrame:
+    """(retriever, query_id, rank, id) of several rankings."""
+    return reduce(DataFrame.unionByName, [found.select(F.lit(name).alias("retriever"), "query_id", "rank", "id") for name, found in results.items()])
+
+
+def first_hits(gold: DataFrame, results: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """gold (query_id, id) and results (query_id, rank, id) -> (query_id, first) of every query that has an answer, null if it was not found.
+
+    With ``names`` results hold several rankings by their ``retriever``, and each has a row for every such query.
+    """
+    by = ["retriever", "query_id"] if names else ["query_id"]
+    hit = results.join(gold, ["query_id", "id"]).groupBy(*by).agg(F.min("rank").alias("first"))
+    asked = gold.select("query_id").distinct()
+    if names:
+        asked = asked.withColumn("retriever", F.explode(F.array(*map(F.lit, names))))
+    return asked.join(hit, by, "left")
 
 
 def report(gold: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """One metrics row for each named ranking."""
-    rows = [metrics(first_hits(gold, found)).select(F.lit(name).alias("retriever"), "*") for name, found in results.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """One metrics row for each named ranking, of zeros if no query has an answer."""
+    names = list(results)
+    found = metrics(first_hits(gold, named(results), names), by=("retriever",))
+    every = gold.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("retriever"))
+    return every.join(found, "retriever", "left").fillna(0).select(found.columns)
 
 
-def metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """One row: hits at each k and the mean reciprocal rank, over all queries of ``ranks``."""
+def metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group: hits at each k and the mean reciprocal rank, over all queries of ``ranks``."""
     hits = [F.round(F.coalesce(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias(f"hit_at_{k}") for k in ks]
-    return ranks.agg(F.count("*").alias("queries"), *hits, F.round(F.coalesce(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))
+    return ranks.groupBy(*by).agg(F.count("*").alias("queries"), *hits, F.round(F.coalesce(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))
 
 
 def negatives(cases: DataFrame, results: DataFrame, within: int = 5) -> DataFrame:
@@ -79,14 +93,15 @@ def negatives(cases: DataFrame, results: DataFrame, within: int = 5) -> DataFram
     return out.select("query_id", F.col("b").isNull().alias("ok"), F.col("b.title").alias("offender"))
 
 
-def attractors(results: DataFrame, within: int = 5, least: int = 3) -> DataFrame:
+def attractors(results: DataFrame, within: int = 5, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, queries): what comes early for many queries."""
-    return results.where(F.col("rank") <= within).groupBy("id").agg(F.countDistinct("query_id").alias("queries")).where(F.col("queries") >= least)
+    return results.where(F.col("rank") <= within).groupBy(*by, "id").agg(F.countDistinct("query_id").alias("queries")).where(F.col("queries") >= least)
 
 
-def diversity(results: DataFrame, group: str, within: int = 10) -> DataFrame:
-    per = results.where(F.col("rank") <= within).groupBy("query_id").agg(F.countDistinct(group).alias("n"))
-    return per.agg(F.round(F.avg("n"), 6).alias("mean_groups"), F.count("*").alias("queries"))
+def diversity(results: DataFrame, group: str, within: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group: how many sources a query's first results come from, on average."""
+    per = results.where(F.col("rank") <= within).groupBy(*by, "query_id").agg(F.countDistinct(group).alias("n"))
+    return per.groupBy(*by).agg(F.round(F.avg("n"), 6).alias("mean_groups"), F.count("*").alias("queries"))
 
 
 def cost(usage: DataFrame, prices: dict[str, float]) -> DataFrame:

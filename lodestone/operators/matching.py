@@ -58,6 +58,16 @@ def contained(texts: DataFrame, terms: DataFrame, most: int = PART_TERMS) -> Dat
     return reduce(DataFrame.unionByName, map(one, range(parts)))
 
 
+def own_places(held: ahocorasick.Automaton | None, terms: list[str], text: str) -> Iterator[tuple[int, int]]:
+    """(number of the term, place) of the terms in a text; a term's own places do not overlap."""
+    after = [0] * len(terms)
+    for end, k in held.iter(text) if held and text else ():
+        start = end + 1 - len(terms[k])
+        if start >= after[k]:
+            after[k] = end + 1
+            yield k, start
+
+
 def places(texts: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
     """(key, t, term, at): a row for each place of a term in a text, counted in characters; a term's own places do not overlap."""
     schema = T.StructType([texts.schema[key], T.StructField("t", T.StringType()), T.StructField("term", T.StringType()), T.StructField("at", T.IntegerType())])
@@ -67,14 +77,10 @@ def places(texts: DataFrame, terms: list[str], key: str, text: str) -> DataFrame
         for batch in batches:
             of, which, at = [], [], []
             for i, t in enumerate(batch.column("t").to_pylist()):
-                after = dict.fromkeys(range(len(terms)), 0)
-                for end, k in held.iter(t) if held and t else ():
-                    start = end + 1 - len(terms[k])
-                    if start >= after[k]:
-                        after[k] = end + 1
-                        of.append(i)
-                        which.append(k)
-                        at.append(start)
+                for k, start in own_places(held, terms, t):
+                    of.append(i)
+                    which.append(k)
+                    at.append(start)
             rows = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("k").take(rows), batch.column("t").take(rows), names.take(pa.array(which, pa.int64())), pa.array(at, pa.int32())], schema.names)
 

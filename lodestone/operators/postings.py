@@ -46,7 +46,8 @@ def write(post: DataFrame, words: DataFrame, size: DataFrame, path: str, part_do
     each = post.where("token is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     listed = each.groupBy("token", "part").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("ps"), F.max("tf").alias("tf_most"), F.min("dl").alias("dl_least"))
     dealt = listed.select(bucket("token").alias("bucket"), "token", "part", F.col("ps.id").alias("ids"), F.col("ps.tf").alias("tfs"), F.col("ps.dl").alias("dls"), "tf_most", "dl_least")
-    dealt.repartition("bucket", F.pmod("part", F.lit(8))).sortWithinPartitions("bucket", "token", "part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    # a small index is one file a bucket
+    dealt.repartition("bucket", F.pmod("part", F.lit(min(8, 1 + parts // 32)))).sortWithinPartitions("bucket", "token", "part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, kind: str = "long") -> Stored:
@@ -85,18 +86,19 @@ class Search:
     left_out: DataFrame
 
 
-def search(weighed: DataFrame, index: Stored, k: int, k1: float, b: float, small=lambda df: df, settled=lambda df: df) -> Search:
+def search(weighed: DataFrame, index: Stored, k: int, k1: float, b: float, settled=lambda df: df) -> Search:
     """Rows (query_id, part, id, score), among them the k best of each query.
 
-    ``small`` marks a side for broadcast if it is; ``settled`` keeps a frame that is used again.
+    ``settled`` keeps a frame that is used again; the planner knows the size of what was kept, and sends it to all tasks if that is small.
     """
     each = settled(bounded(weighed, index, k1, b))
     sums = each.groupBy("query_id", "part").agg(F.sum("bound").alias("most"))
     order = W.partitionBy("query_id").orderBy(F.desc("most"), "part")
     head = sums.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIRST_PARTS).select("query_id", "part")
-    first = settled(scored(small(each.join(small(head), ["query_id", "part"]).drop("bound")), index, k1, b))
+    chosen = settled(each.join(head, ["query_id", "part"]).drop("bound"))
+    first = settled(scored(chosen, index, k1, b))
     floors = first.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
-    others = sums.join(small(head), ["query_id", "part"], "left_anti").join(small(floors), "query_id", "left")
+    others = sums.join(chosen.select("query_id", "part").distinct(), ["query_id", "part"], "left_anti").join(floors, "query_id", "left")
     reach = F.col("floor").isNull() | (F.col("most") >= F.col("floor") - SLACK)
-    rest = scored(small(each.join(others.where(reach).select("query_id", "part"), ["query_id", "part"]).drop("bound")), index, k1, b)
+    rest = scored(settled(each.join(others.where(reach).select("query_id", "part"), ["query_id", "part"]).drop("bound")), index, k1, b)
     return Search(first, rest, others.where(~reach).select("query_id", "part"))

@@ -129,7 +129,7 @@ def bm25(
     else:
         settled = kept(weighed.withColumn("bucket", postings_store.bucket("token")), "weights")
         enough = k if keep is None else 1 << 31
-        opened = postings_store.search(sent(settled), built, enough, params.k1, params.b, small, lambda df: kept(df, "search"))
+        opened = postings_store.search(sent(settled), built, enough, params.k1, params.b, lambda df: kept(df, "search"))
         scored = opened.first.unionByName(opened.rest).select("query_id", "id", "score")
     if keep is not None:
         # the walk over the whole ranking cannot starve, so filtering first gives the same rows

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import segment
+from lodestone.functions import segment, tables
 from lodestone.functions import text as fx
-from lodestone.operators import chunking, cleaning, embedding, evaluation, keyword, retrieval
+from lodestone.operators import chunking, cleaning, embedding, evaluation, keyword, latent, retrieval
 from lodestone.plans.queries import BENCH, CACHE, MATCH, PACKED, SHORT, STRIPPED, TOKENS, _bench, _bm25_sql, _entries, _gold, _hashed_sql, query, table
 from lodestone.sources import store
 from lodestone.sources.layout import kept
@@ -15,11 +15,11 @@ from lodestone.sources.layout import kept
 
 @query("SELECT CAST(doc_id % 7 AS INTEGER) AS volume, CAST(doc_id AS VARCHAR) AS id, lang AS title, CAST(n_chars AS INTEGER) AS year, 'pending' AS status FROM documents")
 def manifest_read(spark, sf_dir):
-    """The manifest of all documents, written as one nested file, read and flattened."""
+    """The manifest of all documents, written in lines of one volume's articles, read and flattened."""
     rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).cast("int").alias("volume"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.col("n_chars").cast("int").alias("year"), F.lit("pending").alias("status"))
     path = store.scratch(spark, "manifest")
     store.write_json(store.nested(rows), path)
-    return store.articles(store.read_manifest(spark, path)).select("volume", "id", "title", "year", "status")
+    return store.articles(store.read_manifest(spark, path, lines=True)).select("volume", "id", "title", "year", "status")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def chunk_lookup(spark, sf_dir):
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as curated entries, written as one JSON array and read back."""
+    """Benchmark passages as curated entries, written as JSON lines and read back."""
     words = fx.tokens(F.col("text"))
     quoted = [F.struct(F.col("text").alias("text"), F.lit(s).alias("source"), F.concat(F.lit("u/"), F.col("item_id").cast("string")).alias("url")) for s in ("one", "two")]
     rows = table(spark, sf_dir, "benchmark").select(
@@ -87,10 +87,11 @@ def tool_list(spark, sf_dir):
 
 @query(f"SELECT query, CAST(pos AS INTEGER) AS pos, rewrite FROM ({CACHE})")
 def rewrite_cache(spark, sf_dir):
-    """A cache of rewrites, written and read back."""
+    """A cache of rewrites, written and read back; lines that were cut off while they were written give nothing."""
     bench = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0")
     path = store.scratch(spark, "rewrites")
     store.write_rewrites(bench.select(F.col("text").alias("query"), F.posexplode(F.array(F.concat(F.lit("? "), "text"), F.concat("text", F.lit(" ?")))).alias("pos", "rewrite")), path)
+    table(spark, sf_dir, "benchmark").select(F.concat(F.lit('{"'), F.col("item_id").cast("string"), F.lit('": ["cut')).alias("value")).write.mode("append").text(path)
     return store.read_rewrites(spark, path)
 
 
@@ -102,10 +103,21 @@ def article_store(spark, sf_dir):
     return spark.read.schema("doc_id long, markdown string, volume string").parquet(path)
 
 
-@query("SELECT doc_id, text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(65533) ELSE text END AS text FROM documents")
 def page_decode(spark, sf_dir):
-    """Texts as page bytes, and back."""
-    return table(spark, sf_dir, "documents").select("doc_id", store.decoded(store.encoded(F.col("text"))).alias("text"))
+    """Texts as page bytes, and back; every other page ends in a byte that neither charset knows."""
+    raw = store.encoded(F.col("text"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw).alias("raw"))
+    return pages.select("doc_id", store.decoded(F.col("raw")).alias("text"))
+
+
+@query("SELECT page_id, url, strlen(html) AS raw_size, md5(html) AS raw_md5, length(html) AS chars FROM pages")
+def raw_pages(spark, sf_dir):
+    """Pages stored as the bytes that were fetched, in folders by a hash of the id; read back and decoded."""
+    path = store.scratch(spark, "raw")
+    store.write_raw(table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "utf-8").alias("raw")), path, "page_id")
+    back = spark.read.schema("page_id long, url string, raw binary, folder int").parquet(path)
+    return back.select("page_id", "url", F.octet_length("raw").cast("long").alias("raw_size"), F.md5("raw").alias("raw_md5"), F.length(store.decoded(F.col("raw"), "utf-8", "gb18030")).cast("long").alias("chars"))
 
 
 @query(f"""SELECT id, status, raw_size, clean_size, round(clean_size / raw_size, 6) AS ratio, error, CASE WHEN clean_size / raw_size NOT BETWEEN 15e-2 AND 5e-1 THEN 1 ELSE 0 END AS warned
@@ -288,15 +300,15 @@ words AS (SELECT * FROM counted ORDER BY n DESC, word LIMIT 500000),
 total AS (SELECT CAST(greatest(sum(n), 1) AS DOUBLE) AS total FROM words),
 texts AS (SELECT item_id, t, length(t) AS size FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark)),
 runs AS (SELECT item_id, generate_subscripts(rs, 1) AS r, unnest(rs) AS run FROM (SELECT item_id, regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9]') AS rs FROM texts)),
-starts AS (SELECT item_id, coalesce(sum(length(run)) OVER (PARTITION BY item_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, length(run) AS l FROM runs),
-spans AS (SELECT item_id, size, t, unnest(range(size)) AS at FROM texts),
-edges AS (SELECT item_id, at, l FROM (SELECT *, unnest(range(1, 13)) AS l FROM spans) JOIN words ON word = substr(t, at + 1, l) WHERE at + l <= size
-  UNION SELECT item_id, at, 1 FROM spans UNION SELECT item_id, at, l FROM starts),
-weighed AS (SELECT e.item_id, at, list({{'w': CAST(round(1000000 * (ln(coalesce(n, 1)) - ln(total))) AS BIGINT), 'l': CAST(l AS BIGINT)}}) AS es FROM edges e JOIN texts USING (item_id) CROSS JOIN total LEFT JOIN words ON word = substr(t, at + 1, l) GROUP BY e.item_id, at),
-route AS (SELECT item_id, CAST(size AS BIGINT) AS at, [CAST(0 AS BIGINT)] AS sums, CAST(0 AS BIGINT) AS l FROM texts
-  UNION ALL SELECT item_id, at, list_prepend(best.s, sums), best.l FROM (SELECT r.item_id, w.at, r.sums, list_max(list_transform(w.es, lambda e: {{'s': e.w + r.sums[e.l], 'l': e.l}})) AS best FROM route r JOIN weighed w ON w.item_id = r.item_id AND w.at = r.at - 1)),
-path AS (SELECT item_id, CAST(0 AS BIGINT) AS at, CAST(0 AS INTEGER) AS pos FROM texts WHERE size > 0 UNION ALL SELECT p.item_id, p.at + r.l, p.pos + 1 FROM path p JOIN route r ON r.item_id = p.item_id AND r.at = p.at WHERE r.l > 0)
-SELECT p.item_id, pos, substr(t, CAST(p.at + 1 AS BIGINT), r.l) AS token FROM path p JOIN route r ON r.item_id = p.item_id AND r.at = p.at JOIN texts x ON x.item_id = p.item_id WHERE r.l > 0"""
+starts AS (SELECT item_id, coalesce(sum(length(run)) OVER (PARTITION BY item_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0, length(run) AS l FROM runs),
+spans AS (SELECT item_id, size, t, unnest(range(size)) AS p0 FROM texts),
+edges AS (SELECT item_id, p0, l FROM (SELECT *, unnest(range(1, 13)) AS l FROM spans) JOIN words ON word = substr(t, p0 + 1, l) WHERE p0 + l <= size
+  UNION SELECT item_id, p0, 1 FROM spans UNION SELECT item_id, p0, l FROM starts),
+weighed AS (SELECT e.item_id, p0, list({{'w': CAST(round(1000000 * (ln(coalesce(n, 1)) - ln(total))) AS BIGINT), 'l': CAST(l AS BIGINT)}}) AS es FROM edges e JOIN texts USING (item_id) CROSS JOIN total LEFT JOIN words ON word = substr(t, p0 + 1, l) GROUP BY e.item_id, p0),
+route AS (SELECT item_id, CAST(size AS BIGINT) AS p0, [CAST(0 AS BIGINT)] AS sums, CAST(0 AS BIGINT) AS l FROM texts
+  UNION ALL SELECT item_id, p0, list_prepend(best.s, sums), best.l FROM (SELECT r.item_id, w.p0, r.sums, list_max(list_transform(w.es, lambda e: {{'s': e.w + r.sums[e.l], 'l': e.l}})) AS best FROM route r JOIN weighed w ON w.item_id = r.item_id AND w.p0 = r.p0 - 1)),
+path AS (SELECT item_id, CAST(0 AS BIGINT) AS p0, CAST(0 AS INTEGER) AS pos FROM texts WHERE size > 0 UNION ALL SELECT p.item_id, p.p0 + r.l, p.pos + 1 FROM path p JOIN route r ON r.item_id = p.item_id AND r.p0 = p.p0 WHERE r.l > 0)
+SELECT p.item_id, pos, substr(t, CAST(p.p0 + 1 AS BIGINT), r.l) AS token FROM path p JOIN route r ON r.item_id = p.item_id AND r.p0 = p.p0 JOIN texts x ON x.item_id = p.item_id WHERE r.l > 0"""
 
 
 @query(SEGMENTED)
@@ -305,3 +317,32 @@ def dictionary_segments(spark, sf_dir):
     found = segment.dictionary(table(spark, sf_dir, "documents"))
     joined = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "").alias("text"))
     return segment.tokens(joined, segment.segmenter(found), "item_id", "text")
+
+
+@query(PACKED + " SELECT article_id, seq, text, CAST(length(text) AS INTEGER) AS char_count, CAST(a AS INTEGER) AS char_offset_start FROM chunks")
+def sql_chunks(spark, sf_dir):
+    """Chunks by a table function in SQL."""
+    tables.register(spark)
+    asked = "SELECT CAST(d.doc_id AS STRING) AS article_id, c.seq, c.text, c.char_count, c.char_offset_start FROM {docs} d, LATERAL chunk_text(d.text) c"
+    return spark.sql(asked, docs=table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT doc_id, marker, CAST(length(text) + 1 + p AS INTEGER) AS place, decision FROM (SELECT *, text || chr(10) || '返回主页 x 上一篇' AS page FROM documents), (VALUES ('返回主页', 0, 'TRIM'), ('上一篇', 7, 'SKIP_INLINE_CONTEXT')) v(marker, p, decision) WHERE length(page) > 2000""")
+def sql_trim_audit(spark, sf_dir):
+    """The audit of trailing markers by a table function in SQL."""
+    tables.register(spark)
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n返回主页 x 上一篇")).alias("page"))
+    return spark.sql("SELECT p.doc_id, a.marker, a.place, a.decision FROM {pages} p, LATERAL trim_audit(p.page) a", pages=pages)
+
+
+@query()
+def eval_learned(spark, sf_dir):
+    """Dense search with vectors learned from the documents beside the hashed stand-in, asked with whole passages."""
+    docs, bench = table(spark, sf_dir, "documents"), _bench(spark, sf_dir)
+    model = latent.fit(docs)
+    by = {"hashed": lambda df, key, text: embedding.embed(df, key=key, text=text), "learned": model.embed}
+    found = {}
+    for name, embed in by.items():
+        asked = embed(bench, "query_id", "query").withColumnRenamed("embedding", "vector")
+        found[name] = kept(retrieval.dense(asked, embed(docs, "doc_id", "text"), k=10, key="doc_id").select("query_id", "rank", "id"), name)
+    return evaluation.report(kept(_gold(spark, sf_dir), "gold"), found)

@@ -415,8 +415,14 @@ def _hashed_sql(name: str, texts: str) -> str:
 {name} AS (SELECT id, b, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS FLOAT) AS v FROM {name}_raw WHERE v <> 0)"""
 
 
-@query(f"""WITH {_hashed_sql("emb", "SELECT doc_id AS id, text FROM documents")}, held AS (SELECT id, map(list(b), list(v)) AS m FROM emb GROUP BY id)
-SELECT doc_id, list_transform(range(512), lambda i: CAST(coalesce(m[i], 0) AS FLOAT)) AS embedding FROM documents LEFT JOIN held ON id = doc_id""")
+@query(f"WITH {_hashed_sql('emb', 'SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, CAST(b AS INTEGER) AS place, CAST(v AS DOUBLE) AS value FROM emb")
+def embed_components(spark, sf_dir):
+    """The components that are not zero of every document's vector."""
+    vectors = embedding.embed(table(spark, sf_dir, "documents"), key="doc_id")
+    return vectors.select("doc_id", F.posexplode("embedding").alias("place", "v")).where("v <> 0").select("doc_id", "place", F.col("v").cast("double").alias("value"))
+
+
+@query()
 def embed_documents(spark, sf_dir):
     return embedding.embed(table(spark, sf_dir, "documents"), key="doc_id")
 

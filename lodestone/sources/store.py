@@ -14,9 +14,9 @@ CHUNK = "chunk_id string, text string, article_id string, article_title string,
 ENTRY = "id string, title string, theory_source string, one_liner string, modern_interpretation string, caveats string, tags array<string>, trigger_keywords array<string>, action_checklist array<string>, original_excerpts array<struct<text: string, source: string, url: string>>, analogy_story struct<title: string, body: string>, further_reading array<struct<title: string, url: string>>"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The nested manifest; Spark's reader raises if it is missing."""
-    return spark.read.option("multiLine", True).schema(MANIFEST).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The nested manifest, one document over many lines or a document a line; Spark's reader raises if it is missing."""
+    return spark.read.option("multiLine", not lines).schema(MANIFEST).json(path)
 
 
 def articles(manifest: DataFrame) -> DataFrame:
@@ -25,10 +25,12 @@ def articles(manifest: DataFrame) -> DataFrame:
     return v.select(F.col("v.volume").alias("volume"), F.explode("v.articles").alias("a")).select("volume", "a.*")
 
 
-def nested(flat: DataFrame) -> DataFrame:
-    """The manifest of flat articles again: one row, as the file is one document; a large corpus keeps its articles flat."""
+def nested(flat: DataFrame, most: int = 1_000) -> DataFrame:
+    """Flat articles as a manifest again: rows of one volume and about ``most`` of its articles, so that no row grows with the corpus."""
     fields = [c for c in flat.columns if c != "volume"]
-    return flat.groupBy("volume").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("articles")).agg(F.sort_array(F.collect_list(F.struct("volume", "articles"))).alias("volumes"))
+    parts = max(1, -(-flat.count() // most))
+    lists = flat.groupBy("volume", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("articles"))
+    return lists.select(F.array(F.struct("volume", "articles")).alias("volumes"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -85,6 +87,15 @@ def crawl_results(fetched: DataFrame, clean: str = "clean") -> DataFrame:
     )
 
 
+#: folders of raw pages
+FOLDERS = 16
+
+
+def write_raw(pages: DataFrame, path: str, key: str) -> None:
+    """Pages with their bytes, in folders by a hash of the key, so that a page is found again in one of them."""
+    pages.withColumn("folder", F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")).write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
 def decoded(raw: Column, charset: str = "gb18030", other: str = "utf-8") -> Column:
     """Text of page bytes: by the charset, or if it cannot read them by the other, or if that cannot either by the charset with
     replacement characters.  (Spark's own decode knows no GB18030.)"""
@@ -134,12 +145,13 @@ def result(chunks: DataFrame, score: Column) -> DataFrame:
 
 
 def write_entries(entries: DataFrame, path: str) -> None:
-    """One JSON array: the curated entries are one short document."""
-    entries.agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct(*entries.columns)))), ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """JSON lines, an entry each."""
+    entries.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(ENTRY).json(path)
+def read_entries(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Entries of JSON lines, or of one array over many lines."""
+    return spark.read.option("multiLine", not lines).schema(ENTRY).json(path)
 
 
 def read_rewrites(spark: SparkSession, path: str) -> DataFrame:

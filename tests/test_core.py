@@ -230,7 +230,8 @@ def test_sources(spark, tmp_path):
     with pytest.raises(KeyError):
         store.update(flat, spark.createDataFrame([("zz", "failed")], "id string, status string"))
     store.write_json(store.nested(changed), str(tmp_path / "out"))
-    assert store.articles(store.read_manifest(spark, str(tmp_path / "out"))).count() == 2
+    assert store.articles(store.read_manifest(spark, str(tmp_path / "out"), lines=True)).count() == 2
+    assert store.nested(changed, 1).count() == 2
     assert [r.id for r in store.worklist(changed, ["a", "b"]).collect()] == ["b"]
     assert store.read_rewrites(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "r.json").write_text('{"q": ["x", "q"]}')

@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.functions import segment
-from lodestone.operators import embedding, evaluation, retrieval
+from lodestone.functions import segment, tables
+from lodestone.operators import cleaning, embedding, evaluation, retrieval
 from lodestone.streaming import frames
 
 WORDS = {"ab": 8, "abc": 3, "bc": 5, "c": 2, "ca": 4, "、": 3}
@@ -116,3 +116,15 @@ def test_rare_runs_bound_the_pairs(spark):
 def test_near_words_give_near_vectors():
     a, b, c, none = embedding.hashed(["the quick brown fox jumps", "a quick brown fox jumped", "entirely different sentence here", ""])
     assert a @ b > a @ c and not none.any() and abs(float(a @ a) - 1) < 1e-6
+
+
+def test_table_functions_in_sql(spark):
+    """Nulls, empty and short texts have no rows; each text's rows stand beside it."""
+    tables.register(spark)
+    page = "x" * 2_000 + "\n返回主页 a\n返回主页"
+    docs = spark.createDataFrame([(1, "One. Two."), (2, None), (3, ""), (4, page)], "id int, text string")
+    cut = spark.sql("SELECT d.id, c.seq, c.text FROM {docs} d, LATERAL chunk_text(d.text) c WHERE d.id < 4", docs=docs)
+    assert [tuple(r) for r in cut.collect()] == [(1, 1, "One.Two.")]
+    found = spark.sql("SELECT d.id, a.marker, a.place, a.decision FROM {docs} d, LATERAL trim_audit(d.text) a", docs=docs)
+    want = cleaning.trim_audit(docs, "id", "text").select("id", "marker", F.col("at").alias("place"), "decision")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 2
