@@ -9,7 +9,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.sources.layout import spread
