@@ -363,17 +363,23 @@ def without(texts: DataFrame) -> DataFrame:
 
 def covered(texts: DataFrame) -> DataFrame:
     """texts (k1, k2, text), equal keys for equal texts -> (k1, k2, spans): the bytes that repeated strings cover."""
-    release = lambda: X.release(texts.sparkSession)
-    cut = X.settled(parts(texts.where(F.octet_length("text") >= LENGTH)), "parts")
+    spark, folder = texts.sparkSession, X.shared_dir(texts.sparkSession)
+
+    def done(name: str) -> None:
+        """What nothing reads any more goes: a table, and the shuffle files of finished steps."""
+        X.dropped(spark, f"{folder}/{name}")
+        X.release(spark)
+
+    cut = X.stored(parts(texts.where(F.octet_length("text") >= LENGTH)), f"{folder}/parts")
     twice = cut.groupBy("anchor").agg(F.sum("times").alias("all")).where(F.col("all") >= 2).select("anchor")
-    found = X.settled(cut.join(twice, "anchor", "left_semi"), "shared")
-    release()
+    found = X.stored(cut.join(twice, "anchor", "left_semi"), f"{folder}/shared")
+    done("parts")
     place = F.struct("k1", "k2", "at", "n", "lead")
     unlike = found.groupBy("anchor", "content").agg(F.sum("times").alias("copies"), F.min(place).alias("place"))
-    known = X.settled(fetched(unlike, texts), "known")
-    release()
-    runs = X.settled(repeats(known), "repeats")
-    release()
+    known = X.stored(fetched(unlike, texts), f"{folder}/known")
+    X.release(spark)
+    runs = X.stored(repeats(known), f"{folder}/repeats")
+    done("known")
     places = found.join(runs, ["anchor", "content"]).select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("i"), "at", "n", "start", "stop")
     begin = F.col("at") + F.col("i") * F.col("n")
     spans = places.select("k1", "k2", (begin + F.col("start")).alias("from"), (begin + F.col("stop") + LENGTH).alias("to")).distinct()
