@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import job
 from lodestone.functions import segment, tables
 from lodestone.functions import text as fx
 from lodestone.operators import chunking, cleaning, embedding, evaluation, keyword, latent, retrieval
-from lodestone.plans.queries import BENCH, CACHE, MATCH, PACKED, SHORT, STRIPPED, TOKENS, _bench, _bm25_sql, _entries, _gold, _hashed_sql, query, table
+from lodestone.plans.queries import BENCH, CACHE, MARKDOWN, MATCH, PACKED, SHORT, STRIPPED, TOKENS, _bench, _bm25_sql, _entries, _gold, _hashed_sql, query, table
 from lodestone.sources import store
 from lodestone.sources.layout import kept
 
@@ -346,3 +347,13 @@ def eval_learned(spark, sf_dir):
         asked = embed(bench, "query_id", "query").withColumnRenamed("embedding", "vector")
         found[name] = kept(retrieval.dense(asked, embed(docs, "doc_id", "text"), k=10, key="doc_id").select("query_id", "rank", "id"), name)
     return evaluation.report(kept(_gold(spark, sf_dir), "gold"), found)
+
+
+@query(PACKED.replace("FROM documents", f"FROM (SELECT page_id AS doc_id, {MARKDOWN} AS text FROM pages)") + " SELECT article_id, seq, text, true AS embedded FROM chunks")
+def ingest_job(spark, sf_dir):
+    """The ingest job over all pages, run twice: the second pass finds every vector there.  Its chunks, and whether each has a vector."""
+    out = store.scratch(spark, "ingest")
+    job.run(spark, f"{sf_dir}/pages.parquet", out)
+    job.run(spark, f"{sf_dir}/pages.parquet", out, frozenset({"clean", "chunk"}))
+    vectors = spark.read.parquet(f"{out}/vectors").select("chunk_id", F.lit(True).alias("embedded"))
+    return spark.read.parquet(f"{out}/chunks").join(vectors, "chunk_id", "left").select("article_id", "seq", "text", "embedded")
