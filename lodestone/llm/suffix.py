@@ -45,6 +45,8 @@ WIDTHS = (8, 1)
 CHUNK = 1 << 19
 #: bytes of a long text that are cut into parts at a time
 PIECE = 1 << 18
+#: texts that a worker takes at a time, at most
+BATCH = 2_048
 _MULTIPLIER = 0xB5297A4D3F84D5B5
 
 
@@ -395,4 +397,5 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256)."""
-    return remove(df, key, text).select(key, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    with X.batches_of(df.sparkSession, BATCH):
+        return X.settled(remove(df, key, text).select(key, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "removed")

@@ -141,15 +141,17 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows while a table is written here; the session's own size afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def batches_of(spark: SparkSession, rows: int, most: int = 64 << 20):
+    """Arrow batches of at most so many rows and bytes while a table is written here; the session's own sizes afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, str(v))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
