@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.functions import text as fx
-from lodestone.sources.layout import spread
+from lodestone.sources.layout import slices, spread
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def chunk_articles(articles: DataFrame, key: str, text: str, sizes: Sizes = Size
         schema = schema.add(articles.schema[c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, "t")):
             rows, of = [], []
             for i, (article, body) in enumerate(zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 for n, (title, ref, note, t, a, b) in enumerate(chunk_article(body or "", sizes), 1):

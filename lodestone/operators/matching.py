@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.sources.layout import spread
+from lodestone.sources.layout import slices, spread
 
 #: terms of one automaton, which every task holds
 PART_TERMS = 200_000
@@ -48,7 +48,7 @@ def contained(texts: DataFrame, terms: DataFrame, most: int = PART_TERMS) -> Dat
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array(sent.value, pa.string())
             held = automaton(sent.value)
-            for batch in batches:
+            for batch in (p for whole in batches for p in slices(whole, "t")):
                 hits = [np.fromiter({i for _, i in held.iter(t)}, np.int64) if held and t else np.empty(0, np.int64) for t in batch.column("t").to_pylist()]
                 of = pa.array(np.repeat(np.arange(len(hits)), [len(h) for h in hits]), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(of), names.take(pa.array(np.concatenate([*hits, np.empty(0, np.int64)]), pa.int64()))], ["id", "term"])
@@ -74,7 +74,7 @@ def places(texts: DataFrame, terms: list[str], key: str, text: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names = automaton(terms), pa.array(terms, pa.string())
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, "t")):
             of, which, at = [], [], []
             for i, t in enumerate(batch.column("t").to_pylist()):
                 for k, start in own_places(held, terms, t):
