@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.operators import evaluation, postings, retrieval
+from lodestone.operators import evaluation, retrieval, sparse
 
 log = logging.getLogger("lodestone.eval_report")
 RANKS = "query_id long, first int, top_id long, top_source string, retriever string"
@@ -60,7 +60,7 @@ def wordings(asked: DataFrame, words: int) -> DataFrame:
     return asked.select("query_id", F.posexplode(said).alias("pos", "query"))
 
 
-def searched(asked: DataFrame, docs: DataFrame, built: postings.Stored, conf: Config) -> DataFrame:
+def searched(asked: DataFrame, docs: DataFrame, built: sparse.Stored, conf: Config) -> DataFrame:
     """(query_id, list_idx, rank, id): one search of the index serves all wordings."""
     said = wordings(asked, conf.opening_words).select(F.struct("query_id", "pos").alias("query_id"), "query")
     found = retrieval.bm25(said, docs, k=max(conf.k, conf.recall), key="doc_id", built=built)
@@ -85,8 +85,8 @@ def run(spark: SparkSession, documents: str, passages: str, out: str, conf: Conf
     rows = spark.read.parquet(passages).select(F.col(conf.question).cast("long").alias("query_id"), F.col(conf.passage).alias("passage"))
     asked = rows.where("query_id is not null and passage <> ''").groupBy("query_id").agg(F.max("passage").alias("passage"))
 
-    retrieval.write_index(retrieval.index(docs), f"{out}/index")
-    built = retrieval.read_index(spark, f"{out}/index")
+    retrieval.write_blocks(docs, f"{out}/index")
+    built = retrieval.read_blocks(spark, f"{out}/index")
     searched(asked, docs, built, conf).write.mode("overwrite").parquet(f"{out}/lists")
     evaluation.holders(asked, docs).write.mode("overwrite").parquet(f"{out}/gold")
     lists, gold = spark.read.parquet(f"{out}/lists"), spark.read.parquet(f"{out}/gold")
