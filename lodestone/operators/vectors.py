@@ -1,8 +1,9 @@
 """Exact vector search over row blocks: one matrix product for a block and a tile of queries, a bounded heap for each query.
 
-A block is a row of up to ``BLOCK`` ids and their vectors as one matrix; a table of blocks can be stored and searched again.
-Blocks meet tiles of queries, so a plan never holds a row for each pair of a query and a vector; a task keeps the best of each query
-over all its blocks, and only those are shuffled and merged, first by groups of tasks and then by query.
+A block is up to ``BLOCK`` ids and their vectors as one matrix, whatever the batches that the rows come in.  Blocks meet tiles of queries, so
+a plan never holds a row for each pair of a query and a vector; a task keeps the best of each query over all its blocks, and only those are
+shuffled and merged, first by groups of tasks and then by query.  Vectors are made into blocks where they are multiplied, one block at a
+time; a table of blocks can be stored and searched again.
 
 Vectors that are null, empty or hold null or non-finite components take no part, and vectors meet queries of their own length only.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: rows of a block, queries of a tile
-BLOCK, TILE = 4_096, 1_024
+#: rows of a block and bytes of its matrix, queries of a tile
+BLOCK, BLOCK_BYTES, TILE = 4_096, 4 << 20, 1_024
+#: numbers of queries' vectors, and rows of their heaps, that every task's Python holds; beyond, blocks are rows that meet rows of tiles
+SENT, HELD = 1 << 22, 1 << 20
 #: queries whose tiles are sent to every task; beyond, tiles and blocks meet partition by partition
 MOST_QUERIES = 20_000
 #: tiles a task keeps heaps for; with more, a heap is given out early and begun again
@@ -32,32 +35,58 @@ GROUPS = 32
 LINES, SLACK = 128, 1e-6
 
 
-def blocks(rows: DataFrame, most: int = BLOCK, ordered: bool = True) -> DataFrame:
+def packed(batches: Iterator[pa.RecordBatch], most: int = BLOCK, ordered: bool = True) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Batches (id, v, keep) as (ids, keep, matrix), a block of vectors of one length at a time."""
+    held: dict[int, list[tuple[pa.Array, pa.Array, np.ndarray]]] = {}
+    rows: dict[int, int] = {}
+
+    def out(dims: int, room: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        parts = held.pop(dims)
+        ids, keep, m = pa.concat_arrays([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        if len(ids) > room:
+            held[dims] = [(ids[room:], keep[room:], m[room:])]
+            ids, keep, m = ids[:room], keep[:room], m[:room]
+        rows[dims] = rows.pop(dims) - len(ids)
+        if ordered:
+            by = pc.sort_indices(ids)
+            ids, keep, m = ids.take(by), keep.take(by), m[by.to_numpy()]
+        yield ids, keep, m
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("v")), 0).to_numpy(zero_copy_only=False)
+        for dims in np.unique(sizes[sizes > 0]).tolist():
+            of, room = np.flatnonzero(sizes == dims), max(1, min(most, BLOCK_BYTES // (8 * dims)))
+            for at in range(0, len(of), room):
+                part = pa.array(of[at : at + room])
+                matrix = batch.column("v").take(part).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                whole = np.isfinite(matrix.astype(np.float64)).all(axis=1)
+                part = part.filter(pa.array(whole))
+                if len(part):
+                    held.setdefault(dims, []).append((batch.column("id").take(part), batch.column("keep").take(part), matrix[whole]))
+                    rows[dims] = rows.get(dims, 0) + len(part)
+                if rows.get(dims, 0) >= room:
+                    yield from out(dims, room)
+        # vectors of many lengths do not add up
+        while sum(rows.values()) > 2 * most:
+            yield from out(max(held, key=rows.get), most)
+    for dims in list(held):
+        yield from out(dims, rows[dims])
+
+
+def blocks(found: DataFrame, most: int = BLOCK, ordered: bool = True) -> DataFrame:
     """rows (id, v, keep) -> (ids, keep, dims, matrix), ids in order within a block if ``ordered``."""
-    one = 8 if isinstance(rows.schema["v"].dataType.elementType, T.DoubleType) else 4
-    schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("keep", T.ArrayType(T.BooleanType())), T.StructField("dims", T.IntegerType()), T.StructField("matrix", T.BinaryType())])
+    one = 8 if isinstance(found.schema["v"].dataType.elementType, T.DoubleType) else 4
+    schema = T.StructType([T.StructField("ids", T.ArrayType(found.schema["id"].dataType)), T.StructField("keep", T.ArrayType(T.BooleanType())), T.StructField("dims", T.IntegerType()), T.StructField("matrix", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column("v")), 0).to_numpy(zero_copy_only=False)
-            for dims in np.unique(sizes[sizes > 0]).tolist():
-                of = np.flatnonzero(sizes == dims)
-                matrix = batch.column("v").take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                whole = np.isfinite(matrix.astype(np.float64)).all(axis=1)
-                of, matrix = of[whole], matrix[whole]
-                for at in range(0, len(of), most):
-                    part = pa.array(of[at : at + most])
-                    ids, keep, m = batch.column("id").take(part), batch.column("keep").take(part), matrix[at : at + most]
-                    if ordered:
-                        by = pc.sort_indices(ids)
-                        ids, keep, m = ids.take(by), keep.take(by), m[by.to_numpy()]
-                    ends = pa.array([0, len(ids)], pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, keep), pa.array([dims], pa.int32()), pa.array([m.astype(f"<f{one}").tobytes()], pa.binary())], schema.names)
+        for ids, keep, m in packed(batches, most, ordered):
+            ends = pa.array([0, len(ids)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, keep), pa.array([m.shape[1]], pa.int32()), pa.array([m.astype(f"<f{one}").tobytes()], pa.binary())], schema.names)
 
-    return rows.select("id", "v", "keep").mapInArrow(run, schema)
+    return found.select("id", "v", "keep").mapInArrow(run, schema)
 
 
-def _matrix(raw: bytes, rows: int, dims: int) -> np.ndarray:
+def _matrix(raw: bytes | pa.Buffer, rows: int, dims: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=f"<f{len(raw) // (rows * dims)}").reshape(rows, dims).astype(np.float64)
 
 
@@ -129,14 +158,24 @@ def merged(found: DataFrame, most: int) -> DataFrame:
     return best(found.drop("grp"), most, "query_id")
 
 
-def search(queries: DataFrame, stored: DataFrame, most: int) -> DataFrame:
-    """queries (query_id, vector), stored: blocks -> (query_id, id, score, keep, rank), the ``most`` nearest of each query."""
-    n = queries.count()
+def search(queries: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """queries (query_id, vector), found: rows (id, v, keep) or blocks of them -> (query_id, id, score, keep, rank), the ``most`` nearest of each query."""
+    stored = "matrix" in found.columns
+    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("vector"), F.lit(0))), F.lit(0))).first()
     asked = queries.select(F.col("query_id").alias("id"), F.col("vector").alias("v"), F.lit(True).alias("keep")).repartition(max(1, -(-n // TILE)))
     tiles = blocks(asked, TILE, ordered=False).select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("matrix").alias("q_matrix"))
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", stored.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType()), T.StructField("grp", T.IntegerType())])
+    kind = found.schema["ids"].dataType.elementType if stored else found.schema["id"].dataType
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", kind), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType()), T.StructField("grp", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(heap: Heap, asked: np.ndarray, ids: pa.Array, keep: pa.Array, matrix: np.ndarray) -> None:
+        for at in range(0, len(asked), LINES):
+            heap.add(ids, keep, asked[at : at + LINES] @ matrix.T, at)
+
+    def opened(batch: pa.RecordBatch, i: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        ids = batch.column("ids")[i].values
+        return ids, batch.column("keep")[i].values, _matrix(batch.column("matrix")[i].as_buffer(), len(ids), batch.column("dims")[i].as_py())
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[bytes, tuple[np.ndarray, Heap]] = {}
         for batch in batches:
             for i in range(len(batch)):
@@ -149,11 +188,23 @@ def search(queries: DataFrame, stored: DataFrame, most: int) -> DataFrame:
                     ids = batch.column("q_ids")[i].values
                     heaps[tile] = _matrix(tile, len(ids), dims), Heap(ids, most)
                 asked, heap = heaps[tile]
-                ids = batch.column("ids")[i].values
-                matrix = _matrix(batch.column("matrix")[i].as_py(), len(ids), dims)
-                for at in range(0, len(asked), LINES):
-                    heap.add(ids, batch.column("keep")[i].values, asked[at : at + LINES] @ matrix.T, at)
+                add(heap, asked, *opened(batch, i))
         for _, heap in heaps.values():
             yield from heap.rows_out()
 
-    return merged(stored.crossJoin(F.broadcast(tiles) if n <= MOST_QUERIES else tiles).mapInArrow(run, schema), most)
+    if numbers > SENT or n * most > HELD:
+        return merged((found if stored else blocks(found)).crossJoin(F.broadcast(tiles) if n <= MOST_QUERIES else tiles).mapInArrow(met, schema), most)
+    sent = found.sparkSession.sparkContext.broadcast(tiles.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = [(ids.values, _matrix(matrix.as_buffer(), len(ids), dims.as_py())) for batch in sent.value.to_batches() for ids, dims, matrix in zip(*(batch.column(c) for c in ("q_ids", "q_dims", "q_matrix")))]
+        heaps = [(asked, Heap(ids, most)) for ids, asked in each]
+        for ids, keep, matrix in (opened(batch, i) for batch in batches for i in range(len(batch))) if stored else packed(batches):
+            matrix = matrix.astype(np.float64, copy=False)
+            for asked, heap in heaps:
+                if asked.shape[1] == matrix.shape[1]:
+                    add(heap, asked, ids, keep, matrix)
+        for _, heap in heaps:
+            yield from heap.rows_out()
+
+    return merged(found.mapInArrow(run, schema), most)

@@ -156,3 +156,34 @@ def test_rate_limit_splits_a_hot_user(spark):
     assert ratelimit.stretches(plain, 60).where("k = 'hot'").select("stretch").distinct().count() > 500
     late = df.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))
     assert [r.accepted for r in ratelimit.rate_limit(late, "k", "ts", "o").collect()] == [False]
+
+
+def test_blocks_outgrow_batches(spark):
+    """Blocks are as large as they may be, however small the batches that the rows come in."""
+    rows = spark.range(0, 3_000, 1, 1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), F.lit(True).alias("keep"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        sizes = [len(r.ids) for r in vectors.blocks(rows, 1_000).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sizes == [1_000, 1_000, 1_000]
+
+
+@pytest.mark.parametrize("sent, held", [(1 << 22, 1 << 20), (0, 1 << 20), (1 << 22, 0)])
+def test_dense_joins_no_tiles(spark, monkeypatch, sent, held):
+    """Few queries go to the tasks, and no row holds a block with a tile; more meet the blocks; the rows are the same, from blocks and from rows."""
+    monkeypatch.setattr(vectors, "SENT", sent)
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4 + i % 3).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    qs = spark.createDataFrame(rows[:20], "query_id long, vector array<float>")
+    found = retrieval.dense(qs, df, k=6)
+    assert ("Join" in plan_of(found) or "Cartesian" in plan_of(found)) == (not sent or not held)
+    by_rows = retrieval.dense(qs, df, k=6, stored=retrieval.vector_rows(df))
+    assert "matrix#" not in plan_of(by_rows) or not sent or not held
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == nearest(rows[:20], rows, 6) and by_rows.exceptAll(found).isEmpty() and found.exceptAll(by_rows).isEmpty()
