@@ -14,22 +14,40 @@ from lodestone.functions import text as fx
 from lodestone.sources.layout import spread
 
 DIMS = 512
+#: words whose hashes a task's Python keeps
+WORDS = 1 << 16
 
 
-@lru_cache(maxsize=1 << 18)
-def _place(token: str, dims: int) -> tuple[int, int]:
-    """A token's component and what it adds there: its length, for longer words are rarer, with a sign."""
-    h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-    return h % dims, len(token) if h // dims % 2 else -len(token)
+class _Places(dict):
+    """token -> component + (its gain << 32), of the last words seen."""
+
+    def __missing__(self, token: str) -> int:
+        h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        if len(self) >= WORDS:
+            self.clear()
+        # a token adds its length, for longer words are rarer, with a sign
+        self[token] = out = (len(token) if h // self.dims % 2 else -len(token)) << 32 | h % self.dims
+        return out
+
+
+@lru_cache(maxsize=4)
+def _places(dims: int) -> _Places:
+    out = _Places()
+    out.dims = dims
+    return out
 
 
 def hashed(texts: list[str], dims: int = DIMS) -> np.ndarray:
     """A deterministic stand-in for a model: distinct tokens hashed to signed components, normalised; texts near in words are near."""
-    out = np.zeros((len(texts), dims))
-    for i, t in enumerate(texts):
-        for token in set(fx.segments(t)):
-            at, gain = _place(token, dims)
-            out[i, at] += gain
+    place, found, sizes = _places(dims), [], []
+    for t in texts:
+        said = set(fx.segments(t))
+        found += [place[token] for token in said]
+        sizes.append(len(said))
+    codes = np.array(found, np.int64)
+    at = np.repeat(np.arange(len(texts)) * dims, sizes) + (codes & 0xFFFFFFFF)
+    # sums of whole numbers, so their order does not matter
+    out = np.bincount(at, codes >> 32, len(texts) * dims).reshape(-1, dims)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 
