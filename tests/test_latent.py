@@ -48,3 +48,11 @@ def test_no_texts(spark):
 def test_learned_vectors_find_passages(spark):
     rows = {r.retriever: r for r in catalog.QUERIES["eval_learned"](spark, SF).collect()}
     assert set(rows) == {"hashed", "learned"} and all(r.queries > 0 and r.mrr > 0 for r in rows.values())
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Every pass reads the rows that were kept, not the texts."""
+    used = []
+    monkeypatch.setattr(latent, "added", lambda found, *a, added=latent.added: (used.append(found.columns), added(found, *a))[1])
+    latent.fit(spark.createDataFrame([(t,) for t in made()], "text string"), dims=4, columns=64, rounds=2)
+    assert used == [["at", "weight"]] * 4
