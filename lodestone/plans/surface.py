@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators import chunking, cleaning, conversation, evaluation, keyword, rendering, retrieval
-from lodestone.plans.queries import BENCH, EVAL, SHORT, _articles, _bench, _bm25_sql, _gold, _results, query, table
+from lodestone.plans.queries import BENCH, EVAL, SHORT, _articles, _bench, _bm25_sql, _gold, _short, query, table
 from lodestone.sources import store
+from lodestone.sources.layout import kept
 
 
 @query("SELECT source AS volume, CAST(doc_id AS VARCHAR) AS id, lang AS title FROM documents")
@@ -127,8 +128,11 @@ def _report_sql(name: str, eval_sql: str) -> str:
 @query(f"{_report_sql('five tokens', EVAL)} UNION ALL {_report_sql('whole passages', EVAL.replace(SHORT, BENCH))}")
 def eval_compare(spark, sf_dir):
     """BM25 asked with five tokens and with whole passages, side by side."""
-    whole = retrieval.bm25(_bench(spark, sf_dir), table(spark, sf_dir, "documents"), k=10)
-    return evaluation.report(_gold(spark, sf_dir), {"five tokens": _results(spark, sf_dir), "whole passages": whole})
+    asked = {"five tokens": _short(spark, sf_dir), "whole passages": _bench(spark, sf_dir)}
+    # one search serves both
+    each = [df.select(F.struct(F.lit(name).alias("retriever"), "query_id").alias("query_id"), "query") for name, df in asked.items()]
+    found = kept(retrieval.bm25(each[0].unionByName(each[1]), table(spark, sf_dir, "documents"), k=10).select("query_id.*", "rank", "id"), "found")
+    return evaluation.report(_gold(spark, sf_dir), {name: found.where(F.col("retriever") == name) for name in asked})
 
 
 @query("SELECT round(sum(n_chars * CASE lang WHEN 'en' THEN 1e0 WHEN 'fr' THEN 5e0 ELSE 0e0 END) / 1e6, 6) AS price FROM documents")
