@@ -29,6 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, embedding
+from lodestone.operators.retrieval import small
+from lodestone.sources.layout import SPREAD_BYTES
 
 log = logging.getLogger("lodestone.ingest_stream")
 ARTICLES = "id string, text_hash string, volume string, batch long"
@@ -71,18 +73,24 @@ def take(batch: DataFrame, number: int, out: str, conf: Config) -> int:
     spark = batch.sparkSession
     hashed = F.sha2(F.coalesce(F.col(conf.text), F.lit("")).cast("binary"), 256)
     rows = batch.select(F.col(conf.key).cast("string").alias("id"), F.col(conf.text).alias("text"), hashed.alias("text_hash"), F.col(conf.volume).cast("string").alias("volume"))
-    n, ids = rows.agg(F.count("*"), F.countDistinct(F.struct("id"))).first()
+    n, ids, size = rows.agg(F.count("*"), F.countDistinct(F.struct("id")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     rows = rows if n == ids else one_each(rows)
     earlier = _last(spark.read.schema(ARTICLES).parquet(f"{out}/articles").where(F.col("batch") < number)).select(F.col("id").alias("had"), F.col("text_hash").alias("had_hash"))
     fresh = rows.join(earlier, F.col("id").eqNullSafe(F.col("had")) & (F.col("text_hash") == F.col("had_hash")), "left_anti")
     _write(fresh.select("id", "text_hash", "volume", F.lit(number).cast("long").alias("batch")), f"{out}/articles", "batch")
     # what was just listed is what is cut, so both tables hold the same articles
     listed = spark.read.schema(ARTICLES).parquet(f"{out}/articles").where(F.col("batch") == number).select(F.col("id").alias("of"))
-    cut = chunking.chunk_articles(rows.join(listed, F.col("id").eqNullSafe(F.col("of")), "left_semi"), "id", "text", conf.sizes, keep=("volume",))
+    taken = listed.count()
+    # if all articles are listed there is nothing to leave out, and no text is shuffled
+    chosen = rows if taken == ids else rows.join(small(listed), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    cores = spark.sparkContext.defaultParallelism
+    # a stream's files are not known to spread()
+    chosen = chosen.repartition(cores) if size <= cores * SPREAD_BYTES else chosen
+    cut = chunking.chunk_articles(chosen, "id", "text", conf.sizes, keep=("volume",))
     _write(cut.withColumn("batch", F.lit(number).cast("long")), f"{out}/chunks", "batch", "volume")
     chunks = spark.read.schema(CHUNKS).parquet(f"{out}/chunks").where(F.col("batch") == number)
     _write(embedding.embed(chunks, conf.embedder).withColumn("batch", F.lit(number).cast("long")), f"{out}/vectors", "batch")
-    log.info("batch %d: %d rows read, %d articles new or changed, %d chunks with vectors written to %s", number, n, listed.count(), chunks.count(), out)
+    log.info("batch %d: %d rows read, %d articles new or changed, %d chunks with vectors written to %s", number, n, taken, chunks.count(), out)
     return n
 
 
@@ -108,10 +116,11 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, conf: Confi
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """The chunks of every article as it was last delivered."""
-    last = _last(spark.read.schema(ARTICLES).parquet(f"{out}/articles")).select(F.col("id").alias("of"), F.col("batch").alias("of_batch"))
+    """The chunks of every article as it was last delivered: all but those of versions that a later batch replaced, which are few."""
+    listed = spark.read.schema(ARTICLES).parquet(f"{out}/articles").select("id", "batch")
+    old = listed.withColumn("last", F.max("batch").over(W.partitionBy("id"))).where("batch < last").select(F.col("id").alias("of"), F.col("batch").alias("of_batch"))
     chunks = spark.read.schema(CHUNKS).parquet(f"{out}/chunks")
-    return chunks.join(last, chunks["article_id"].eqNullSafe(last["of"]) & (chunks["batch"] == last["of_batch"]), "left_semi")
+    return chunks.join(small(old), chunks["article_id"].eqNullSafe(F.col("of")) & (chunks["batch"] == F.col("of_batch")), "left_anti")
 
 
 def vectors(spark: SparkSession, out: str) -> DataFrame:

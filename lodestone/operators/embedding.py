@@ -22,7 +22,7 @@ class _Places(dict):
     """token -> component + (its gain << 32), of the last words seen."""
 
     def __missing__(self, token: str) -> int:
-        h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        h = int.from_bytes(hashlib.md5(token.encode()).digest()[:4])
         if len(self) >= WORDS:
             self.clear()
         # a token adds its length, for longer words are rarer, with a sign

@@ -40,6 +40,13 @@ def test_sentences_equal_a_scanner(text):
     assert [s for s, _ in chunking.split_sentences(text)] == scan(text)
 
 
+@given(st.text(max_size=40) | st.text(alphabet=st.characters(max_codepoint=127), max_size=40) | st.text(alphabet="aZ9_ \\[]*é\x1c\x7f", max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_segments_equal_the_pattern(text):
+    """ASCII takes another way than the rest."""
+    assert fx.segments(text) == fx._WORDS.findall(fx._ESCAPED.sub(r"\1", text))
+
+
 def test_sentences_in_spark(spark):
     text = "一。”二！？三\n第四.)five"
     assert one(spark, fx.sentences(F.col("t")), t=text) == scan(text)

@@ -84,6 +84,34 @@ def test_ingest_goes_on_after_a_crash(spark, tmp_path, monkeypatch, dies_at):
     embedding.check_bijection(got, spark.read.schema(ingest_stream.VECTORS).parquet(f"{out}/vectors"))
 
 
+def test_ingest_shuffles_no_texts(spark, tmp_path, monkeypatch):
+    """A large batch of new articles is cut where it is read, and reading the chunks back joins them with replaced versions only, by broadcast."""
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    plans, whole = [], chunking.chunk_articles
+
+    def seen(articles, *rest, **named):
+        plans.append(articles._jdf.queryExecution().optimizedPlan().toString())
+        return whole(articles, *rest, **named)
+
+    monkeypatch.setattr(chunking, "chunk_articles", seen)
+    monkeypatch.setattr(ingest_stream, "SPREAD_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        add(spark, source, [(1, "One. " * 100, "en", ""), (2, "Two.", "en", ""), (None, "None.", "en", "")])
+        ingest_stream.run(spark, source, out, check)
+        assert "Join" not in plans[0] and "Repartition" not in plans[0]
+        add(spark, source, [(1, "One. " * 100, "en", ""), (2, "Two, changed.", "en", ""), (None, "Changed.", "en", "")])
+        ingest_stream.run(spark, source, out, check)
+        assert "Join" in plans[1]
+        read = ingest_stream.current(spark, out)
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert chunks_of(spark, out) == wanted({1: ("One. " * 100, "en"), 2: ("Two, changed.", "en"), None: ("Changed.", "en")})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_empty_input(spark, tmp_path):
     spark.createDataFrame([], ROWS).write.parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
