@@ -170,6 +170,24 @@ def test_blocks_outgrow_batches(spark):
     assert sizes == [1_000, 1_000, 1_000]
 
 
+@pytest.mark.parametrize("sent, held", [(30, 1 << 20), (1 << 22, 50)])
+def test_dense_in_passes(spark, monkeypatch, sent, held):
+    """Queries beyond a pass are asked in further passes, none of which joins blocks with tiles."""
+    monkeypatch.setattr(vectors, "SENT", sent)
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4 + i % 3).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = [*rows[:20], (998, None), (999, [1.0])]
+    for stored in (retrieval.vector_blocks(df), retrieval.vector_rows(df)):
+        found = retrieval.dense(spark.createDataFrame(asked, "query_id long, vector array<float>"), df, k=6, fetch=30, stored=stored)
+        assert "Join" not in plan_of(found) and "Cartesian" not in plan_of(found) and "Union" in plan_of(found)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == nearest(rows[:20], rows, 6)
+
+
 @pytest.mark.parametrize("sent, held", [(1 << 22, 1 << 20), (0, 1 << 20), (1 << 22, 0)])
 def test_dense_joins_no_tiles(spark, monkeypatch, sent, held):
     """Few queries go to the tasks, and no row holds a block with a tile; more meet the blocks; the rows are the same, from blocks and from rows."""
